@@ -7,8 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grafthorn.llm.common import table
+from grafthorn.llm.html_text import extracted
 from grafthorn.llm.media import text_as_media
+from grafthorn.llm.packing import packed, token_pieces
 from grafthorn.llm.pii import pii_spans
+from grafthorn.llm.warc import deduplicated_archive
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_archive(table(spark, sf_dir, "pages"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +37,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": op2_html_extraction,
+    "op4_warc": op4_warc,
     "op6_pii": op6_pii,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_media_columns": op10_media_columns,
 }
 ORACLES: dict[str, str] = {}
