@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from grafthorn.llm.common import table
 from grafthorn.llm.html_text import extracted
 from grafthorn.llm.media import text_as_media
+from grafthorn.llm.ngram_join import near_duplicates
 from grafthorn.llm.packing import packed, token_pieces
 from grafthorn.llm.pii import pii_spans
 from grafthorn.llm.warc import deduplicated_archive
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
@@ -37,6 +42,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
     "op4_warc": op4_warc,
     "op6_pii": op6_pii,
