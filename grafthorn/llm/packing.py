@@ -19,7 +19,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from grafthorn.llm.common import rows, written
 CAPACITY = 4096
 END_ID = 1
 _CHUNK = re.compile(r"[^ \n]+")
-_CACHE = 250_000
+#: Chunks that a Python worker keeps, about 200 bytes each.
+_CACHE = 600_000
 #: Pieces that one task packs.
 PER_PARTITION = 100_000
 #: A sequence with more free tokens than this share of the capacity is given away where a gap is open.
@@ -43,7 +46,7 @@ class _Encoder(dict):
     """Ids of chunks without blanks or line ends, as little-endian bytes.
 
     The tokenizer splits at white space before it merges anything, so chunk by chunk
-    gives the ids of the whole text; chunks seen lately are kept.
+    gives the ids of the whole text; the first chunks seen, frequent ones mostly, are kept.
     """
 
     def __init__(self, path: str):
@@ -54,24 +57,34 @@ class _Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def ids(self, text: str) -> bytes:
-        chunks = _CHUNK.findall(text)
-        new = list({c for c in chunks if c not in self})
+        # It lower-cases too; where that is certain to be the same, it is done before the look-up.
+        chunks = _CHUNK.findall(text.lower() if text.isascii() and "<|" not in text else text)
+        known = self
+        new = list(set(chunks).difference(self))
         if new:
-            if len(self) + len(new) > _CACHE:
-                self.clear()
-                new = list(set(chunks))
+            fresh = {}
             for at in range(0, len(new), 10_000):
                 part = new[at : at + 10_000]
                 for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, chunks))
+                    fresh[c] = array("I", e.ids).tobytes()
+            if len(self) + len(fresh) <= _CACHE:
+                self.update(fresh)
+            else:
+                known = {c: self[c] if c in self else fresh[c] for c in set(chunks)}
+        return b"".join(map(known.__getitem__, chunks))
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks that a Python worker runs."""
+    return _Encoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at: list[int] = []
             out: list[tuple] = []
