@@ -13,6 +13,7 @@ from grafthorn.llm.media import text_as_media
 from grafthorn.llm.ngram_join import near_duplicates
 from grafthorn.llm.packing import packed, token_pieces
 from grafthorn.llm.pii import pii_spans
+from grafthorn.llm.toxicity import toxicity
 from grafthorn.llm.warc import deduplicated_archive
 
 
@@ -34,6 +35,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
