@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ class _Encoder(dict):
         # It lower-cases too; where that is certain to be the same, it is done before the look-up.
         chunks = _CHUNK.findall(text.lower() if text.isascii() and "<|" not in text else text)
         known = self
-        new = list(set(chunks).difference(self))
+        new = list(filterfalse(self.__contains__, set(chunks)))
         if new:
             fresh = {}
             for at in range(0, len(new), 10_000):
