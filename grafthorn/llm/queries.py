@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from grafthorn.llm.common import table
 from grafthorn.llm.decontam import contaminated
 from grafthorn.llm.html_text import extracted
+from grafthorn.llm.licenses import licenses
 from grafthorn.llm.media import text_as_media
 from grafthorn.llm.ngram_join import near_duplicates
 from grafthorn.llm.packing import packed, token_pieces
+from grafthorn.llm.passages import repeated_passages
 from grafthorn.llm.pii import pii_spans
 from grafthorn.llm.toxicity import toxicity
 from grafthorn.llm.warc import deduplicated_archive
@@ -25,10 +27,18 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_archive(table(spark, sf_dir, "pages"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,9 +64,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_license_scans": op7_license_scans,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_media_columns": op10_media_columns,
