@@ -69,7 +69,7 @@ def leading_number(text: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double as JavaScript prints it: no trailing .0, plain digits from 1e-7 to 1e21."""
+    """A double as JavaScript prints it: no trailing .0, plain digits from 1e-6 to 1e21."""
     a = F.abs(x)
     plain = lambda kind: F.regexp_replace(x.cast(kind).cast("string"), r"\.?0+$", "")
     power = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), r"E(\d)", "e+$1")
@@ -77,7 +77,7 @@ def number_text(x: Column) -> Column:
         F.when((a < 1e15) & (x == F.floor(x)), F.floor(x).cast("bigint").cast("string"))
         .when((a >= 1e-3) & (a < 1e7), x.cast("string"))
         .when((a >= 1e7) & (a < 1e21), F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(plain("decimal(38,16)")))
-        .when((a >= 1e-7) & (a < 1e-3), plain("decimal(38,30)"))
+        .when((a >= 1e-6) & (a < 1e-3), plain("decimal(38,30)"))
         .otherwise(F.regexp_replace(power, "E-", "e-"))
     )
 

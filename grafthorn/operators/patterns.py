@@ -155,6 +155,8 @@ def solutions(triples: DataFrame, body: Sequence, seed: DataFrame | None = None,
             pending += [(p, (sources or {}).get(next(number), triples)) for p in expanded(e)]
             continue
         flush()
+        if out is None:
+            out = triples.sparkSession.range(1).select(F.lit(1).alias("_hit"))
         if isinstance(e, Filter):
             out = out.where(e.test().truth())
         elif isinstance(e, Set):
@@ -162,6 +164,8 @@ def solutions(triples: DataFrame, body: Sequence, seed: DataFrame | None = None,
         else:
             out = without(triples, out, e)
     flush()
+    if out is None:
+        out = triples.sparkSession.range(1).select(F.lit(1).alias("_hit"))
     hidden = [c for c in out.columns if c.startswith("v__h")]
     return out.drop(*hidden)
 

@@ -34,7 +34,7 @@ class Rule:
         if self.name:
             return self.name
         p = next((h[1] for h in self.head if isinstance(h[1], str) and h[1].startswith("<")), None)
-        local = p.rstrip(">").replace("#", "/").rpartition("/")[2] if p else ""
+        local = p.strip("<>").replace("#", "/").rpartition("/")[2] if p else ""
         return f"Rule {number + 1}: {local}" if local else f"Rule {number + 1}"
 
 
