@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 NGRAM = 5
@@ -50,6 +51,23 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose integer key may occur in ``wanted``: all that do, and few others while it is small.
+
+    A bit map of 256 x 32,768 bits, 1 MB whatever the sizes, is broadcast before a join, so that most texts that the join
+    would drop aren't shuffled. Where ``wanted`` is huge the map is full and nothing is kept out.
+    """
+    bucket, place = F.pmod(F.col(key), F.lit(256)), F.pmod(F.shiftright(F.col(key), 8), F.lit(32_768))
+    maps = wanted.select(bucket.alias("_bucket"), place.alias("_place")).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_map"))
+
+    def bit(at: Column) -> Column:
+        byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        return F.expr("1").cast("int") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)).cast("int")
+
+    marked = rows.withColumns({"_bucket": bucket, "_place": place})
+    return marked.join(F.broadcast(maps), "_bucket").where(bit(F.col("_place"))).select(*rows.columns)
+
+
 class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen lately (memory stays bounded)."""
 

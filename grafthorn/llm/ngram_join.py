@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafthorn.llm.common import WordHashes, mix, rows, shingle_hashes, written
+from grafthorn.llm.common import WordHashes, mix, rows, shingle_hashes, sieved, written
 from grafthorn.llm.components import components
 
 BANDS = 9
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     chosen = written(mine.join(contents.select("sig", "copies", "one"), "sig").select("sig", "copies", F.array(*(f"s{k}" for k in range(BANDS))).alias("slots"), "buckets", F.col("one.id").alias("id"), F.col("one.text_key").alias("text_key")))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), top).alias("id"), F.xxhash64("text").alias("text_key"), "text")
     spread = (
-        chosen.join(texts, ["id", "text_key"])
+        chosen.join(sieved(texts, chosen, "text_key"), ["id", "text_key"])
         .select("sig", "copies", "slots", "text", F.explode("buckets").alias("b"))
         .select("sig", "copies", "slots", "text", F.col("b.bucket").alias("bucket"), F.pmod(F.xxhash64("sig"), "b.blocks").alias("own"), F.col("b.blocks").alias("blocks"))
     )

@@ -26,7 +26,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:(?:\x20(?![A-Z]{2}[0-9]{2}))?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "nid": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 BASE = ("email", "ip", "card", "phone")
