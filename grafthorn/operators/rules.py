@@ -93,7 +93,7 @@ def _variants(rule: Rule, everything: DataFrame, delta: DataFrame | None, delta_
     return [solutions(everything, rule.body, None, {n: delta}) for n in reads]
 
 
-def _fired(numbered: list[tuple[int, Rule]], everything: DataFrame, delta: DataFrame | None, delta_predicates: set[str] | None) -> DataFrame | None:
+def fired(numbered: list[tuple[int, Rule]], everything: DataFrame, delta: DataFrame | None, delta_predicates: set[str] | None) -> DataFrame | None:
     """(s, p, o, rule_index) of all rules; the first rule owns a triple that several make."""
     parts = [instances(v, r.head).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates)]
     if not parts:
@@ -134,12 +134,12 @@ def infer(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None
         general = [(n, rules[n]) for n in layer if not runs_once(rules[n])]
         if once:
             iteration += 1
-            emit(_fired(once, known, None, None))
+            emit(fired(once, known, None, None))
         recursive = any(any(p[1] == h[1] or is_variable(p[1]) or is_variable(h[1]) for p, _ in patterns_in(r.body) for _, q in general for h in q.head) for _, r in general)
         delta, predicates = None, None
         for n in range(max_passes if general else 0):
             iteration += 1
-            new = emit(_fired(general, known, delta, predicates))
+            new = emit(fired(general, known, delta, predicates))
             if new is None or not recursive:
                 break
             delta = new.select("s", "p", "o")
