@@ -525,3 +525,71 @@ def targeted_rule(spark, d):
     ]
     made = infer(graph, rules, gates=sh.shape_gates(rules, {1: rich})).where(F.col("p") == P("served"))
     return made.groupBy(_id("s").alias("c_custkey")).agg(F.count("*").alias("orders"))
+
+
+# Set operations, sources and limits
+
+
+@query("SELECT c_nationkey AS nation, c_custkey AS id, 'customer' AS kind FROM customer UNION ALL SELECT s_nationkey, s_suppkey, 'supplier' FROM supplier")
+def union_of_rules(spark, d):
+    rules = [Rule([("?n", P("trades_with"), "?x")], [("?x", P("c_nationkey"), "?n")]), Rule([("?n", P("trades_with"), "?x")], [("?x", P("s_nationkey"), "?n")])]
+    made = infer(union(_customers(spark, d), _suppliers(spark, d)), rules)
+    return made.select(_id("s").cast("int").alias("nation"), _id("o").alias("id"), F.regexp_extract("o", r"org/(\w+)/", 1).alias("kind"))
+
+
+@query("SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def set_difference(spark, d):
+    """A rule emits only triples that aren't known, each once."""
+    graph = union(_customers(spark, d), _suppliers(spark, d))
+    known = solutions(graph, [("?s", P("s_acctbal"), "?b"), Filter(lambda: v.gt(var("b"), 5000), ("?b",)), ("?s", P("s_nationkey"), "?n")]).select(F.col("v_n").alias("s"), F.lit(P("served")).alias("p"), F.lit('"yes"').alias("o"))
+    made = infer(union(graph, known.distinct()), [Rule([("?n", P("served"), '"yes"')], [("?c", P("c_nationkey"), "?n")])])
+    return made.select(_id("s").cast("int").alias("nation"))
+
+
+@query("SELECT c_nationkey AS nation, count(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY 1")
+def distinct_value_nodes(spark, d):
+    graph = _customers(spark, d)
+    focus = graph.where(F.col("p") == P("c_nationkey")).select(F.col("o").alias("node")).distinct()
+    return sh.path_values(graph, seq(inv(P("c_nationkey")), P("c_mktsegment")), focus).groupBy(_id("node").cast("int").alias("nation")).agg(F.count("*").alias("segments"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey AS r_regionkey FROM nation")
+def ntriples_round_trip(spark, d):
+    from grafthorn.sources.shared import shared_dir
+    from grafthorn.sources.triples import read_ntriples, write_ntriples
+
+    path = shared_dir(spark)
+    write_ntriples(_places(spark, d), path)
+    found = solutions(read_ntriples(spark, path), [("?n", P("n_name"), "?x"), ("?n", P("n_regionkey"), "?r")])
+    return found.select(_id("v_n").cast("int").alias("n_nationkey"), _text("v_x").alias("n_name"), _id("v_r").cast("int").alias("r_regionkey"))
+
+
+@query("SELECT a.conv_id, a.turn AS x, b.turn AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn + 2 AND a.turn + 4")
+def capped_passes(spark, d):
+    """Two passes of the closure reach steps of up to four."""
+    made = infer(_turns(spark, d), transitive(P("next")), max_passes=2)
+    part = lambda c, n: F.regexp_extract(c, r"turn/(\d+)/(\d+)>", n).try_cast("bigint")
+    return made.select(part("s", 1).alias("conv_id"), part("s", 2).alias("x"), part("o", 2).alias("y"))
+
+
+@query("SELECT a.conv_id, a.turn, b.role AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2 WHERE a.role = b.role")
+def path_chain_same_role(spark, d):
+    body = [("?a", seq(P("next"), P("next")), "?b"), ("?a", P("role"), "?r"), ("?b", P("role"), "?r")]
+    part = lambda c, n: F.regexp_extract(c, r"turn/(\d+)/(\d+)>", n).try_cast("bigint")
+    return solutions(_turns(spark, d), body).select(part("v_a", 1).alias("conv_id"), part("v_a", 2).alias("turn"), _text("v_r").alias("answer"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS big FROM events GROUP BY 1")
+def events_as_triples(spark, d):
+    graph = table_triples(_read(spark, d, "events"), "event", ["event_id"], ["event_type", "value"], {"user_id": "user"})
+    found = solutions(graph, [("?e", P("event_type"), "?k"), ("?e", P("value"), "?v")])
+    return found.groupBy(_text("v_k").alias("event_type")).agg(F.count("*").alias("n"), F.sum(v.gt(var("v"), 50).col.cast("int")).alias("big"))
+
+
+@query("SELECT DISTINCT o_custkey AS c_custkey, p_brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45")
+def lineitem_star(spark, d):
+    """A join over the largest table: its rows get a subject of their own, since their keys repeat."""
+    lines = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity").alias("row"))
+    graph = union(table_triples(lines, "lineitem", ["row"], ["l_quantity"], {"l_orderkey": "orders", "l_partkey": "part"}), _orders(spark, d), _parts(spark, d))
+    body = [("?l", P("l_quantity"), "?q"), Filter(lambda: v.ge(var("q"), 45), ("?q",)), ("?l", P("l_orderkey"), "?o"), ("?l", P("l_partkey"), "?p"), ("?o", P("o_custkey"), "?c"), ("?p", P("p_brand"), "?b")]
+    return solutions(graph, body).select(_id("v_c").alias("c_custkey"), _text("v_b").alias("p_brand")).distinct()
