@@ -4,7 +4,7 @@ A page becomes a tree of elements whose text is held in blocks. Each paragraph-l
 points to its ancestors: one, one for each comma, and one for each hundred characters up to three;
 the parent gets all of them, the grandparent half, the next ones a third, a quarter and so on up to ``REACH``
 levels. A container's points are multiplied by one minus its link density. The best container
-is kept together with siblings that score at least ``SIBLING`` of it or are long,
+(or the article or main element around it) is kept together with siblings that score at least ``SIBLING`` of it or are long,
 link-poor paragraphs. Elements that are never main text (by tag, role or whole words of class and id)
 are cut before scoring.
 
@@ -42,6 +42,8 @@ _BAD_WORDS = frozenset(
     "related recommended recommendations share sharing social comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "subscription signup login pagination pager masthead topbar toolbar skip copyright legal hidden tags".split()
 )
+#: Longer stems, also at the front of compounds such as "commentlist".
+_BAD_STEMS = ("comment", "sidebar", "advert", "cookie", "footer", "navbar", "navigation", "breadcrumb", "newsletter", "sponsor", "promo", "disqus", "subscri")
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _NEVER_CUT = frozenset(("html", "body", "article", "main"))
 
@@ -71,7 +73,7 @@ def _is_cut(tag: str, attributes: str, parent: _Node) -> bool:
         return True
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not _BAD_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and any(w in _BAD_WORDS or w.startswith(_BAD_STEMS) for w in re.split(r"[^a-z]+", value)):
             return True
         if name == "role" and value in _BAD_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -196,6 +198,13 @@ def main_text(page: str | None) -> str:
     if not scored:
         return "\n".join(t for t, _, links in blocks if links * 2 < len(t))
     best = min(scored.values(), key=lambda n: (-worth(n), n.order))
+    # An article or main element around the best container is one piece of writing.
+    node = best.parent
+    while node:
+        if node.tag in ("article", "main"):
+            best = node
+            break
+        node = node.parent
     keep = {id(best)}
     if best.parent:
         for sibling in best.parent.children:

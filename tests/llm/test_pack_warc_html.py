@@ -103,6 +103,11 @@ def test_main_text():
     assert html_text.main_text("<p>one</p>") == "one" and html_text.main_text("<div>" * 3000 + "<p>deep, text</p>") == "deep, text"
 
 
+def test_whole_article():
+    page = "<body><div class=post><article><h1>Head</h1><section><p>Long text, with many, many, commas, in, it, so it scores well above.</p></section><section><p>Short.</p></section><ol class=commentlist><li>Reader, says, so</ol></article></div></body>"
+    assert html_text.main_text(page) == "Head\nLong text, with many, many, commas, in, it, so it scores well above.\nShort."
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a b</p><p>é</p></article>", "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     assert {(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extracted(pages).collect()} == {(1, "u", "a b\né", 5), (2, None, "", 0)}
