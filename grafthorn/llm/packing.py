@@ -56,23 +56,51 @@ class _Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some words of letters only, encoded in one text and cut at word ends."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.nonzero(self.ends[ids])[0] + 1
+        if len(cuts) != len(words):
+            return self._each(words)
+        data, places = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [data[x:y] for x, y in zip(places, places[1:], strict=False)]
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks; full stops and commas after a word are tokens of their own, so words are encoded without them."""
+        stems = {c: c.rstrip(".,") for c in chunks}
+        words = list({w for w in stems.values() if w.isalpha() and w not in self})
+        known: dict[str, bytes] = {}
+        for at in range(0, len(words), 1000):
+            known.update(zip(words[at : at + 1000], self._words(words[at : at + 1000]), strict=True))
+        rest = list({c for c, w in stems.items() if not w.isalpha()} | {c[len(w) :] for c, w in stems.items() if w.isalpha() and c != w})
+        for at in range(0, len(rest), 10_000):
+            known.update(zip(rest[at : at + 10_000], self._each(rest[at : at + 10_000]), strict=True))
+        out = {c: known[c] for c in chunks if c in known}
+        for c, w in stems.items():
+            if c not in out:
+                stem = known[w] if w in known else self[w]
+                out[c] = stem if c == w else stem + known[c[len(w) :]]
+        return out
 
     def ids(self, text: str) -> bytes:
         # It lower-cases too; where that is certain to be the same, it is done before the look-up.
         chunks = _CHUNK.findall(text.lower() if text.isascii() and "<|" not in text else text)
-        known = self
         new = list(filterfalse(self.__contains__, set(chunks)))
-        if new:
-            fresh = {}
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    fresh[c] = array("I", e.ids).tobytes()
-            if len(self) + len(fresh) <= _CACHE:
-                self.update(fresh)
-            else:
-                known = {c: self[c] if c in self else fresh[c] for c in set(chunks)}
-        return b"".join(map(known.__getitem__, chunks))
+        if not new:
+            return b"".join(map(self.__getitem__, chunks))
+        fresh = self._fresh(new)
+        if len(self) + len(fresh) <= _CACHE:
+            self.update(fresh)
+            return b"".join(map(self.__getitem__, chunks))
+        return b"".join(fresh[c] if c in fresh else self[c] for c in chunks)
 
 
 @lru_cache(maxsize=1)
