@@ -34,7 +34,7 @@ WINDOW, STRIDE = 48, 24
 HIDDEN, EMBED = 8, 6
 WORD_SLOTS, GRAM_SLOTS = 1 << 16, 1 << 18
 LEARNED_SLOTS = 1 << 14
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1200, 2400, 20_000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1200, 2400, 12_000
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 250, 64, 0.01
 _WIDTH = 2 * EMBED + 3
 _WORDS_KEPT = 150_000
@@ -56,7 +56,7 @@ class _Words:
             if n >= 2:
                 grams.append(mix(h) >> np.uint64(33))
         valid = left[:, None] >= np.array([3, 4, 5])
-        self.flat = np.stack(grams, axis=1)[valid].astype(np.int64)
+        self.flat = np.stack(grams, axis=1)[valid].astype(np.int32)
         number = np.bincount(np.repeat(np.arange(len(words)), size), valid.sum(axis=1), len(words)).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(number)])
         self.word = np.array([xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.int64)
@@ -205,7 +205,7 @@ class _Texts(_Words):
 
     def __init__(self, texts: list[str]):
         place: dict[str, int] = {}
-        self.words = [np.array([place.setdefault(w, len(place)) for w in WORD.findall((t or "").lower())], np.int64) for t in texts]
+        self.words = [np.array([place.setdefault(w, len(place)) for w in WORD.findall((t or "").lower())], np.int32) for t in texts]
         super().__init__(list(place))
         self.grams = np.split(self.flat, self.start[1:-1])
 
@@ -260,8 +260,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     def model_of(own: np.ndarray) -> Model:
         return Model(_log_odds([word_units[i] for i in own], y[own], WORD_SLOTS), _log_odds([gram_units[i] for i in own], y[own], GRAM_SLOTS), p)
 
-    # Texts of either half are read with the log-odds of the other.
-    models = [model_of(np.nonzero(fold)[0]), model_of(np.nonzero(~fold)[0])]
+    # Texts of either half are read with the log-odds of the other; all of them give the final ones.
+    models, whole = [model_of(np.nonzero(fold)[0]), model_of(np.nonzero(~fold)[0])], model_of(np.arange(len(y)))
+    del word_units, gram_units
     number = np.array([len(windows_of(len(w))) for w in data.words])
     every = np.concatenate([data.windows(i) for i in range(len(y))])
     owner, starts = np.repeat(np.arange(len(y)), number), np.concatenate([[0], np.cumsum(number)])[:-1]
@@ -305,7 +306,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
             adam.step(p, g, RATE * (1 - epoch / epochs))
     # 0.5 becomes the place between the two labels' texts where they are parted best.
     p["b"] -= np.float32(_best_cut(np.maximum.reduceat(scores(False), starts), y))
-    return model_of(np.arange(len(y)))
+    return whole
 
 
 def _rows_of(data: _Texts, model: Model, used: np.ndarray) -> np.ndarray:
