@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -51,21 +51,33 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose integer key may occur in ``wanted``: all that do, and few others while it is small.
+def _may_occur(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_may``: false only where the key doesn't occur in ``wanted``.
 
-    A bit map of 256 x 32,768 bits, 1 MB whatever the sizes, is broadcast before a join, so that most texts that the join
-    would drop aren't shuffled. Where ``wanted`` is huge the map is full and nothing is kept out.
+    Keys are hashed to a bit map of 256 x 32,768 bits, 1 MB whatever the sizes, which is broadcast. Where
+    ``wanted`` is huge the map is full and every row may occur.
     """
-    bucket, place = F.pmod(F.col(key), F.lit(256)), F.pmod(F.shiftright(F.col(key), 8), F.lit(32_768))
+    hashed = F.xxhash64(key)
+    bucket, place = F.pmod(hashed, F.lit(256)), F.pmod(F.shiftright(hashed, 8), F.lit(32_768))
     maps = wanted.select(bucket.alias("_bucket"), place.alias("_place")).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("_place"), F.lit(8)))), F.lit(2)) == 1
+    marked = rows.withColumns({"_bucket": bucket, "_place": place}).join(F.broadcast(maps), "_bucket", "left")
+    return marked.withColumn("_may", F.coalesce(bit, F.lit(False))).select(*rows.columns, "_may")
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may occur in ``wanted``: all that do, and few others while it is small.
+
+    Before a join on the key this spares the shuffle of most texts that the join would drop.
+    """
+    return _may_occur(rows, wanted, key).where("_may").drop("_may")
 
-    def bit(at: Column) -> Column:
-        byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        return F.expr("1").cast("int") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)).cast("int")
 
-    marked = rows.withColumns({"_bucket": bucket, "_place": place})
-    return marked.join(F.broadcast(maps), "_bucket").where(bit(F.col("_place"))).select(*rows.columns)
+def parted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key surely doesn't occur in ``wanted``, the others): only the others need a join to tell."""
+    marked = _may_occur(rows, wanted, key)
+    return marked.where("not _may").drop("_may"), marked.where("_may").drop("_may")
 
 
 class WordHashes(dict):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafthorn.llm.common import WordHashes, mix, rows, shingle_hashes, sieved, written
+from grafthorn.llm.common import WordHashes, mix, parted, rows, shingle_hashes, sieved, written
 from grafthorn.llm.components import components
 
 BANDS = 9
@@ -222,10 +222,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the row with the least id, whole.
 
-    Rows without an id, or whose class has none, all stay, since nothing names one of them.
+    An id stays if one of its rows does; of rows that repeat a staying id and its class one stays. Rows without an id all stay, since
+    nothing names one of them. Only the texts of ids that go or repeat are shuffled.
     """
-    classes = near_duplicates(docs, threshold)
-    stay = written(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    once = docs.join(stay.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    more = docs.join(stay.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.where("doc_id is null"))
+    classes = near_duplicates(docs, threshold).where("doc_id is not null")
+    counts = classes.groupBy("doc_id").agg(F.sum(F.when(F.col("doc_id") == F.col("class_id"), 1).otherwise(0)).alias("_n"))
+    odd = written(counts.where("_n <> 1"))
+    sure, others = parted(docs, odd, "doc_id")
+    single = others.join(odd.select("doc_id"), "doc_id", "left_anti")
+    repeated = others.join(odd.where("_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return sure.unionByName(single).unionByName(repeated)
