@@ -12,7 +12,7 @@ trained, each half of it is read with log-odds from the other, so rare words don
 As labels are of texts and not of windows, each pass trains on a toxic text's
 highest-scoring window, and on the highest and one other window of a clean text.
 
-Null, empty and wordless texts have one window of padding, which scores the bias alone. With fewer than
+Null, empty and wordless texts say nothing and score 0. With fewer than
 two labels of a kind nothing can be learned and every score is 0. Only doc_id, text and the labels are read.
 """
 
@@ -351,7 +351,7 @@ class _Scorer:
         if len(self.place) > _WORDS_KEPT:
             self.place, self.grown = {}, []
         place, model = self.place, self.model
-        index, sizes = [], []
+        index, sizes, empty = [], [], []
         before = len(place)
         for text in texts:
             own = np.array([place.setdefault(w, len(place)) for w in WORD.findall((text or "").lower())], np.int64)
@@ -359,12 +359,13 @@ class _Scorer:
             at = cuts[:, :1] + np.arange(WINDOW)
             index.append(np.where(at < cuts[:, 1:], own[np.minimum(at, max(0, len(own) - 1))] if len(own) else -1, -1))
             sizes.append(len(cuts))
+            empty.append(len(own) == 0)
         if len(place) > before:
             self.grown.append(_Words(list(islice(reversed(place), len(place) - before))[::-1]).table(model)[:-1])
         table = np.concatenate([*self.grown, np.zeros((1, _WIDTH), np.float32)])
         self.grown = [table[:-1]]
         top = np.maximum.reduceat(window_logits(table, np.concatenate(index), model.p), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        return _sigmoid(top.astype(np.float64)).tolist()
+        return np.where(empty, 0.0, _sigmoid(top.astype(np.float64))).tolist()
 
 
 def _slices(texts: list[str | None], chars: int = 400_000) -> Iterator[slice]:
