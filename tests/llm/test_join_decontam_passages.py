@@ -165,3 +165,25 @@ def test_passages(docs_of):
 def test_no_rows(docs_of):
     empty = docs_of([(1, "x")]).limit(0)
     assert passages.repeated_passages(empty).count() == ngram_join.near_duplicates(empty).count() == 0
+
+
+def test_passage_around_a_common_line(docs_of):
+    rng = random.Random(8)
+    line = some_words(rng, 48)
+    docs, planted = [(k, " ".join(some_words(rng, 60) + line + some_words(rng, 60))) for k in range(60)], set()
+    for k in range(6):
+        passage = some_words(rng, 4) + line + some_words(rng, 4)
+        for i in (1000 + k, 2000 + k):
+            docs.append((i, " ".join(some_words(rng, 60) + passage + some_words(rng, 60))))
+            planted.add((i, 60, 60 + len(passage)))
+    found = passages.repeated_passages(docs_of(docs)).collect()
+    assert {p[0] for p in planted} == {r.doc_id for r in found}
+    assert all(any(r.doc_id == i and r.start_word <= a and r.end_word >= b for r in found) for i, a, b in planted)
+
+
+def test_every_occurrence_of_a_passage(docs_of):
+    rng = random.Random(9)
+    passage = some_words(rng, 80)
+    docs = [(1, " ".join(w for _ in range(12) for w in some_words(rng, 70) + passage)), (2, " ".join(passage))]
+    found = [(r.start_word, r.end_word) for r in passages.repeated_passages(docs_of(docs)).collect() if r.doc_id == 1]
+    assert all(any(a <= 150 * k + 70 and b >= 150 * k + 150 for a, b in found) for k in range(12))
