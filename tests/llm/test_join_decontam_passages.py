@@ -187,3 +187,16 @@ def test_every_occurrence_of_a_passage(docs_of):
     docs = [(1, " ".join(w for _ in range(12) for w in some_words(rng, 70) + passage)), (2, " ".join(passage))]
     found = [(r.start_word, r.end_word) for r in passages.repeated_passages(docs_of(docs)).collect() if r.doc_id == 1]
     assert all(any(a <= 150 * k + 70 and b >= 150 * k + 150 for a, b in found) for k in range(12))
+
+
+def test_edited_passages_are_met_and_verified():
+    rng, words = random.Random(10), passages.WordHashes()
+    for n, at, cut, new in ((60, 25, 0, 1), (60, 25, 1, 0), (55, 20, 1, 1), (90, 45, 0, 9)):
+        met = 0
+        for _ in range(100):
+            p = some_words(rng, n)
+            q = [*p[:at], *some_words(rng, new), *p[at + cut :]]
+            left, right = (passages.shingle_hashes(" ".join(some_words(rng, 60) + t + some_words(rng, 60)), words) for t in (p, q))
+            met += bool(set(passages._window_keys(left)[0].tolist()) & set(passages._window_keys(right)[0].tolist()))
+            assert passages.shared_passages(left, right) and passages.shared_passages(right, left)
+        assert met >= 97
