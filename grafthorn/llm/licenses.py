@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
 _WRAP = re.compile(r"(?<![.!?:;\n])\n(?!\n)")
 _OTHER = re.compile(r"[\W_]+")
-_HINT = re.compile(r"licen[cs]|permi(?:ssion|tted)|warrant|redistribut|public domain|copyright|liab", re.I)
 
 _SUBJECT = r"(?:(?:this|the) (?:work|software|file|program|project|code|document|page|text|material|library|content)(?: is)? )?(?:is )?"
 _VERB = r"(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|made available)(?: to you)? under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
@@ -101,6 +100,8 @@ RULES = (
     ("Public domain", ("public-domain",)),
 )
 _KNOWN = [(name, re.compile(expression)) for name, expression in SENTENCES.items()]
+#: Matches where any of them does: one search settles most sentences.
+_ANY = re.compile("|".join(f"(?:{expression})" for expression in SENTENCES.values()))
 
 
 def normalised(sentence: str) -> str:
@@ -110,15 +111,15 @@ def normalised(sentence: str) -> str:
 
 def sentence_id(sentence: str) -> str | None:
     """The first known identifier whose expression the normalised sentence matches."""
-    if not _HINT.search(sentence) and "rights reserved" not in sentence.lower() and "in compliance" not in sentence:
-        return None
     plain = normalised(sentence)
+    if not _ANY.search(plain):
+        return None
     return next((name for name, expression in _KNOWN if expression.search(plain)), None)
 
 
 def sentence_ids(text: str | None) -> list[str]:
     """Identifiers of a text's licence sentences, in text order."""
-    if not text or not _HINT.search(text):
+    if not text:
         return []
     found = []
     for paragraph in re.split(r"\n\s*\n", text):
