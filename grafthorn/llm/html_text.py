@@ -30,11 +30,11 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math noframes xmp".split())
-_CUT = frozenset("nav footer aside form button select option dialog menu figure object canvas audio video map fieldset label".split()) | _RAW | {"head"}
-_BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_CUT = frozenset("nav footer aside form button select option dialog menu object canvas audio video map fieldset label".split()) | _RAW | {"head"}
+_BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SCORED = frozenset("p pre td blockquote dd li div section article main".split())
 #: An opening tag of these ends an open p.
-_ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"} | {"nav", "footer", "aside", "form", "fieldset", "menu", "figure"}
+_ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"} | {"nav", "footer", "aside", "form", "fieldset", "menu"}
 #: An opening tag ends an open element of these kinds, within the nearest of those scopes.
 _ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 _BAD_WORDS = frozenset(
@@ -42,8 +42,12 @@ _BAD_WORDS = frozenset(
     "related recommended recommendations share sharing social comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "subscription signup login pagination pager masthead topbar toolbar skip copyright legal hidden tags".split()
 )
-#: Longer stems, also at the front of compounds such as "commentlist".
-_BAD_STEMS = ("comment", "sidebar", "advert", "cookie", "footer", "navbar", "navigation", "breadcrumb", "newsletter", "sponsor", "promo", "disqus", "subscri")
+#: Longer stems, also at the front of known compounds such as "commentlist"; "commentary" is none.
+_BAD_COMPOUND = re.compile(
+    r"(?:comment|sidebar|advert|cookie|footer|navbar|navigation|breadcrumb|newsletter|sponsor|promo|disqus|subscribe|subscription)(?:s|ed|ing)?"
+    r"(?:list|item|box|area|section|form|thread|count|wrapper|wrap|container|content|widget|block|bar|banner|panel|inner|outer|links?|left|right|top|bottom|menu|nav|notice|consent|policy|popup|modal|overlay|text|body|author|meta|reply|respond|signup|title|header)?s?"
+)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _NEVER_CUT = frozenset(("html", "body", "article", "main"))
 
@@ -69,11 +73,11 @@ def _is_cut(tag: str, attributes: str, parent: _Node) -> bool:
         return True
     if not attributes or tag in _NEVER_CUT:
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|$|/|=)", attributes):
+    if re.search(r"(?:^|\s)hidden(?:\s|$|/|=)", _VALUE.sub("= ", attributes), re.I):
         return True
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and any(w in _BAD_WORDS or w.startswith(_BAD_STEMS) for w in re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and any(w in _BAD_WORDS or _BAD_COMPOUND.fullmatch(w) for w in re.split(r"[^a-z]+", value)):
             return True
         if name == "role" and value in _BAD_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True

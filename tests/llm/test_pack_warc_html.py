@@ -141,3 +141,8 @@ def test_rule_order():
 def test_licence_rows(docs_of):
     got = licenses.licenses(docs_of([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, None)])).collect()
     assert sorted((r.doc_id, r.licenses) for r in got) == [(1, ["MIT"]), (1, ["MIT"]), (2, [])]
+
+
+def test_figures_and_attribute_values_are_kept():
+    page = '<article><p title="a hidden treasure">One, two, three.</p><figure><img src=x><figcaption>A caption.</figcaption><svg><text>no</text></svg></figure><div class="commentary promontory" data-x="hidden"><p>Said of it, at length.</p></div><p hidden>gone</p><p data-a=1 hidden="">gone</p><ul class=commentlist><li>Reader</ul></article>'
+    assert html_text.main_text(page) == "One, two, three.\nA caption.\nSaid of it, at length."
