@@ -44,7 +44,7 @@ class _Words:
     """Hashes of words and of their marked character 3- to 5-grams, computed over all words at once."""
 
     def __init__(self, words: list[str]):
-        marked = [f"^{w[:64]}$" for w in words]
+        marked = [f"^{w}$" for w in words]
         size = np.array([len(m) for m in marked], np.int64)
         ends = np.cumsum(size)
         codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)

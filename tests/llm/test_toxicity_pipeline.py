@@ -93,3 +93,9 @@ def test_pipeline(spark):
 
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_the_whole_word_is_read():
+    words = toxicity._Words(["a" * 64 + "zorgle", "a" * 64 + "kindly", "a" * 200])
+    grams = [set(words.flat[a:b].tolist()) for a, b in zip(words.start[:-1], words.start[1:], strict=True)]
+    assert grams[0] != grams[1] and words.start[3] - words.start[2] == 200 + 199 + 198
