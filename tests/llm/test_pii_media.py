@@ -97,17 +97,3 @@ def test_decoders(spark):
     assert (got[1].height, got[1].width, got[1].bands, len(got[1].dhash)) == (5, 7, 1, 16)
     assert np.load(__import__("io").BytesIO(got[1].tile)).shape == (32, 32, 1)
     assert got[2].dhash is None and got[2].error is None and got[3].error and got[4].error
-
-
-def test_licence_sentences_without_common_words(docs_of):
-    want = [
-        ("This software is released under the GNU GPL v3.", ["gpl-3.grant"]),
-        ("Distributed under CC BY 4.0.", ["cc-by-4.grant"]),
-        ("released under CC0 1.0", ["cc0.grant"]),
-        ("All rights reserved.", ["rights.reserved"]),
-        ("If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ["mpl-2.copy"]),
-        ("Published under AGPL 3.0.", ["agpl-3.grant"]),
-        ("Nothing of the kind.", []),
-    ]
-    got = {r.doc_id: r.sentence_ids for r in licenses.licenses(docs_of(enumerate(t for t, _ in want))).collect()}
-    assert [got[i] for i in range(len(want))] == [ids for _, ids in want]
