@@ -78,7 +78,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").withColumn("line", F.substring(F.regexp_extract("text", r"^[^\n]*", 0), 1, 200))
+    docs = _read(spark, d, "documents").withColumn("line", F.col("text"))
     return table_triples(docs, "documents", ["doc_id"], ["line", "source", "n_chars"], langs={"line": "lang"})
 
 
@@ -380,6 +380,7 @@ _function_query("fn_before_after", _parts, "p_partkey", {"b": "p_brand"}, {"befo
 _function_query("fn_regex_replace", _parts, "p_partkey", {"n": "p_name"}, {"r": lambda: v.regex(var("n"), "^P.*[0-4]$", "i"), "s": lambda: v.replace(var("n"), "[0-9]+", "<$&>")}, "SELECT p_partkey, regexp_matches(p_name, '^P.*[0-4]$', 'i') AS r, regexp_replace(p_name, '([0-9]+)', '<\\1>', 'g') AS s FROM part")
 _function_query("fn_encode_for_uri", _parts, "p_partkey", {"b": "p_brand"}, {"u": lambda: v.encode_for_uri(v.concat(var("b"), " é(~)!*"))}, "SELECT p_partkey, replace(replace(p_brand, '#', '%23'), ' ', '%20') || '%20%C3%A9(~)!*' AS u FROM part")
 _function_query("fn_lang", _documents, "doc_id", {"x": "line"}, {"tag": lambda: v.lang(var("x")), "en": lambda: v.langmatches(v.lang(var("x")), "EN"), "some": lambda: v.langmatches(v.lang(var("x")), "*"), "iri": lambda: v.lang(var("k"))}, "SELECT doc_id, lang AS tag, lang = 'en' AS en, lang <> '' AS some, '' AS iri FROM documents")
+_function_query("fn_lang_text", _documents, "doc_id", {"x": "line"}, {"len": lambda: v.strlen(var("x"))}, "SELECT doc_id, CAST(length(text) AS DOUBLE) AS len FROM documents")
 _function_query("fn_datatype", _parts, "p_partkey", {"z": "p_size", "n": "p_name", "r": "p_retailprice"}, {"a": lambda: v.datatype(var("z")), "b": lambda: v.datatype(var("n")), "c": lambda: v.datatype(var("r")), "e": lambda: v.datatype(var("k"))}, "SELECT p_partkey, '<http://www.w3.org/2001/XMLSchema#integer>' AS a, '<http://www.w3.org/2001/XMLSchema#string>' AS b, '<http://www.w3.org/2001/XMLSchema#double>' AS c, CAST(NULL AS VARCHAR) AS e FROM part")
 _function_query("fn_build_terms", _parts, "p_partkey", {"z": "p_size", "n": "p_brand"}, {"a": lambda: v.strdt(v.str_(var("z")), f"<{t.XSD}decimal>"), "b": lambda: v.strlang(var("n"), "EN-us"), "c": lambda: v.iri(v.concat("urn:x:", var("z"))), "e": lambda: v.bnode(v.concat("b", var("z")))}, "SELECT p_partkey, '\"' || p_size || '\"^^<http://www.w3.org/2001/XMLSchema#decimal>' AS a, '\"' || p_brand || '\"@en-us' AS b, '<urn:x:' || p_size || '>' AS c, '_:b' || p_size AS e FROM part")
 _function_query("fn_term_tests", _parts, "p_partkey", {"z": "p_size", "n": "p_brand"}, {"a": lambda: v.isiri(var("k")), "b": lambda: v.isliteral(var("z")), "c": lambda: v.isblank(v.bnode("q")), "e": lambda: v.isnumeric(var("z")), "f": lambda: v.isnumeric(var("n")), "g": lambda: v.isliteral(v.str_(var("n"))), "h": lambda: v.sameterm(var("n"), '"Brand#11"')}, "SELECT p_partkey, true AS a, true AS b, true AS c, true AS e, false AS f, false AS g, p_brand = 'Brand#11' AS h FROM part")
