@@ -6,8 +6,12 @@
    best-fit decreasing. Dual feasible functions give a lower bound on the partition's number of
    sequences. A partition that meets its bound keeps all but its last open sequence;
    one with a gap gives the pieces of its emptiest sequences away, enough of them to
-   be able to close the gap. What was given away is dealt over fewer partitions and packed
-   again, until one partition has packed the rest.
+   be able to close the gap. What was given away is dealt anew and packed again, until one partition holds the rest, or a round
+   gives away more than half of what it got: then the next one keeps all. No round has
+   fewer partitions than its pieces ask for, so a task holds about ``per_partition`` of them at most.
+
+Each row has its certificate: ``round``, ``part``, and the sequences that this partition packed (``part_sequences``) with
+the proven least number for its pieces (``part_bound``).
 
 Nothing is dropped: each piece is in exactly one sequence. Pieces of equal length are
 ordered by (doc_id, piece, ids_crc32), so a rerun after a lost executor gives the same result. Repeated
@@ -22,48 +26,58 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from grafthorn.llm.common import rows, written
+from grafthorn.llm.common import drop_written, written
 
 CAPACITY = 4096
 END_ID = 1
 _CHUNK = re.compile(r"[^ \n]+")
-#: Chunks that a Python worker keeps, about 200 bytes each.
+#: Latin letters and then punctuation. These letters are stable under NFC; U+0130 isn't one letter in lower case.
+_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
+#: Chunks that a task keeps, about 200 bytes each, and characters that are encoded at a time.
 _CACHE = 600_000
+_SLICE_CHARS = 4_000_000
 #: Pieces that one task packs.
 PER_PARTITION = 100_000
 #: A sequence with more free tokens than this share of the capacity is given away where a gap is open.
 OPEN_SHARE = 0.005
 
 
+@lru_cache(maxsize=1)
+def _tokenizers(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
+    """The tokenizer, the same without its normaliser and splitter for words that are bare already, and which ids end a word."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    bare.normalizer = None
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocabulary = whole.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    for token, i in vocabulary.items():
+        ends[i] = token.endswith("</w>")
+    return whole, bare, ends
+
+
 class _Encoder(dict):
-    """Ids of chunks without blanks or line ends, as little-endian bytes.
+    """Ids of chunks without blanks or line ends, as little-endian bytes; one for each task.
 
-    The tokenizer splits at white space before it merges anything, so chunk by chunk
-    gives the ids of the whole text; the first chunks seen, frequent ones mostly, are kept.
+    The tokenizer splits at white space before it merges anything, so chunk by chunk gives the ids of the whole text. A slice's new
+    words are encoded together, each once.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>")
+        self.whole, self.bare, self.ends = _tokenizers(path)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of some words of letters only, encoded in one text and cut at word ends."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        """Ids of lower-case words of Latin letters, encoded in one text and cut at word ends."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.nonzero(self.ends[ids])[0] + 1
         if len(cuts) != len(words):
             return self._each(words)
@@ -71,54 +85,55 @@ class _Encoder(dict):
         return [data[x:y] for x, y in zip(places, places[1:], strict=False)]
 
     def _each(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks; full stops and commas after a word are tokens of their own, so words are encoded without them."""
-        stems = {c: c.rstrip(".,") for c in chunks}
-        words = list({w for w in stems.values() if w.isalpha() and w not in self})
-        known: dict[str, bytes] = {}
-        for at in range(0, len(words), 1000):
-            known.update(zip(words[at : at + 1000], self._words(words[at : at + 1000]), strict=True))
-        rest = list({c for c, w in stems.items() if not w.isalpha()} | {c[len(w) :] for c, w in stems.items() if w.isalpha() and c != w})
-        for at in range(0, len(rest), 10_000):
-            known.update(zip(rest[at : at + 10_000], self._each(rest[at : at + 10_000]), strict=True))
-        out = {c: known[c] for c in chunks if c in known}
-        for c, w in stems.items():
-            if c not in out:
-                stem = known[w] if w in known else self[w]
-                out[c] = stem if c == w else stem + known[c[len(w) :]]
-        return out
-
-    def ids(self, text: str) -> bytes:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Add new chunks. Letters and punctuation are split before anything is merged, so words are encoded without their marks."""
+        parted = {c: (m[1].lower(), m[2]) for c in chunks if (m := _WORD_AND_MARKS.fullmatch(c))}
+        words = list({w for w, _ in parted.values()})
+        ids = {w: i for at in range(0, len(words), 1000) for w, i in zip(words[at : at + 1000], self._words(words[at : at + 1000]), strict=True)}
+        rest = list({m for _, m in parted.values() if m}.union(c for c in chunks if c not in parted))
+        other = {c: i for at in range(0, len(rest), 10_000) for c, i in zip(rest[at : at + 10_000], self._each(rest[at : at + 10_000]), strict=True)}
+        other[""] = b""
+        for c in chunks:
+            word = parted.get(c)
+            self[c] = ids[word[0]] + other[word[1]] if word else other[c]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         # It lower-cases too; where that is certain to be the same, it is done before the look-up.
-        chunks = _CHUNK.findall(text.lower() if text.isascii() and "<|" not in text else text)
-        new = list(filterfalse(self.__contains__, set(chunks)))
-        if not new:
-            return b"".join(map(self.__getitem__, chunks))
-        fresh = self._fresh(new)
-        if len(self) + len(fresh) <= _CACHE:
-            self.update(fresh)
-            return b"".join(map(self.__getitem__, chunks))
-        return b"".join(fresh[c] if c in fresh else self[c] for c in chunks)
-
-
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> _Encoder:
-    """One for all tasks that a Python worker runs."""
-    return _Encoder(path)
+        chunked = [_CHUNK.findall(t.lower() if t.isascii() and "<|" not in t else t) for t in texts]
+        new = set().union(*chunked)
+        new.difference_update(self.keys())
+        if len(self) + len(new) > _CACHE:
+            self.clear()
+            new = set().union(*chunked)
+        self._learn(list(new))
+        return [b"".join(map(self.__getitem__, chunks)) for chunks in chunked]
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of whole texts of about ``_SLICE_CHARS`` characters; null is empty."""
+    own, held = [], 0
+    for t in texts:
+        own.append(t or "")
+        held += len(own[-1])
+        if held >= _SLICE_CHARS:
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = _Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at: list[int] = []
             out: list[tuple] = []
-            for n, (text,) in enumerate(rows([batch], 1)):
-                ids = encoder.ids(text or "") + end
+            every = (ids + end for own in _slices(batch.column(1).to_pylist()) for ids in encoder.ids(own))
+            for n, ids in enumerate(every):
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     at.append(n)
@@ -186,32 +201,40 @@ def _packer(capacity: int, last: bool, round_no: int):
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_numpy()
         bins, offsets, fills = best_fit_decreasing(lengths.tolist(), capacity)
-        gap = len(fills) - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
         given: set[int] = set()
         if not last:
             # Emptiest first: the last open sequence, and where the bound isn't met the others with room.
             by_room = sorted(range(len(fills)), key=lambda b: (fills[b], b))
             keep = capacity * (1 - OPEN_SHARE)
-            given = {b for b in by_room[: max(1, 8 * gap)] if fills[b] < keep}
+            given = {b for b in by_room[: max(1, 8 * (len(fills) - bound))] if fills[b] < keep}
         base = (round_no << 56) | (part << 28)
-        ids = [None if b in given else base + b for b in bins]
-        return table.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        columns = {
+            "sequence_id": pa.array([None if b in given else base + b for b in bins], pa.int64()),
+            "offset": pa.array(offsets, pa.int64()),
+            **{name: pa.array(np.full(len(bins), x, np.int64)) for name, x in (("round", round_no), ("part", part), ("part_sequences", len(fills)), ("part_bound", bound))},
+        }
+        for name, column in columns.items():
+            table = table.append_column(name, column)
+        return table
 
     return pack
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32) no longer than ``capacity``.
+    """Add sequence_id, offset and the certificate to pieces (doc_id, piece, start, length, ids_crc32) no longer than ``capacity``.
 
     The pieces are written to the shared folder first, and so is each round's result.
     """
-    rest = written(pieces)
+    pieces = rest = written(pieces)
     columns, number = rest.columns, rest.count()
-    parts = max(1, -(-number // per_partition))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", sequence_id long, offset long"
-    done, round_no = [], 0
+    added = "sequence_id long, offset long, round long, part long, part_sequences long, part_bound long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + f", {added}"
+    done, round_no, last = [], 0, False
     while True:
-        pack = _packer(capacity, parts == 1, round_no)
+        parts = max(1, -(-number // per_partition))
+        last = last or parts == 1
+        pack = _packer(capacity, last, round_no)
 
         def work(batches: Iterator[pa.RecordBatch], pack=pack) -> Iterator[pa.RecordBatch]:
             held = [b for b in batches if b.num_rows]
@@ -226,13 +249,15 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER
         key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(round_no)), F.lit(parts)).cast("int")
         out = written(rest.withColumn("_part", key).repartition(parts, "_part").mapInArrow(work, schema))
         done.append(out.where("sequence_id is not null"))
-        if parts == 1:
+        if round_no == 0:
+            drop_written(pieces)
+        if last:
             break
         rest = out.where("sequence_id is null").select(*columns)
-        number, round_no = rest.count(), round_no + 1
+        before, number, round_no = number, rest.count(), round_no + 1
         if number == 0:
             break
-        parts = min(-(-number // per_partition), max(1, parts // 4))
+        last = 2 * number > before
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)

@@ -37,9 +37,20 @@ def test_packing(docs_of):
             at += length
         assert at <= 4096
     assert len(bins) <= packing.lower_bound(np.array([r.length for r in got]), 4096) + 2
+    # Each partition's certificate: its bound proves how far from the fewest its count may be.
+    assert all(0 < r.part_bound <= r.part_sequences and (r.part_sequences - r.part_bound <= 1 or r.round < max(x.round for x in got)) for r in got)
+    assert all(sum(1 for r in got if (r.round, r.part) == k) < 60 for k in {(r.round, r.part) for r in got})
     assert packing.packed(packing.token_pieces(docs_of(docs).limit(0), TOKENIZER)).count() == 0
 
 
+def test_chunks_encode_like_whole_texts():
+    whole = Tokenizer.from_file(TOKENIZER)
+    odd = ["İstanbul É Ñandú’s café, cafe\u0301 $5.00<|endoftext|>Foo bar", "Dž ß ẞ ﬁ x\r\nQ", "中文 テスト. привет, ½ ²x x_y_z _a it's. o'clock,' don't.'", "a" * 9000, "E\u0301.\u0301 e,\u0301", "×a÷ ªº µ.", "shndsh$$$ ok'll ('re)"]
+    encoder = packing._Encoder(TOKENIZER)
+    for _ in range(2):
+        assert [np.frombuffer(i, "<u4").tolist() for i in encoder.ids(odd)] == [whole.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_bounds_hold(seed):
     rng = random.Random(seed)
