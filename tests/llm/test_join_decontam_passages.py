@@ -133,14 +133,34 @@ def test_hamming_blocks_guarantee():
 
 def test_compact_windows():
     rng = np.random.default_rng(6)
-    values = rng.permutation(60)
-    found = passages.compact_windows(values, 10)
+    values = rng.permutation(60).astype(np.uint64) + np.uint64(1)
+    found = list(zip(*passages.compact_windows(values, np.array([60]), 10), strict=True))
     for i in range(60):
         for j in range(i + 10, 61):
             least = i + int(values[i:j].argmin())
             assert sum(a <= i and c == least and b >= j for a, c, b in found) == 1
 
 
+@pytest.mark.parametrize("most", [5, 10**9])
+def test_compact_windows_of_many_texts(most):
+    rng = np.random.default_rng(most)
+    for _ in range(100):
+        sizes = rng.integers(1, 60, 6)
+        values = rng.integers(1, most, sizes.sum()).astype(np.uint64)
+        got, want, at = set(zip(*(x.tolist() for x in passages.compact_windows(values, sizes, 10)), strict=True)), set(), 0
+        for n in sizes.tolist():
+            open_ = [(at, at + n)]
+            while open_:
+                first, end = open_.pop()
+                if end - first >= 10:
+                    least = first + int(values[first:end].argmin())
+                    want.add((first, least, end))
+                    open_ += [(first, least), (least + 1, end)]
+            at += n
+        # Inside a run of one value only the first and the last are kept.
+        assert all(values[least] == values[least - 1] for _, least, _ in got ^ want) and (most == 5 or got == want)
+
+
 def test_passages(docs_of):
     rng = random.Random(7)
     shared = [some_words(rng, n) for n in (55, 80, 120)]
@@ -197,6 +217,7 @@ def test_edited_passages_are_met_and_verified():
             p = some_words(rng, n)
             q = [*p[:at], *some_words(rng, new), *p[at + cut :]]
             left, right = (passages.shingle_hashes(" ".join(some_words(rng, 60) + t + some_words(rng, 60)), words) for t in (p, q))
-            met += bool(set(passages._window_keys(left)[0].tolist()) & set(passages._window_keys(right)[0].tolist()))
+            keys = [set(passages.window_keys(t, np.array([len(t)]))[0].tolist()) for t in (left, right)]
+            met += bool(keys[0] & keys[1])
             assert passages.shared_passages(left, right) and passages.shared_passages(right, left)
         assert met >= 97
