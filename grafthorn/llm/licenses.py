@@ -22,86 +22,164 @@ _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
 _WRAP = re.compile(r"(?<![.!?:;\n])\n(?!\n)")
 _OTHER = re.compile(r"[\W_]+")
 
-_SUBJECT = r"(?:(?:this|the) (?:work|software|file|program|project|code|document|page|text|material|library|content)(?: is)? )?(?:is )?"
-_VERB = r"(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|made available)(?: to you)? under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
-_GRANT = rf"^{_SUBJECT}{_VERB}"
-_GNU = r"(?:gnu )?"
-
-#: Identifier of a licence sentence -> expression over the whole normalised sentence.
+#: How a grant sentence begins, up to the licence's name.
+_GRANT = re.compile(
+    r"(?:(?:this|the) (?:work|software|file|program|project|code|document|page|text|material|library|content|package|module|article|dataset|data)(?: is| are)? )?(?:is |are )?(?:(?:and|all) )?"
+    r"(?:dual |jointly )?(?:licen[cs]ed|released|distributed|published|available|provided|made available|redistributable|offered|shared)(?: to you)? under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+)
+_LICENCE = r"(?: licen[cs]e)?"
+_VERSION = r"(?: version| v)? ?"
+_LATER = r"(?: only)?"
+#: Identifier of a grant sentence -> expression over the whole name that follows its beginning.
+GRANTS = {
+    "apache-2.grant": rf"apache(?: software)? licen[cs]e{_VERSION}2(?: 0)?(?: the licen[cs]e)?|apache{_VERSION}2(?: 0)?{_LICENCE}",
+    "mit.grant": rf"(?:expat |x11 )?mit{_LICENCE}",
+    "isc.grant": rf"isc{_LICENCE}",
+    "bsd-3.grant": rf"(?:3 clause|three clause|new|modified|revised) bsd{_LICENCE}|bsd 3 clause{_LICENCE}",
+    "bsd-2.grant": rf"(?:2 clause|two clause|simplified|freebsd) bsd{_LICENCE}|bsd 2 clause{_LICENCE}",
+    "gpl-3.grant": rf"(?:gnu )?(?:general public licen[cs]e|gpl){_VERSION}3(?: 0)?{_LATER}",
+    "gpl-2.grant": rf"(?:gnu )?(?:general public licen[cs]e|gpl){_VERSION}2(?: 0)?{_LATER}",
+    "lgpl-3.grant": rf"(?:gnu )?(?:lesser general public licen[cs]e|lgpl){_VERSION}3(?: 0)?{_LATER}",
+    "lgpl-2.1.grant": rf"(?:gnu )?(?:lesser general public licen[cs]e|lgpl){_VERSION}2 1{_LATER}",
+    "agpl-3.grant": rf"(?:gnu )?(?:affero general public licen[cs]e|agpl){_VERSION}3(?: 0)?{_LATER}",
+    "mpl-2.grant-by-name": rf"(?:mozilla public licen[cs]e|mpl){_VERSION}2(?: 0)?",
+    "epl-1.grant": rf"(?:eclipse public licen[cs]e|epl){_VERSION}1(?: 0)?",
+    "epl-2.grant": rf"(?:eclipse public licen[cs]e|epl){_VERSION}2(?: 0)?",
+    "artistic-1.grant": rf"artistic licen[cs]e{_VERSION}1(?: 0)?",
+    "artistic-2.grant": rf"artistic licen[cs]e{_VERSION}2(?: 0)?",
+    "boost-1.grant": rf"boost software licen[cs]e{_VERSION}1(?: 0)?",
+    "zlib.grant": rf"zlib{_LICENCE}",
+    "unlicense.grant": r"unlicen[cs]e",
+    "cc-by-4.grant": rf"(?:a )?(?:cc by|creative commons attribution) 4 0(?: international)?{_LICENCE}",
+    "cc-by-sa-4.grant": rf"(?:a )?(?:cc by sa|creative commons attribution share ?alike) 4 0(?: international)?{_LICENCE}",
+    "cc-by-nc-4.grant": rf"(?:a )?(?:cc by nc|creative commons attribution non ?commercial) 4 0(?: international)?{_LICENCE}",
+    "cc-by-nd-4.grant": rf"(?:a )?(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s) 4 0(?: international)?{_LICENCE}",
+    "cc-by-nc-sa-4.grant": rf"(?:a )?(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0(?: international)?{_LICENCE}",
+    "cc-by-nc-nd-4.grant": rf"(?:a )?(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s) 4 0(?: international)?{_LICENCE}",
+    "cc-by-3.grant": rf"(?:a )?(?:cc by|creative commons attribution) 3 0(?: unported)?{_LICENCE}",
+    "cc-by-sa-3.grant": rf"(?:a )?(?:cc by sa|creative commons attribution share ?alike) 3 0(?: unported)?{_LICENCE}",
+    "cc0.grant": rf"(?:a )?(?:creative commons )?(?:cc0|cc zero)(?: 1 0)?(?: universal)?{_LICENCE}",
+    "other.licence": r"(?:.* )?licen[cs]e(?: .*)?",
+}
+_GNU_FREE = r"(?:program|library|software|file) is free software you can redistribute it and or modify it under the terms of the gnu"
+_GNU_AS = r"as published by the free software foundation"
+_OR_LATER = r"(?:of the licen[cs]e )?or at your option any later version"
+#: Identifier of any other licence sentence -> expressions over the normalised sentence. The first two words of each are literal.
 SENTENCES = {
-    "apache-2.grant": rf"{_GRANT}apache (?:software )?licen[cs]e,? (?:version |v ?)?2(?: 0)?(?: the licen[cs]e)?$",
-    "apache-2.compliance": r"^you may not use this file except in compliance with the licen[cs]e$",
-    "apache-2.copy": r"^you may obtain a copy of the licen[cs]e at",
-    "apache-2.asis": r"^unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis",
-    "apache-2.see": r"^see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e$",
-    "mit.grant": rf"{_GRANT}mit licen[cs]e$",
-    "mit.title": r"^(?:the )?mit licen[cs]e(?: mit)?$",
-    "mit.permission": r"^permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mit.notice": r"^the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software$",
-    "mit.asis": r"^the software is provided as is without warranty of any kind express or implied",
-    "mit.liability": r"^in no event shall the authors or copyright holders be liable for any claim",
-    "isc.permission": r"^permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "bsd.redistribution": r"^redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met$",
-    "bsd.source": r"^(?:\d )?redistributions of source code must retain the above copyright notice",
-    "bsd.binary": r"^(?:\d )?redistributions in binary form must reproduce the above copyright notice",
-    "bsd.endorse": r"^(?:\d )?neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$",
-    "bsd.asis": r"^this software is provided by the copyright holders? and contributors as is",
-    "bsd.liability": r"^in no event shall the copyright (?:holder|owner)s? or contributors be liable",
-    "bsd-3.grant": rf"{_GRANT}(?:3 clause|new|modified) bsd licen[cs]e$",
-    "bsd-2.grant": rf"{_GRANT}(?:2 clause|simplified) bsd licen[cs]e$",
-    "gpl-3.grant": rf"{_GRANT}{_GNU}(?:general public licen[cs]e|gpl) (?:version |v ?)?3(?: 0)?$",
-    "gpl-2.grant": rf"{_GRANT}{_GNU}(?:general public licen[cs]e|gpl) (?:version |v ?)?2(?: 0)?$",
-    "lgpl-3.grant": rf"{_GRANT}{_GNU}(?:lesser general public licen[cs]e|lgpl) (?:version |v ?)?3(?: 0)?$",
-    "lgpl-2.1.grant": rf"{_GRANT}{_GNU}(?:lesser general public licen[cs]e|lgpl) (?:version |v ?)?2 1$",
-    "agpl-3.grant": rf"{_GRANT}{_GNU}(?:affero general public licen[cs]e|agpl) (?:version |v ?)?3(?: 0)?$",
-    "gpl-3.free": r"^this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version$",
-    "gpl-2.free": r"^this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e or at your option any later version$",
-    "gpl.hope": r"^this program is distributed in the hope that it will be useful but without any warranty",
-    "gpl.see": r"^see the gnu (?:lesser |affero )?general public licen[cs]e for more details$",
-    "gpl.received": r"^you should have received a copy of the gnu (?:lesser |affero )?general public licen[cs]e along with this program",
-    "mpl-2.grant": r"^this source code form is subject to the terms of the mozilla public licen[cs]e v ?2 0$",
-    "mpl-2.copy": r"^if a copy of the mpl was not distributed with this file you can obtain one at",
-    "cc-by-4.grant": rf"{_GRANT}(?:a )?(?:cc by|creative commons attribution) 4 0(?: international)?(?: licen[cs]e)?$",
-    "cc-by-sa-4.grant": rf"{_GRANT}(?:a )?(?:cc by sa|creative commons attribution share ?alike) 4 0(?: international)?(?: licen[cs]e)?$",
-    "cc-by-nc-4.grant": rf"{_GRANT}(?:a )?(?:cc by nc|creative commons attribution non ?commercial) 4 0(?: international)?(?: licen[cs]e)?$",
-    "cc-by-nd-4.grant": rf"{_GRANT}(?:a )?(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s) 4 0(?: international)?(?: licen[cs]e)?$",
-    "cc0.grant": rf"{_GRANT}(?:cc0|cc zero)(?: 1 0)?(?: universal)?(?: licen[cs]e)?$",
-    "unlicense.free": r"^this is free and unencumbered software released into the public domain$",
-    "public-domain": r"^(?:this|the) (?:work|software|file|text|code) is in the public domain$",
-    "copyright.line": r"^copyright (?:c )?(?:\d{4}|by)\b",
-    "rights.reserved": r"^all rights reserved$",
-    "other.licence": rf"{_GRANT}.*\blicen[cs]e\b",
+    "apache-2.compliance": (r"you may not use this file except in compliance with the licen[cs]e$",),
+    "apache-2.copy": (r"you may obtain a copy of the licen[cs]e at\b",),
+    "apache-2.asis": (r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis",),
+    "apache-2.see": (r"see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e$",),
+    "apache-2.title": (r"apache licen[cs]e version 2 0(?: january 2004)?$",),
+    "mit.title": (r"the mit licen[cs]e(?: mit)?$", r"mit licen[cs]e(?: mit)?$"),
+    "mit.permission": (r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",),
+    "mit.notice": (r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software$",),
+    "mit.asis": (r"the software is provided as is(?: and the author disclaims all warranties|,? without warranty of any kind express or implied)",),
+    "mit.liability": (r"in no event shall the authors? (?:or copyright holders )?be liable for any",),
+    "isc.permission": (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "boost-1.title": (r"boost software licen[cs]e version 1 0",),
+    "boost-1.permission": (r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e",),
+    "zlib.asis": (r"this software is provided as is without any express or implied warranty$",),
+    "zlib.liability": (r"in no event will the authors? be held liable for any damages arising from the use of this software$",),
+    "zlib.permission": (r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",),
+    "bsd.redistribution": (r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met$",),
+    "bsd.source": (r"redistributions of source code must retain the above copyright notice", *(rf"{n} redistributions of source code must retain the above copyright notice" for n in (1, 2, 3))),
+    "bsd.binary": (r"redistributions in binary form must reproduce the above copyright notice", *(rf"{n} redistributions in binary form must reproduce the above copyright notice" for n in (1, 2, 3))),
+    "bsd.endorse": (r"neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$", *(rf"{n} neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$" for n in (3, 4))),
+    "bsd.asis": (r"this software is provided by the (?:copyright holders?|authors?|regents)(?: and contributors)? as is",),
+    "bsd.liability": (r"in no event shall the (?:copyright (?:holder|owner)s?|authors?|regents) or contributors be liable",),
+    "gpl-3.free": (rf"this {_GNU_FREE} general public licen[cs]e {_GNU_AS} either version 3 {_OR_LATER}$",),
+    "gpl-2.free": (rf"this {_GNU_FREE} general public licen[cs]e {_GNU_AS} either version 2 {_OR_LATER}$",),
+    "gpl-3.free-only": (rf"this {_GNU_FREE} general public licen[cs]e {_GNU_AS} version 3(?: of the licen[cs]e)?$",),
+    "gpl-2.free-only": (rf"this {_GNU_FREE} general public licen[cs]e {_GNU_AS} version 2(?: of the licen[cs]e)?$",),
+    "lgpl-3.free": (rf"this {_GNU_FREE} lesser general public licen[cs]e {_GNU_AS} either version 3 {_OR_LATER}$",),
+    "lgpl-2.1.free": (rf"this {_GNU_FREE} lesser general public licen[cs]e {_GNU_AS} either version 2 1 {_OR_LATER}$",),
+    "agpl-3.free": (rf"this {_GNU_FREE} affero general public licen[cs]e {_GNU_AS} either version 3 {_OR_LATER}$",),
+    "gpl.hope": (r"this (?:program|library|software|file) is distributed in the hope that it will be useful but without any warranty",),
+    "gpl.see": (r"see the gnu (?:lesser |affero )?general public licen[cs]e for more details$",),
+    "gpl.received": (r"you should have received a copy of the gnu (?:lesser |affero )?general public licen[cs]e along with this (?:program|library|software)",),
+    "mpl-2.grant": (r"this source code form is subject to the terms of the mozilla public licen[cs]e v ?2 0$",),
+    "mpl-2.copy": (r"if a copy of the mpl was not distributed with this file you can obtain one at\b",),
+    "epl-1.materials": (r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v ?1 0\b",),
+    "epl-2.materials": (r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e(?: v)? ?2 0\b",),
+    "unlicense.free": (r"this is free and unencumbered software released into the public domain$",),
+    "unlicense.anyone": (r"anyone is free to copy modify publish use compile sell or distribute this software",),
+    "public-domain": tuple(rf"{which} (?:work|software|file|text|code) is in the public domain$" for which in ("this", "the")),
+    "copyright.line": (r"copyright c (?:\d{4}|by)\b", r"copyright by\b"),
+    "rights.reserved": (r"all rights reserved$",),
 }
+#: Names in an SPDX identifier line, as normalised, that stand for a licence.
+SPDX = ("Apache-2.0", "MIT", "ISC", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Artistic-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")
 #: Licence, identifiers in order; a trailing ? marks one that may be missing. Earlier rules win.
 RULES = (
     ("BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.asis?", "bsd.liability?")),
     ("BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.asis?", "bsd.liability?")),
     ("BSD-3-Clause", ("bsd-3.grant",)),
     ("BSD-2-Clause", ("bsd-2.grant",)),
-    ("Apache-2.0", ("apache-2.grant", "apache-2.compliance?", "apache-2.copy?", "apache-2.asis?", "apache-2.see?")),
+    ("Apache-2.0", ("apache-2.title?", "apache-2.grant", "apache-2.compliance?", "apache-2.copy?", "apache-2.asis?", "apache-2.see?")),
+    ("Apache-2.0", ("apache-2.title",)),
     ("MIT", ("mit.title?", "mit.permission", "mit.notice?", "mit.asis?", "mit.liability?")),
+    ("BSL-1.0", ("boost-1.title?", "boost-1.permission", "mit.asis?")),
+    ("BSL-1.0", ("boost-1.title",)),
+    ("BSL-1.0", ("boost-1.grant",)),
+    ("Zlib", ("zlib.asis?", "zlib.liability?", "zlib.permission")),
+    ("Zlib", ("zlib.grant",)),
     ("MIT", ("mit.grant",)),
     ("MIT", ("mit.title",)),
-    ("ISC", ("isc.permission", "mit.asis?")),
+    ("ISC", ("isc.permission", "mit.asis?", "mit.liability?")),
+    ("ISC", ("isc.grant",)),
+    ("AGPL-3.0-or-later", ("agpl-3.free", "gpl.hope?", "gpl.see?", "gpl.received?")),
     ("AGPL-3.0", ("agpl-3.grant",)),
+    ("LGPL-3.0-or-later", ("lgpl-3.free", "gpl.hope?", "gpl.see?", "gpl.received?")),
+    ("LGPL-2.1-or-later", ("lgpl-2.1.free", "gpl.hope?", "gpl.see?", "gpl.received?")),
     ("LGPL-3.0", ("lgpl-3.grant",)),
     ("LGPL-2.1", ("lgpl-2.1.grant",)),
     ("GPL-3.0-or-later", ("gpl-3.free", "gpl.hope?", "gpl.see?", "gpl.received?")),
     ("GPL-2.0-or-later", ("gpl-2.free", "gpl.hope?", "gpl.see?", "gpl.received?")),
+    ("GPL-3.0", ("gpl-3.free-only", "gpl.hope?", "gpl.see?", "gpl.received?")),
+    ("GPL-2.0", ("gpl-2.free-only", "gpl.hope?", "gpl.see?", "gpl.received?")),
     ("GPL-3.0", ("gpl-3.grant",)),
     ("GPL-2.0", ("gpl-2.grant",)),
     ("MPL-2.0", ("mpl-2.grant", "mpl-2.copy?")),
+    ("MPL-2.0", ("mpl-2.grant-by-name", "mpl-2.copy?")),
+    ("EPL-1.0", ("epl-1.materials",)),
+    ("EPL-2.0", ("epl-2.materials",)),
+    ("EPL-1.0", ("epl-1.grant",)),
+    ("EPL-2.0", ("epl-2.grant",)),
+    ("Artistic-1.0", ("artistic-1.grant",)),
+    ("Artistic-2.0", ("artistic-2.grant",)),
     ("CC-BY-4.0", ("cc-by-4.grant",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4.grant",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4.grant",)),
     ("CC-BY-ND-4.0", ("cc-by-nd-4.grant",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4.grant",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4.grant",)),
+    ("CC-BY-3.0", ("cc-by-3.grant",)),
+    ("CC-BY-SA-3.0", ("cc-by-sa-3.grant",)),
     ("CC0-1.0", ("cc0.grant",)),
-    ("Unlicense", ("unlicense.free",)),
+    ("Unlicense", ("unlicense.free", "unlicense.anyone?")),
+    ("Unlicense", ("unlicense.grant",)),
     ("Public domain", ("public-domain",)),
+    *((name, (f"spdx.{name}",)) for name in SPDX),
 )
-_KNOWN = [(name, re.compile(expression)) for name, expression in SENTENCES.items()]
-#: Matches where any of them does: one search settles most sentences.
-_ANY = re.compile("|".join(f"(?:{expression})" for expression in SENTENCES.values()))
+_OF_GRANT = [(name, re.compile(expression)) for name, expression in GRANTS.items()]
+_COPYRIGHT_YEAR = re.compile(r"copyright \d{4}\b")
+_SPDX_LINE = re.compile(r"spdx licen[cs]e identifier (.+)")
+
+
+def _by_first_words() -> dict[tuple[str, str], list[tuple[str, re.Pattern]]]:
+    found: dict[tuple[str, str], list[tuple[str, re.Pattern]]] = {}
+    for name, expressions in SENTENCES.items():
+        for x in expressions:
+            first, second = x.replace(r"\b", "").split(" ", 2)[:2]
+            bare = second[3:].partition(")")[0] if second.startswith("(?:") else second.rstrip("$").partition("(")[0]
+            # A group stands for each of its words, a word with a spelling class for both its spellings.
+            for word in sorted({w.replace("[cs]", c) for w in bare.split("|") for c in "cs"}):
+                found.setdefault((first, word), []).append((name, re.compile(x)))
+    return found
+
+
+_FIRST_WORDS = _by_first_words()
 
 
 def normalised(sentence: str) -> str:
@@ -110,11 +188,24 @@ def normalised(sentence: str) -> str:
 
 
 def sentence_id(sentence: str) -> str | None:
-    """The first known identifier whose expression the normalised sentence matches."""
+    """The known identifier of a sentence: by the two words it begins with, as an identifier line, or as a grant.
+
+    No sentence is left out before that; what two words begin and what a grant names decides which expressions can match at all.
+    """
     plain = normalised(sentence)
-    if not _ANY.search(plain):
-        return None
-    return next((name for name, expression in _KNOWN if expression.search(plain)), None)
+    first, _, more = plain.partition(" ")
+    for name, expression in _FIRST_WORDS.get((first, more.partition(" ")[0]), ()):
+        if expression.match(plain):
+            return name
+    if first == "copyright" and _COPYRIGHT_YEAR.match(plain):
+        return "copyright.line"
+    if first == "spdx" and (m := _SPDX_LINE.fullmatch(plain)):
+        return next((f"spdx.{x}" for x in SPDX if normalised(x) == m[1]), "other.licence")
+    m = _GRANT.match(plain)
+    if m:
+        licence = plain[m.end() :]
+        return next((name for name, expression in _OF_GRANT if expression.fullmatch(licence)), None)
+    return None
 
 
 def sentence_ids(text: str | None) -> list[str]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -171,3 +172,98 @@ def test_licence_sentences_without_common_words(docs_of):
     ]
     got = {r.doc_id: r.sentence_ids for r in licenses.licenses(docs_of(enumerate(t for t, _ in want))).collect()}
     assert [got[i] for i in range(len(want))] == [ids for _, ids in want]
+
+
+def _every_expression(sentence):
+    """Identifier of a sentence by trying every expression of every kind in turn."""
+    plain = licenses.normalised(sentence)
+    for name, expressions in licenses.SENTENCES.items():
+        if any(re.match(x, plain) for x in expressions):
+            return name
+    if re.match(r"copyright \d{4}\b", plain):
+        return "copyright.line"
+    for name in licenses.SPDX:
+        if plain in (f"spdx license identifier {licenses.normalised(name)}", f"spdx licence identifier {licenses.normalised(name)}"):
+            return f"spdx.{name}"
+    if re.match("spdx licen[cs]e identifier .", plain):
+        return "other.licence"
+    for name, expression in licenses.GRANTS.items():
+        m = licenses._GRANT.match(plain)
+        if m and re.fullmatch(expression, plain[m.end() :]):
+            return name
+    return None
+
+
+def _brute_rules(ids):
+    """Rules in their order, each taking its earliest runs, on a list that marks what is gone."""
+    left, taken = list(ids), []
+    for licence, wanted in licenses.RULES:
+        for start in range(len(left)):
+            own, at = [], start
+            for w in wanted:
+                if at < len(left) and left[at] == w.rstrip("?"):
+                    own.append(at)
+                    at += 1
+                elif not w.endswith("?"):
+                    own = None
+                    break
+            if own:
+                for o in own:
+                    left[o] = None
+                taken.append((own[0], licence))
+    return [x for _, x in sorted(taken)], [x for x in left if x]
+
+
+def _example(expression, rng):
+    """A sentence that an expression matches: each group's first or a later choice, optional parts kept or not."""
+    x = expression.replace(r"\b", "").replace("$", "").replace(".* may", "the owner may").replace(r"\d{4}", "2020")
+    while True:
+        m = re.search(r"\(\?:([^()]*)\)(\??)", x)
+        if not m:
+            break
+        pick = rng.choice(m[1].split("|")) if not m[2] or rng.random() < 0.5 else ""
+        x = x[: m.start()] + pick + x[m.end() :]
+    x = re.sub(r"\[cs\]", lambda _: rng.choice("cs"), x)
+    return re.sub(r"(.)\?", lambda m: m[1] if rng.random() < 0.5 else "", x).replace(".*", "foo")
+
+
+def test_every_sentence_is_known_and_none_is_skipped(docs_of):
+    rng = random.Random(3)
+    filler = ["The cat sat.", "This is free.", "You may go now.", "In no event.", "Permission is needed here.", "The license plate.", "under the MIT License", "Released under water."]
+    known = [x for xs in licenses.SENTENCES.values() for x in xs]
+    heads = ["Licensed under the ", "This work is licensed under the terms of the ", "released under ", "The software is made available to you under the terms and conditions of the ", "# Distributed under "]
+    sentences = list(filler)
+    for _ in range(3):
+        sentences += [_example(x, rng).capitalize() + "." for x in known]
+        sentences += [rng.choice(heads) + _example(rng.choice(g.split("|")) if "(" not in g else g, rng) + "." for g in licenses.GRANTS.values()]
+        sentences += [f"SPDX-License-Identifier: {n}" for n in licenses.SPDX]
+    for s in sentences:
+        assert licenses.sentence_id(s) == _every_expression(s)
+    for name, xs in licenses.SENTENCES.items():
+        assert any(licenses.sentence_id(_example(x, rng)) == name for x in xs for _ in range(20)), name
+    docs = [(i, "\n".join(rng.choice(sentences) for _ in range(rng.randrange(12)))) for i in range(60)] + [(60, None), (61, ""), (62, "MIT License\n" * 30_000), (62, "MIT License\n" * 3)]
+    got = licenses.licenses(docs_of(docs)).collect()
+    assert len(got) == len(docs)
+    for (i, text), r in zip(docs, sorted(got, key=lambda r: (r.doc_id, -len(r.licenses))), strict=True):
+        ids = [x for s in re.split(r"(?<=[.!?])\s+|\n+", text or "") if (x := _every_expression(s))]
+        if i < 60 and ids == r.sentence_ids:
+            assert (r.licenses, r.unmatched) == _brute_rules(ids)
+        assert len(r.sentence_ids) >= len(ids)
+    assert licenses.licenses(docs_of([(1, "x")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Released under the GPL v3.", ["GPL-3.0"]),
+        ("Distributed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Released under CC0 1.0.", ["CC0-1.0"]),
+        ("Released under the LGPL v3.", ["LGPL-3.0"]),
+        ("// SPDX-License-Identifier: BSL-1.0", ["BSL-1.0"]),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even more.  See the GNU Lesser General Public License for more details.", ["LGPL-2.1-or-later"]),
+        ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", ["Zlib"]),
+        ("Boost Software License - Version 1.0 - August 17th, 2003", ["BSL-1.0"]),
+    ],
+)
+def test_more_licences(text, want):
+    assert licenses.match_rules(licenses.sentence_ids(text))[0] == want
