@@ -219,5 +219,5 @@ def test_edited_passages_are_met_and_verified():
             left, right = (passages.shingle_hashes(" ".join(some_words(rng, 60) + t + some_words(rng, 60)), words) for t in (p, q))
             keys = [set(passages.window_keys(t, np.array([len(t)]))[0].tolist()) for t in (left, right)]
             met += bool(keys[0] & keys[1])
-            assert passages.shared_passages(left, right) and passages.shared_passages(right, left)
+            assert passages.shared_passages(left.tolist(), right.tolist()) and passages.shared_passages(right.tolist(), left.tolist())
         assert met >= 97
