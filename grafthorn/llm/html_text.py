@@ -6,10 +6,11 @@ the parent gets all of them, the grandparent half, the next ones a third, a quar
 levels. A container's points are multiplied by one minus its link density. The best container
 (or the article or main element around it) is kept together with siblings that score at least ``SIBLING`` of it or are long,
 link-poor paragraphs. Elements that are never main text (by tag, role or whole words of class and id)
-are cut before scoring.
+are cut before scoring; words that only often mark what surrounds an article cut nothing within an article or main element.
 
-The whole html is read. Null or empty html, and pages without text blocks, give ''.
-Unclosed and stray tags follow HTML's implied ends; a tag cut off at the end of the page is dropped. Ties
+The whole html is read, in time proportional to its length. Null or empty html, and pages without text blocks, give ''.
+Unclosed and stray tags follow HTML's implied ends; a tag cut off at the end of the page is dropped. From a tag on whose quotes
+never end, tags end at the next > whatever their quotes. Ties
 between containers go to the one that opens first. Only the page's id, url and html are read.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +27,9 @@ from pyspark.sql import DataFrame
 REACH = 5
 SIBLING = 0.2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^<]*\Z", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of an opening tag: to the first > outside quotes, or to the first at all.
+_REST, _LOOSE_REST = re.compile(r"((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"), re.compile(r"([^>]*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,13 +39,15 @@ _BLOCK = frozenset("address article blockquote body caption center dd details di
 _SCORED = frozenset("p pre td blockquote dd li div section article main".split())
 #: An opening tag of these ends an open p.
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"} | {"nav", "footer", "aside", "form", "fieldset", "menu"}
-#: An opening tag ends an open element of these kinds, within the nearest of those scopes.
-_ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+#: Kinds of elements that an opening tag ends, and the scopes beyond which it doesn't look.
+_GROUPS = ((("p",), ("table", "td", "th", "button")), (("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("tr",), ("table",)), (("td", "th"), ("tr", "table")), (("option",), ("select",)))
+_ENDS = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
 _BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget "
-    "related recommended recommendations share sharing social comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
-    "subscription signup login pagination pager masthead topbar toolbar skip copyright legal hidden tags".split()
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside "
+    "comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login hidden".split()
 )
+#: These mark what surrounds an article; within one they may be its own.
+_OUTER_WORDS = frozenset("related recommended recommendations share sharing social widget pagination pager masthead topbar toolbar skip copyright legal tags".split())
 #: Longer stems, also at the front of known compounds such as "commentlist"; "commentary" is none.
 _BAD_COMPOUND = re.compile(
     r"(?:comment|sidebar|advert|cookie|footer|navbar|navigation|breadcrumb|newsletter|sponsor|promo|disqus|subscribe|subscription)(?:s|ed|ing)?"
@@ -53,49 +59,49 @@ _NEVER_CUT = frozenset(("html", "body", "article", "main"))
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "score", "chars", "link_chars", "cut", "order")
+    __slots__ = ("tag", "parent", "children", "score", "chars", "link_chars", "cut", "order", "within", "near", "kept")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool, order: int):
-        self.tag, self.parent, self.cut, self.order = tag, parent, cut, order
+    def __init__(self, tag: str, parent: _Node | None, order: int):
+        self.tag, self.parent, self.order, self.cut, self.kept = tag, parent, order, False, False
         self.children: list[_Node | str] = []
         self.score, self.chars, self.link_chars = 0.0, 0, 0
+        #: In an article or main element; in one of those or a section.
+        self.within = (tag in ("article", "main") or parent.within[0], tag in ("article", "main", "section") or parent.within[1]) if parent else (False, False)
+        #: Of each group the nearest open element in scope, itself included.
+        above = parent.near if parent else (None,) * len(_GROUPS)
+        self.near = tuple(self if tag in tags and parent else None if tag in scopes else n for n, (tags, scopes) in zip(above, _GROUPS, strict=True))
 
 
 def _is_cut(tag: str, attributes: str, parent: _Node) -> bool:
     if tag in _CUT:
         return True
     if tag == "header":
-        node = parent
-        while node:
-            if node.tag in ("article", "main", "section"):
-                return False
-            node = node.parent
-        return True
+        return not parent.within[1]
     if not attributes or tag in _NEVER_CUT:
         return False
     if re.search(r"(?:^|\s)hidden(?:\s|$|/|=)", _VALUE.sub("= ", attributes), re.I):
         return True
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and any(w in _BAD_WORDS or _BAD_COMPOUND.fullmatch(w) for w in re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and any(w in _BAD_WORDS or w in _OUTER_WORDS and not parent.within[0] or _BAD_COMPOUND.fullmatch(w) for w in re.split(r"[^a-z]+", value)):
             return True
         if name == "role" and value in _BAD_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
-def _tree(page: str) -> _Node:
-    root = node = _Node("html", None, False, 0)
-    at = order = 0
+def _tree(page: str) -> list[_Node]:
+    """The page's elements in the order they open, from its root."""
+    root = node = _Node("html", None, 0)
+    nodes, rest, at = [root], _REST, 0
+    #: Number of open elements by tag, so that a stray end tag is known without a walk.
+    open_: Counter[str] = Counter()
 
-    def close(tags: tuple[str, ...], scopes: tuple[str, ...]) -> None:
+    def leave(to: _Node) -> None:
         nonlocal node
-        probe = node
-        while probe.parent and probe.tag not in scopes:
-            if probe.tag in tags:
-                node = probe.parent
-                return
-            probe = probe.parent
+        while node is not to:
+            open_[node.tag] -= 1
+            node = node.parent
 
     while True:
         m = _TOKEN.search(page, at)
@@ -103,31 +109,38 @@ def _tree(page: str) -> _Node:
         if text:
             node.children.append(text)
         if not m:
-            return root
+            return nodes
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            probe = node
-            while probe.parent and probe.tag != tag:
-                probe = probe.parent
-            if probe.parent:
-                node = probe.parent
+            if open_[tag]:
+                probe = node
+                while probe.tag != tag:
+                    probe = probe.parent
+                leave(probe.parent)
         elif m[2]:
-            tag, attributes = m[2].lower(), m[3]
-            if tag in _ENDS_P:
-                close(("p",), ("table", "td", "th", "button"))
-            if tag in _ENDS:
-                close(*_ENDS[tag])
-            order += 1
-            if tag in ("html", "body") and not any(c in attributes for c in "="):
+            end = rest.match(page, at)
+            if not end and rest is _REST:
+                rest = _LOOSE_REST
+                end = rest.match(page, at)
+            if not end:
+                return nodes
+            tag, attributes, at = m[2].lower(), end[1], end.end()
+            for group in ([0] if tag in _ENDS_P else []) + ([_ENDS[tag]] if tag in _ENDS else []):
+                if node.near[group]:
+                    leave(node.near[group].parent)
+            if tag in ("html", "body") and "=" not in attributes:
                 attributes = ""
-            new = _Node(tag, node, node.cut or _is_cut(tag, attributes, node), order)
+            new = _Node(tag, node, len(nodes))
+            new.cut = node.cut or _is_cut(tag, attributes, node)
+            nodes.append(new)
             node.children.append(new)
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = raw_end.end() if raw_end else len(page)
             elif tag not in _VOID and not attributes.endswith("/"):
                 node = new
+                open_[tag] += 1
 
 
 def _text_of(raw: str) -> str:
@@ -178,14 +191,16 @@ def _blocks(root: _Node) -> list[tuple[str, _Node, int]]:
 
 def main_text(page: str | None) -> str:
     """The page's main text, its blocks joined by line ends."""
-    blocks = _blocks(_tree(page or ""))
+    nodes = _tree(page or "")
+    blocks = _blocks(nodes[0])
     scored: dict[int, _Node] = {}
     for text, owner, links in blocks:
-        node = owner
-        while node:
-            node.chars += len(text)
-            node.link_chars += links
-            node = node.parent
+        owner.chars += len(text)
+        owner.link_chars += links
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.link_chars += node.link_chars
+    for text, owner, links in blocks:
         if owner.tag not in _SCORED and owner.tag != "body":
             continue
         points = 1 + text.count(",") + min(len(text) // 100, 3)
@@ -217,14 +232,9 @@ def main_text(page: str | None) -> str:
                 if worth(sibling) >= SIBLING * worth(best) or sibling.tag == "p" and sibling.chars > 80 and density < 0.25 or sibling.tag in ("h1", "h2") and density < 0.25:
                     keep.add(id(sibling))
 
-    def kept(node: _Node | None) -> bool:
-        while node:
-            if id(node) in keep:
-                return True
-            node = node.parent
-        return False
-
-    return "\n".join(text for text, owner, _ in blocks if kept(owner))
+    for node in nodes:
+        node.kept = id(node) in keep or node.parent is not None and node.parent.kept
+    return "\n".join(text for text, owner, _ in blocks if owner.kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

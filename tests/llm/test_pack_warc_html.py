@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -267,3 +268,67 @@ def test_every_sentence_is_known_and_none_is_skipped(docs_of):
 )
 def test_more_licences(text, want):
     assert licenses.match_rules(licenses.sentence_ids(text))[0] == want
+
+
+def _brute_main_text(page):
+    """Scores of a page of closed div, p and a elements from their definition: every block visits every ancestor."""
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring(page)
+    parents = {c: p for p in root.iter() for c in p}
+    order = {e: n for n, e in enumerate(root.iter())}
+    blocks = [(re.sub(r"\s+", " ", "".join(e.itertext())).strip(), sum(len("".join(a.itertext())) for a in e.iter("a")), e) for e in root.iter("p")]
+    up = lambda e: [e] + (up(parents[e]) if e in parents else [])
+    score, chars, linked = defaultdict(float), defaultdict(int), defaultdict(int)
+    for text, links, e in blocks:
+        for a in up(e):
+            chars[a] += len(text)
+            linked[a] += min(links, len(text))
+        points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - min(links, len(text)) / len(text))
+        for level, a in enumerate(up(parents[e])[: html_text.REACH], 1):
+            score[a] += points / level
+    worth = lambda e: score[e] * (1 - linked[e] / max(1, chars[e]))
+    best = min(score, key=lambda e: (-worth(e), order[e]))
+    keep = {best}
+    for x in parents[best] if best in parents else []:
+        thin = chars[x] and linked[x] / chars[x] < 0.25
+        if x is not best and chars[x] and (worth(x) >= html_text.SIBLING * worth(best) or x.tag == "p" and chars[x] > 80 and thin):
+            keep.add(x)
+    return "\n".join(t for t, _, e in blocks if any(a in keep for a in up(e)))
+
+
+def test_scores_against_brute_force():
+    rng = random.Random(12)
+
+    def element(depth):
+        if depth > 3 or rng.random() < 0.4:
+            words = [rng.choice(["red", "green,", "blue", "<a>link words</a>", "sky,"]) for _ in range(rng.randrange(1, 40))]
+            return "<p>" + " ".join(words) + "</p>"
+        return "<div>" + "".join(element(depth + 1) for _ in range(rng.randrange(1, 5))) + "</div>"
+
+    for _ in range(300):
+        page = "<body><div>" + "".join(element(1) for _ in range(rng.randrange(1, 5))) + "</div></body>"
+        assert html_text.main_text(page) == _brute_main_text(page)
+
+
+def test_article_keeps_its_own():
+    page = '<article><p class="legal">Law, text, here.</p><p class=tags>On tags.</p><div id=related><p>Is kept.</p></div><div class=ad>no</div></article><p class=legal>no</p>'
+    assert html_text.main_text(page) == "Law, text, here.\nOn tags.\nIs kept."
+
+
+@pytest.mark.parametrize("odd", ['<a href="y ', "<div>", "<p><table><td>", "<b>", "</x><i>", "<a href='", "<", "<!--x", "<li><ul>", "<div>a, b<p>", '<p class="x">a &amp; ', "</p>"])
+def test_broken_pages_in_time(odd):
+    page, began = odd * (400_000 // len(odd)) + "end", time.monotonic()
+    assert isinstance(html_text.main_text(page), str)
+    assert time.monotonic() - began < 20
+
+
+def test_quotes_that_never_end():
+    assert html_text.main_text('<p>One <a href="x>two</a> three.</p><p>Four, five, six.</p>') == "One two three.\nFour, five, six."
+
+
+def test_page_rows(spark, docs_of):
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, "<p>b</p>")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, n_chars string")
+    assert sorted((str(r.page_id), r.text) for r in html_text.extracted(pages).collect()) == [("1", "a"), ("1", "a"), ("None", "b")]
+    assert html_text.extracted(pages.limit(0)).count() == 0
