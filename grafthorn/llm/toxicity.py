@@ -6,8 +6,9 @@ hashed word, and the word's log-odds) and a character part (the mean learned vec
 3- to 5-grams with edge marks, and the mean and the largest of their log-odds). A forward and a
 backward GRU read the inputs, attention pools their states, and a logistic unit gives the score.
 
-Training sees at most ``MAX_POSITIVE`` + ``MAX_NEGATIVE`` labelled texts of up to ``MAX_CHARS`` characters, the first by a hash of their
-id, whatever the size of the corpus: that bounded sample is all that reaches the driver. While the network is
+Training sees at most ``MAX_POSITIVE`` + ``MAX_NEGATIVE`` labelled texts, whatever the size of the corpus: those of up to ``MAX_CHARS``
+characters, the first by a hash of their id, then longer ones while all of a label's have at most its share of ``MAX_CHARS`` for each text.
+That bounded sample is all that reaches the driver. While the network is
 trained, each half of it is read with log-odds from the other, so rare words don't pass for evidence.
 As labels are of texts and not of windows, each pass trains on a toxic text's
 highest-scoring window, and on the highest and one other window of a clean text.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafthorn.llm.common import WORD, mix
+from grafthorn.llm.common import WORD, drop_written, mix, written
 
 WINDOW, STRIDE = 48, 24
 HIDDEN, EMBED = 8, 6
@@ -177,13 +178,9 @@ def gradients(x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray
     return loss, g, df @ p["xf"].T + db @ p["xb"].T
 
 
-def _log_odds(units: list[np.ndarray], y: np.ndarray, slots: int) -> np.ndarray:
-    """Smoothed log-odds by texts that hold a unit, drawn to 0 where few texts hold it."""
-    pos, neg = np.zeros(slots), np.zeros(slots)
-    for found, label in zip(units, y, strict=True):
-        (pos if label else neg)[found] += 1
-    n_pos, n_neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Smoothed log-odds by the numbers of texts that hold a unit, drawn to 0 where few texts hold it."""
+    odds = np.log((pos + 0.5) / (max(1, n_pos) + 1)) - np.log((neg + 0.5) / (max(1, n_neg) + 1))
     n = pos + neg
     return np.clip(odds * n / (n + 4), -4, 6).astype(np.float32)
 
@@ -214,14 +211,18 @@ class _Texts(_Words):
         own = self.words[text]
         cuts = windows_of(len(own))
         at = cuts[:, :1] + np.arange(WINDOW)
-        return np.where(at < cuts[:, 1:], own[np.minimum(at, max(0, len(own) - 1))] if len(own) else -1, -1)
+        return np.where(at < cuts[:, 1:], own[np.minimum(at, max(0, len(own) - 1))] if len(own) else np.int32(-1), np.int32(-1))
 
 
-def window_logits(table: np.ndarray, index: np.ndarray, p: dict) -> np.ndarray:
+def projected(table: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The words' inputs to the gates of both directions."""
+    return table @ p["xf"] + p["bf"], table @ p["xb"] + p["bb"]
+
+
+def window_logits(inputs: tuple[np.ndarray, np.ndarray], index: np.ndarray, p: dict) -> np.ndarray:
     """Logits of windows of word positions (n, WINDOW), a few thousand at a time."""
     out = np.empty(len(index), np.float32)
-    pf = table @ p["xf"] + p["bf"]
-    pb = table @ p["xb"] + p["bb"]
+    pf, pb = inputs
     for at in range(0, len(index), 2048):
         part = index[at : at + 2048].T
         mask = (part >= 0).astype(np.float32)
@@ -242,11 +243,6 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     for label in (0, 1):
         own = rng.permutation(np.nonzero(y == label)[0])
         fold[own[: len(own) // 2]] = True
-    def units(i: int, grams: bool) -> np.ndarray:
-        words = np.unique(data.words[i])
-        if not grams:
-            return np.unique(data.word[words] % WORD_SLOTS)
-        return np.unique(np.concatenate([data.grams[w] for w in words] or [np.zeros(0, np.int64)]) % GRAM_SLOTS)
 
     def small(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) * shape[0] ** -0.5).astype(np.float32)
@@ -255,14 +251,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     for side in "fb":
         p |= {"x" + side: small(_WIDTH, 3 * HIDDEN), "u" + side: small(HIDDEN, 3 * HIDDEN), "b" + side: np.zeros(3 * HIDDEN, np.float32)}
     p |= {"v": small(2 * HIDDEN), "w": small(2 * HIDDEN), "b": np.zeros(1, np.float32)}
-    word_units, gram_units = [units(i, False) for i in range(len(y))], [units(i, True) for i in range(len(y))]
+    # Texts that hold a unit, by half of the sample and label.
+    word_counts, gram_counts = np.zeros((2, 2, WORD_SLOTS), np.int32), np.zeros((2, 2, GRAM_SLOTS), np.int32)
+    for i, (half, label) in enumerate(zip(fold.astype(int), y.astype(int), strict=True)):
+        words = np.unique(data.words[i])
+        word_counts[half, label, np.unique(data.word[words] % WORD_SLOTS)] += 1
+        gram_counts[half, label, np.unique(np.concatenate([data.grams[w] for w in words] or [np.zeros(0, np.int32)]) % GRAM_SLOTS)] += 1
 
-    def model_of(own: np.ndarray) -> Model:
-        return Model(_log_odds([word_units[i] for i in own], y[own], WORD_SLOTS), _log_odds([gram_units[i] for i in own], y[own], GRAM_SLOTS), p)
+    def model_of(halves: list[int]) -> Model:
+        n_pos, n_neg = (int(np.isin(fold[y == label].astype(int), halves).sum()) for label in (1, 0))
+        return Model(*(_log_odds(c[halves, 1].sum(axis=0), c[halves, 0].sum(axis=0), n_pos, n_neg) for c in (word_counts, gram_counts)), p)
 
     # Texts of either half are read with the log-odds of the other; all of them give the final ones.
-    models, whole = [model_of(np.nonzero(fold)[0]), model_of(np.nonzero(~fold)[0])], model_of(np.arange(len(y)))
-    del word_units, gram_units
+    models, whole = [model_of([1]), model_of([0])], model_of([0, 1])
     number = np.array([len(windows_of(len(w))) for w in data.words])
     every = np.concatenate([data.windows(i) for i in range(len(y))])
     owner, starts = np.repeat(np.arange(len(y)), number), np.concatenate([[0], np.cumsum(number)])[:-1]
@@ -275,7 +276,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
         for k, model in enumerate(models):
             table, own = data.table(model), every[half == k]
             # Before anything is learned the log-odds say where to look.
-            out[half == k] = np.where(own >= 0, table[own, 2 * EMBED + 2] + table[own, 2 * EMBED], -9).max(axis=1) if first else window_logits(table, own, p)
+            out[half == k] = np.where(own >= 0, table[own, 2 * EMBED + 2] + table[own, 2 * EMBED], -9).max(axis=1) if first else window_logits(projected(table, p), own, p)
         return out
 
     epochs = int(np.clip(LEAST_STEPS * BATCH // (2 * len(y)), EPOCHS, 8 * EPOCHS))
@@ -340,16 +341,26 @@ def _best_cut(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 class _Scorer:
-    """Scores texts; keeps the inputs of words seen lately."""
+    """Scores texts; keeps the projected inputs of words seen lately, and projects new ones only."""
 
     def __init__(self, model: Model | None):
-        self.model, self.place, self.grown = model, {}, []
+        self.model, self.place = model, {}
+        self.inputs = tuple(np.zeros((1 << 14, 3 * HIDDEN), np.float32) for _ in "fb")
+
+    def _learn(self, before: int) -> None:
+        """Inputs of the words from this place on; the row after the last stands for padding."""
+        place, model = self.place, self.model
+        new = _Words(list(islice(reversed(place), len(place) - before))[::-1]).table(model)
+        if len(place) >= len(self.inputs[0]):
+            self.inputs = tuple(np.concatenate([x[:before], np.zeros((2 * len(place) + 1 - before, x.shape[1]), np.float32)]) for x in self.inputs)
+        for x, made in zip(self.inputs, projected(new, model.p), strict=True):
+            x[before : len(place) + 1] = made
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         if self.model is None:
             return [0.0] * len(texts)
         if len(self.place) > _WORDS_KEPT:
-            self.place, self.grown = {}, []
+            self.place = {}
         place, model = self.place, self.model
         index, sizes, empty = [], [], []
         before = len(place)
@@ -360,11 +371,10 @@ class _Scorer:
             index.append(np.where(at < cuts[:, 1:], own[np.minimum(at, max(0, len(own) - 1))] if len(own) else -1, -1))
             sizes.append(len(cuts))
             empty.append(len(own) == 0)
-        if len(place) > before:
-            self.grown.append(_Words(list(islice(reversed(place), len(place) - before))[::-1]).table(model)[:-1])
-        table = np.concatenate([*self.grown, np.zeros((1, _WIDTH), np.float32)])
-        self.grown = [table[:-1]]
-        top = np.maximum.reduceat(window_logits(table, np.concatenate(index), model.p), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        if len(place) > before or not before:
+            self._learn(before)
+        # Padded steps are masked, so which row they read doesn't matter.
+        top = np.maximum.reduceat(window_logits(self.inputs, np.concatenate(index), model.p), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
         return np.where(empty, 0.0, _sigmoid(top.astype(np.float64))).tolist()
 
 
@@ -384,11 +394,19 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model | None:
     """Train on labelled texts whose crc32(doc_id as text) mod ``fold`` isn't 0."""
     learnable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0
     marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(learnable).withColumn("_order", F.xxhash64("doc_id"))
-    chosen = [marked.where(F.col("toxic") == label).orderBy("_order", "doc_id").limit(most) for label, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= MAX_CHARS)
+    sizes = docs.select("doc_id", F.length("text").alias("_size")).groupBy("doc_id").agg(F.max("_size").alias("_size"))
+    sized = written(marked.join(sizes, "doc_id").select("doc_id", "toxic", "_order", F.coalesce("_size", F.lit(0)).alias("_size")))
+    chosen = []
+    for label, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
+        own = sized.where(F.col("toxic") == label).orderBy(F.greatest("_size", F.lit(MAX_CHARS)), "_order", "doc_id").limit(most).collect()
+        total = np.cumsum([r["_size"] for r in own])
+        chosen += [r for r, t in zip(own, total, strict=True) if t <= most * MAX_CHARS]
     # At most MAX_POSITIVE + MAX_NEGATIVE ids are broadcast, so no text is shuffled.
-    both = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    sample = both.orderBy("_order", "doc_id", "text").select("text", "toxic").limit(MAX_POSITIVE + MAX_NEGATIVE).collect()
+    picked = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"], r["_order"]) for r in chosen], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, _order long")
+    both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # Of rows that repeat an id one is read.
+    sample = both.groupBy("doc_id", "toxic", "_order").agg(F.max("text").alias("text")).orderBy("_order", "doc_id").select("text", "toxic").collect()
+    drop_written(sized)
     return train([r[0] for r in sample], [r[1] for r in sample])
 
 

@@ -1,6 +1,7 @@
 """Held-out accuracy of the classifier, gradients, and the pipeline from end to end."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -99,3 +100,47 @@ def test_the_whole_word_is_read():
     words = toxicity._Words(["a" * 64 + "zorgle", "a" * 64 + "kindly", "a" * 200])
     grams = [set(words.flat[a:b].tolist()) for a, b in zip(words.start[:-1], words.start[1:], strict=True)]
     assert grams[0] != grams[1] and words.start[3] - words.start[2] == 200 + 199 + 198
+
+
+def test_scores_against_a_plain_loop(labelled):
+    """One word, step and window at a time, from the same weights."""
+    model = toxicity.train([t for _, t, _ in labelled[:160]], [y for _, _, y in labelled[:160]])
+    p = {k: x.astype(float) for k, x in model.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def input_of(word):
+        w = toxicity._Words([word])
+        odds = [float(model.gram_odds[g % toxicity.GRAM_SLOTS]) for g in w.flat]
+        learned = np.mean([p["gram"][g % toxicity.LEARNED_SLOTS] for g in w.flat], axis=0)
+        return np.concatenate([p["word"][w.word[0] % toxicity.LEARNED_SLOTS], learned, [model.word_odds[w.word[0] % toxicity.WORD_SLOTS], np.mean(odds), max(odds)]])
+
+    def states(xs, side):
+        h, out, n = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for x in xs:
+            g, u = x @ p["x" + side] + p["b" + side], h @ p["u" + side]
+            z, r = sigmoid(g[:n] + u[:n]), sigmoid(g[n : 2 * n] + u[n : 2 * n])
+            c = np.tanh(g[2 * n :] + r * u[2 * n :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    def score(text):
+        words, best = re.findall(r"\w+", (text or "").lower()), -np.inf
+        for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            xs = [input_of(w) for w in words[start : start + toxicity.WINDOW]]
+            both = [np.concatenate(s) for s in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+            a = np.exp([s @ p["v"] for s in both])
+            best = max(best, float(sum(x * s for x, s in zip(a / a.sum(), both, strict=True)) @ p["w"] + p["b"][0])) if xs else best
+        return sigmoid(best) if words else 0.0
+
+    texts = [t for _, t, _ in labelled[160:190]] + [None, "", "one", labelled[0][1], labelled[0][1], "x" * 3000, "zorgle " * 200]
+    scorer = toxicity._Scorer(model)
+    got = [s for part in (texts[:7], texts[7:20], texts[20:]) for s in scorer(part)]
+    assert np.allclose(got, [score(t) for t in texts], atol=1e-4)
+
+
+def test_long_labelled_texts_are_learned_from(spark, labelled):
+    long = [(i, t + " word" * 3000, x) for i, t, x in labelled[:60]]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in long], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in long], "doc_id long, toxic int")
+    assert min(len(t) for _, t, _ in long) > toxicity.MAX_CHARS and toxicity.fit(docs, labels) is not None
