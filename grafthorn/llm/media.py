@@ -61,12 +61,16 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     n = width * height * bands
     if not 0 < top < 65536 or n <= 0:
         raise ValueError("bad size or maximum")
+    if n > len(data) * 2:
+        raise ValueError("samples are missing")
     if kind in (b"P2", b"P3"):
         flat = np.array(data[at:].split()[:n], dtype=np.int64)
     else:
         flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", count=n, offset=at + 1)
     if len(flat) < n:
         raise ValueError("samples are missing")
+    if flat.min() < 0 or flat.max() > top:
+        raise ValueError("a sample is outside 0 to the maximum")
     return flat.astype(np.uint8 if top < 256 else np.uint16, copy=False).reshape(height, width, bands)
 
 
@@ -75,6 +79,8 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     header, width, height, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
     if packed or bits not in (8, 24):
         raise ValueError("only uncompressed 8 and 24 bit BMP")
+    if width <= 0 or not height or header < 12 or at < 14 + header:
+        raise ValueError("bad size or header")
     stride = (width * bits // 8 + 3) // 4 * 4
     lines = np.frombuffer(data, np.uint8, count=stride * abs(height), offset=at).reshape(abs(height), stride)
     lines = lines[::-1] if height > 0 else lines
@@ -159,7 +165,7 @@ def media_features(media: DataFrame, key: str = "media_id", column: str = "media
                 try:
                     image = decode(data) if data is not None else None
                     out.append((*image.shape, npy_tile(image, side), difference_hash(image), None) if image is not None else (None,) * 6)
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, OverflowError, IndexError, struct.error) as e:
                     out.append((None, None, None, None, None, str(e)))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
@@ -170,16 +176,16 @@ def media_features(media: DataFrame, key: str = "media_id", column: str = "media
 
 
 def text_as_media(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Store each whole text as a PGM of ``width`` samples a row and describe what is read back.
+    """Store each whole text as an image of ``width`` samples a row and describe what is read back.
 
     The payload is the text's UTF-8 (null: empty), then zero bytes up to a positive
-    multiple of ``width``. ``feature`` is the difference hash of the decoded image,
-    a colon, and the CRC-32 of its 8x8 NPY tile; equal texts give equal rows.
+    multiple of ``width``. It is stored as PGM where its CRC-32 is even, else as BMP (``format``). ``tile`` is the decoded image
+    resized to 8x8 as an NPY file, ``feature`` its difference hash, a colon, and the tile's CRC-32; equal texts give equal rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format", "tile"]
+        kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
             out = []
             for (value,) in rows([batch], 1):
@@ -187,13 +193,14 @@ def text_as_media(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
                 height = max(1, -(-len(raw) // width))
                 samples = np.zeros(height * width, np.uint8)
                 samples[: len(raw)] = np.frombuffer(raw, np.uint8)
-                media = encode_pgm(samples.reshape(height, width))
+                form = ("pgm", "bmp")[zlib.crc32(samples) & 1]
+                media = (encode_pgm if form == "pgm" else encode_bmp)(samples.reshape(height, width))
                 image = decode(media)
-                payload = image.tobytes()
-                feature = f"{difference_hash(image)}:{zlib.crc32(npy_tile(image, 8)):08x}"
-                out.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            cols = list(zip(*out, strict=True)) or [()] * 7
+                payload, tile = image.tobytes(), npy_tile(image, 8)
+                feature = f"{difference_hash(image)}:{zlib.crc32(tile):08x}"
+                out.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, form, tile))
+            cols = list(zip(*out, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(key, text).mapInArrow(work, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, format string, tile binary")

@@ -1,8 +1,10 @@
 """Personal data and media columns against brute force."""
 
 import hashlib
+import io
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -72,9 +74,13 @@ def test_text_round_trip(docs_of):
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        stored = media.encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        encode = (media.encode_pgm, media.encode_bmp)[zlib.crc32(payload) & 1]
+        stored = encode(np.frombuffer(payload, np.uint8).reshape(-1, 64))
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-    assert got[7].feature == got[8].feature
+        tile = np.load(io.BytesIO(r.tile))
+        whole = media.area_resize(np.frombuffer(payload, np.uint8).reshape(-1, 64, 1), 8, 8)
+        assert tile.shape == (8, 8, 1) and np.abs(tile - whole).max() <= 0.5 and r.feature.endswith(f":{zlib.crc32(r.tile):08x}")
+    assert got[7].feature == got[8].feature and {r.format for r in got.values()} == {"pgm", "bmp"}
 
 
 @pytest.mark.parametrize("shape,to", [((16, 18), (8, 9)), ((7, 5), (3, 4)), ((3, 2), (8, 9)), ((9000, 3), (8, 2))])
@@ -97,3 +103,22 @@ def test_decoders(spark):
     assert (got[1].height, got[1].width, got[1].bands, len(got[1].dhash)) == (5, 7, 1, 16)
     assert np.load(__import__("io").BytesIO(got[1].tile)).shape == (32, 32, 1)
     assert got[2].dhash is None and got[2].error is None and got[3].error and got[4].error
+
+
+@pytest.mark.parametrize("bad", [b"P2 1 1 255 99999999999999999999", b"P2 1 1 255 -3", b"P2 1 1 9 10", b"P5 1 1 9\n\xff", b"P5 99999999 99999999 255 x", b"P6", b"BM", b"BM" + bytes(60), b"BM" + b"\xff" * 60, b"P2 0 1 255 ", b"", b"P3 1 1 255 1 2 x"])
+def test_bad_images_have_a_reason(spark, bad):
+    row = media.media_features(spark.createDataFrame([(1, bytearray(bad))], "media_id long, media binary")).first()
+    assert row.dhash is None and row.error
+
+
+def test_long_texts_of_many_matches(docs_of):
+    """About 250 kB each: the time must not grow with the square of the number of matches."""
+    texts = ["4111 1111 1111 1111, " * 12_000, "a@b.co é " * 28_000, "1.2.3.4 " * 32_000, "+1 234 567 8901; " * 15_000]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.pii_spans(docs_of(enumerate(texts))).collect()}
+    clean = {r.doc_id: r.text for r in pii.redacted(docs_of(enumerate(texts))).collect()}
+    assert time.monotonic() - began < 90
+    assert [got[0].n_card, got[1].n_email, got[2].n_ip, got[3].n_phone] == [12_000, 28_000, 32_000, 15_000]
+    for i, text in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in brute(text)).encode()).hexdigest()
+    assert clean == {0: "<CARD>, " * 12_000, 1: "<EMAIL> é " * 28_000, 2: "<IP> " * 32_000, 3: "<PHONE>; " * 15_000}
