@@ -4,16 +4,19 @@ For each item of n words the windows are all runs of n words of a document. The
 window shares with the items bounds its similarity, so only windows where that bound reaches the
 threshold are fingerprinted; no window that can reach it is skipped by that.
 A window's 64-bit SimHash, over its shingles weighted by their rarity among the items, is looked up in a
-multi-index: the bits are cut into ``RADIUS + 1`` blocks, and any item within ``RADIUS`` bits agrees with the
-window in one block at least. Items found so and within the radius are verified by the exact weighted
-Jaccard similarity of the shingle multisets.
+multi-index: the bits are cut into ``BLOCKS`` blocks, and any item within ``RADIUS`` bits differs from the
+window by at most ``RADIUS // BLOCKS`` bits in one block at least; each item is listed under all such keys of its blocks. Items found so
+and within the radius are verified by the exact weighted Jaccard similarity of the shingle multisets, in which
+shingles that the item lacks weigh as much as the rarest.
 
 The radius is set by the threshold: two sets of equal size at Jaccard 0.8 differ in 9.7 of 64 bits on average
-with a deviation of 2.9; 18 covers 99.8 % there and more above.
+with a deviation of 2.9; 18 covers 99.8 % there and more above. A random fingerprint finds half of the items in the index: so wide a radius
+allows no better, and it is the windows before that are few.
 
-The benchmark is read in blocks of at most ``ITEMS_AT_ONCE`` items and ``CHARS_AT_ONCE`` characters, by hash; each block is one
-broadcast of bounded size and one more narrow pass in a chain, so no size of benchmark needs
-another plan and documents are never shuffled. Items of fewer than five words are compared on
+The benchmark is read in parts of at most ``ITEMS_AT_ONCE`` items and ``CHARS_AT_ONCE`` characters, by hash; each part is one
+broadcast of bounded size and one more narrow pass over the documents, which are never shuffled. After ``CHAIN`` passes the rows are
+written and the broadcasts released, so no size of benchmark needs more memory. Shingles are weighed by the whole benchmark, counted by
+Spark where it has several parts, so a match doesn't depend on how the items are parted. Items of fewer than five words are compared on
 shingles of all their words. Items and texts that are null, or have no words, match nothing.
 Repeated items and rows give repeated results. Only item_id, doc_id and the texts are read.
 """
@@ -22,19 +25,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafthorn.llm.common import NGRAM, WORD, WordHashes, shingle_hashes
+from grafthorn.llm.common import NGRAM, WORD, WordHashes, drop_written, shingle_hashes, written
 
 THRESHOLD = 0.8
 BITS = 64
 RADIUS = 18
+BLOCKS = 7
 ITEMS_AT_ONCE = 4_000
 CHARS_AT_ONCE = 1_500_000
+CHAIN = 8
 _PLACES = np.arange(BITS, dtype=np.uint64)
 
 
@@ -45,16 +52,25 @@ def simhash(shingles: np.ndarray, weights: np.ndarray) -> int:
     return int(((votes > 0).astype(np.uint64) << _PLACES).sum(dtype=np.uint64))
 
 
-def hamming_blocks(bits: int = BITS, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(shift, mask) of radius + 1 blocks that cover all bits."""
-    edges = [round(k * bits / (radius + 1)) for k in range(radius + 2)]
+def hamming_blocks(bits: int = BITS, blocks: int = BLOCKS) -> list[tuple[int, int]]:
+    """(shift, mask) of blocks that cover all bits."""
+    edges = [round(k * bits / blocks) for k in range(blocks + 1)]
     return [(low, (1 << (high - low)) - 1) for low, high in zip(edges, edges[1:], strict=False)]
 
 
+def near_keys(key: int, mask: int, most: int) -> list[int]:
+    """All keys of a block that differ from this one by at most ``most`` bits."""
+    return [key ^ sum(1 << b for b in flipped) for n in range(most + 1) for flipped in combinations(range(mask.bit_length()), n)]
+
+
 class BenchmarkIndex:
-    """The items of one block: shingle places, weights, fingerprints and their multi-index."""
+    """The items of one part: shingle places, weights, fingerprints and their multi-index.
+
+    ``number`` and ``counts`` are of the whole benchmark where the items are not all of it: how many items have words, and in how
+    many a shingle is that is in several.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, radius: int = RADIUS, number: int | None = None, counts: dict[int, int] | None = None):
         words = WordHashes()
         self.threshold, self.radius = threshold, radius
         self.items: list[tuple[int, np.ndarray, int]] = []
@@ -63,17 +79,22 @@ class BenchmarkIndex:
             if n_words:
                 self.items.append((item_id, shingle_hashes(text, words), min(NGRAM, n_words)))
         seen = Counter(int(s) for _, shingles, _ in self.items for s in set(shingles.tolist()))
-        self.rarest = float(np.log1p(len(self.items)))
-        self.weight = {s: float(np.log1p(len(self.items) / n)) for s, n in seen.items()}
+        if number is None:
+            number = len(self.items)
+        else:
+            seen = {s: counts.get(s, 1) for s in seen}
+        self.rarest = float(np.log1p(number))
+        self.weight = {s: float(np.log1p(number / n)) for s, n in seen.items()}
         self.prints = [simhash(shingles, self.weights(shingles)) for _, shingles, _ in self.items]
         self.bags = [Counter(shingles.tolist()) for _, shingles, _ in self.items]
-        self.blocks = hamming_blocks(radius=radius)
+        self.blocks = hamming_blocks()
         self.index: dict[tuple[int, int], list[int]] = {}
         self.sizes: dict[int, dict[int, set[int]]] = {}
         self.lightest: dict[tuple[int, int], float] = {}
         for i, (_, shingles, width) in enumerate(self.items):
             for b, (shift, mask) in enumerate(self.blocks):
-                self.index.setdefault((b, (self.prints[i] >> shift) & mask), []).append(i)
+                for key in near_keys((self.prints[i] >> shift) & mask, mask, radius // BLOCKS):
+                    self.index.setdefault((b, key), []).append(i)
             size = width, len(shingles)
             self.lightest[size] = min(self.lightest.get(size, np.inf), float(self.weights(shingles).sum()))
             for s in shingles.tolist():
@@ -84,14 +105,14 @@ class BenchmarkIndex:
         return np.array([self.weight.get(s, self.rarest) for s in shingles.tolist()])
 
     def near(self, fingerprint: int) -> list[int]:
-        """Items within the radius, by way of the blocks that they share."""
+        """Items within the radius, by way of the blocks in which they are close."""
         found = {i for b, (shift, mask) in enumerate(self.blocks) for i in self.index.get((b, (fingerprint >> shift) & mask), ())}
         return [i for i in found if (self.prints[i] ^ fingerprint).bit_count() <= self.radius]
 
     def similarity(self, item: int, bag: Counter) -> float:
         own = self.bags[item]
         both = sum(min(n, own[s]) * self.weight[s] for s, n in bag.items() if s in own)
-        every = sum(n * self.weight.get(s, self.rarest) for s, n in bag.items()) + sum(n * self.weight[s] for s, n in own.items()) - both
+        every = sum(n * (self.weight[s] if s in own else self.rarest) for s, n in bag.items()) + sum(n * self.weight[s] for s, n in own.items()) - both
         return both / every if every else 0.0
 
     def windows(self, width: int, shingles: np.ndarray) -> set[tuple[int, int]]:
@@ -136,21 +157,43 @@ class BenchmarkIndex:
         return best
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, one bounded block after the other."""
-    items = benchmark.select("item_id", "text")
-    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // ITEMS_AT_ONCE), -(-chars // CHARS_AT_ONCE))
-    # Twice as many blocks as full ones would need, so that uneven hashing keeps each within the bound.
-    blocks = blocks if blocks == 1 else 2 * blocks
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield [tuple(r) for r in part.collect()]
+def _shingles_of(items: DataFrame) -> DataFrame:
+    """(part, shingle) once for each item that has the shingle; an item's first row has a null shingle too, to count items."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            sizes = [len(f) + (len(f) > 0) for f in found]
+            flat = [x for f in found if len(f) for x in (None, *f.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(flat, pa.int64())], names=["part", "shingle"])
 
+    return items.select("part", "text").mapInArrow(work, "part long, shingle long")
 
-def _pass(docs: DataFrame, text: str, index: BenchmarkIndex, to: str) -> DataFrame:
-    """Append one index's matches to the column ``to``, kept last."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[BenchmarkIndex]:
+    """An index for each bounded part of the benchmark."""
+    items = benchmark.select("item_id", "text")
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // ITEMS_AT_ONCE), -(-chars // CHARS_AT_ONCE))
+    if parts == 1:
+        yield BenchmarkIndex([tuple(r) for r in items.collect()], threshold)
+        return
+    # Twice as many parts as full ones would need, so that uneven hashing keeps each within the bound.
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * parts)))
+    found = written(_shingles_of(dealt))
+    number = found.where("shingle is null").count()
+    several = found.where("shingle is not null").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    counted = written(found.distinct().join(several, "shingle").select("part", "shingle", "n"))
+    for k in range(2 * parts):
+        counts = {s % 2**64: c for s, c in counted.where(F.col("part") == k).select("shingle", "n").collect()}
+        yield BenchmarkIndex([tuple(r) for r in dealt.where(F.col("part") == k).select("item_id", "text").collect()], threshold, number=number, counts=counts)
+    drop_written(found)
+    drop_written(counted)
+
+
+def _pass(docs: DataFrame, text: str, shared: Broadcast) -> DataFrame:
+    """Append one index's matches to the last column."""
     place = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +210,17 @@ def _pass(docs: DataFrame, text: str, index: BenchmarkIndex, to: str) -> DataFra
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", to: str = "benchmark_items", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``to``: array of (item, similarity) for the items that some window of the text matches."""
-    out = docs.withColumn(to, F.expr("cast(array() as array<struct<item:bigint,similarity:double>>)"))
-    for items in _item_blocks(benchmark):
-        out = _pass(out, text, BenchmarkIndex(items, threshold), to)
+    out, held, last = docs.withColumn(to, F.expr("cast(array() as array<struct<item:bigint,similarity:double>>)")), [], None
+    for index in _indexes(benchmark, threshold):
+        if len(held) == CHAIN:
+            before, out = last, written(out)
+            for shared in held:
+                shared.unpersist()
+            if before is not None:
+                drop_written(before)
+            held, last = [], out
+        held.append(docs.sparkSession.sparkContext.broadcast(index))
+        out = _pass(out, text, held[-1])
     return out
 
 
