@@ -36,7 +36,7 @@ BANDS = 9
 ROWS = 3
 THRESHOLD = 0.8
 #: Most contents and characters of a block; a unit of work holds two blocks.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 BLOCK_CHARS = 16_000_000
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = _SEEDS[: BANDS * ROWS, None] | np.uint64(1)

@@ -40,10 +40,9 @@ def near_copies():
     return out
 
 
-def test_classes_and_links(docs_of, near_copies, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 32)
-    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in ngram_join.near_duplicates(docs_of(near_copies)).collect())
-    sets = [frozenset(shingles(t)) for _, t in near_copies]
+def brute_classes(docs):
+    """Each row's class (the least id in it) and links, by comparing all pairs."""
+    sets = [frozenset(shingles(t)) for _, t in docs]
     label, links = list(range(len(sets))), [0] * len(sets)
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
@@ -51,8 +50,14 @@ def test_classes_and_links(docs_of, near_copies, monkeypatch):
                 links[i] += 1
                 old, new = label[i], label[j]
                 label = [new if x == old else x for x in label]
-    least = {x: min((d for (d, _), y in zip(near_copies, label, strict=True) if y == x and d is not None), default=None) for x in label}
-    want = sorted((str(d), str(least[x] if s else d), n) for (d, _), x, s, n in zip(near_copies, label, sets, links, strict=True))
+    least = {x: min((d for (d, _), y in zip(docs, label, strict=True) if y == x and d is not None), default=None) for x in label}
+    return [least[x] if s else d for (d, _), x, s in zip(docs, label, sets, strict=True)], links
+
+
+def test_classes_and_links(docs_of, near_copies, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 32)
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in ngram_join.near_duplicates(docs_of(near_copies)).collect())
+    want = sorted((str(d), str(c), n) for (d, _), c, n in zip(near_copies, *brute_classes(near_copies), strict=True))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert sum(abs(g[2] - w[2]) for g, w in zip(got, want, strict=True)) <= 0.002 * sum(w[2] for w in want)
 
@@ -61,8 +66,9 @@ def test_one_of_each(docs_of, near_copies):
     docs = docs_of(near_copies)
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = Counter(r.doc_id for r in kept.collect())
-    assert ids == Counter({10: 1, 10**6: 1, 10**6 + 1: 1, 10**6 + 2: 1, 5: 1, None: 2}) or (ids[None] == 2 and ids[5] == 1 and ids[10**6 + 2] == 1 and max(n for i, n in ids.items() if i is not None) == 1)
+    classes = brute_classes(near_copies)[0]
+    stay = {d for (d, _), c in zip(near_copies, classes, strict=True) if d is not None and d == c}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({d: 1 for d in stay} | {None: 2})
 
 
 def test_overlap_sizes():
@@ -101,7 +107,7 @@ def test_leaks(spark, docs_of):
             for first in range(-len(item) + 1, len(own)):
                 part = Counter(own[max(0, first) : first + len(item)])
                 both = sum(min(n, bag[s]) * weight(s) for s, n in part.items())
-                every = sum(max(part[s], bag[s]) * weight(s) for s in {*part, *bag})
+                every = sum(max(part[s], bag[s]) * (weight(s) if s in bag else np.log1p(len(parts))) for s in {*part, *bag})
                 if both / every >= 0.8 - 1e-9:
                     want.add(i)
         assert set(got[d].item_ids) == want and got[d].contaminated == bool(want)
@@ -109,26 +115,40 @@ def test_leaks(spark, docs_of):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs if not got[d].contaminated} and clean.columns == docs_of(docs).columns
 
 
-def test_benchmark_in_blocks(spark, docs_of, monkeypatch):
+def test_benchmark_in_parts(spark, docs_of, monkeypatch):
     rng = random.Random(4)
-    items = [(i, " ".join(some_words(rng, 20))) for i in range(40)]
+    template = some_words(rng, 9)
+    items = [(i, " ".join(template + some_words(rng, rng.randrange(12, 20)))) for i in range(40)] + [(90, None), (91, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(7, f"{items[3][1]} and {items[30][1]}"), (8, "none"), (9, None)]
+    for k in range(60):
+        w = rng.choice(items[:40])[1].split()
+        for _ in range(rng.choice([1, 1, 2])):
+            w[rng.randrange(len(w))] = "new"
+        docs.append((100 + k, " ".join(some_words(rng, 6) + w)))
+
+    def found():
+        return {r.doc_id: (r.item_ids, round(r.similarity, 12)) for r in decontam.contaminated(docs_of(docs), bench).collect()}
+
+    whole = found()
     monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 15)
-    got = decontam.contaminated(docs_of([(7, f"{items[3][1]} and {items[30][1]}"), (8, "none")]), bench).collect()
-    assert {r.doc_id: r.item_ids for r in got} == {7: [3, 30], 8: []}
+    monkeypatch.setattr(decontam, "CHAIN", 2)
+    assert found() == whole and whole[7][0] == [3, 30] and whole[8] == whole[9] == ([], 0.0)
+    assert any(0.8 <= s < 1 for _, s in whole.values())
     assert not decontam.contaminated(docs_of([(1, "a b c")]), bench.limit(0)).first().contaminated
+    assert decontam.contaminated(docs_of([(1, "a")]).limit(0), bench).count() == 0
 
 
 def test_hamming_blocks_guarantee():
     rng = random.Random(5)
     blocks = decontam.hamming_blocks()
-    assert len(blocks) == decontam.RADIUS + 1 and sum(m.bit_length() for _, m in blocks) == 64
+    assert len(blocks) == decontam.BLOCKS and sum(m.bit_length() for _, m in blocks) == 64
     for _ in range(200):
         a = rng.getrandbits(64)
         b = a
         for bit in rng.sample(range(64), decontam.RADIUS):
             b ^= 1 << bit
-        assert any((a >> s) & m == (b >> s) & m for s, m in blocks)
+        assert any((a >> s) & m in decontam.near_keys((b >> s) & m, m, decontam.RADIUS // decontam.BLOCKS) for s, m in blocks)
 
 
 def test_compact_windows():
