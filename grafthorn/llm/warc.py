@@ -6,8 +6,9 @@ digests are joined back to the payloads: broadcast where the written table is sm
 equi-join whose hot partitions Spark can split at run time.
 
 ``write_archive``: one record per row. The text writer ends each record with WARC's own
-separator, so Spark's committer writes the files, to any file system.
-``read_archive``: records are cut by their Content-Length, so payloads may hold anything.
+separator, so Spark's committer writes the files, to any file system. Records are written by classes of size, with fewer in a
+file the larger they are, so a file's bytes are bounded too.
+``read_archive``: records are read one by one from the unpacked stream and cut by their Content-Length, so payloads may hold anything.
 ``resolved_records`` joins revisits to the responses that they name.
 
 Null payloads count as empty. Payloads under ``min_bytes`` bytes are always responses. Rows
@@ -21,7 +22,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from grafthorn.llm.common import rows, shared_dir, written
 
 _END = "\r\n\r\n"
-RECORDS_PER_FILE = 2000
+#: Records of a file, by the payload bytes under which they are: at most 512 MB or 1 GB before packing, and beyond that one record.
+RECORDS_PER_FILE = ((1 << 18, 2000), (1 << 25, 32), (None, 1))
 #: RFC 4648 base32 alphabet.
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Profile of WARC/1.1 for revisits with the same payload.
@@ -67,7 +71,7 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archive(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> str:
+def write_archive(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z", records_per_file: tuple = RECORDS_PER_FILE) -> str:
     """Write gzipped WARC files with fresh headers to a new shared folder and return it."""
     path = shared_dir(resolved.sparkSession)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes"), F.lit(_END))
@@ -87,22 +91,26 @@ def write_archive(resolved: DataFrame, date: str = "2026-01-01T00:00:00Z", recor
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block)),
     )
-    records = resolved.withColumn("_http", http).select(F.concat(head, F.lit(_END), block).alias("value"))
-    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    least = 0
+    for below, number in records_per_file:
+        own = resolved.where((F.col("payload_bytes") >= least) & (F.col("payload_bytes") < (below or 1 << 62)))
+        records = own.withColumn("_http", http).select(F.concat(head, F.lit(_END), block).alias("value"))
+        records.write.mode("append").option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", number).text(path)
+        least = below
     return path
 
 
-def _records(data: bytes) -> Iterator[tuple]:
+def _records(stream: BinaryIO) -> Iterator[tuple]:
     """(type, id, url, refers_to, stated digest, payload) of each record; a revisit's payload is None."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8").split("\r\n")
-        if not first.startswith("WARC/1."):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines)
-        block = data[end + 4 : end + 4 + int(head["Content-Length"])]
-        at = end + 4 + len(block) + 4
+    while first := stream.readline():
+        if not first.startswith(b"WARC/1."):
+            raise ValueError("not the first line of a WARC record")
+        head = {}
+        while (line := stream.readline().decode("utf-8").rstrip("\r\n")) != "":
+            name, _, value = line.partition(": ")
+            head[name] = value
+        block = stream.read(int(head["Content-Length"]))
+        stream.read(len(_END))
         kind = head["WARC-Type"]
         payload = None if kind == "revisit" else block[block.index(b"\r\n\r\n") + 4 :]
         yield kind, head["WARC-Record-ID"], head.get("WARC-Target-URI"), head.get("WARC-Refers-To"), head["WARC-Payload-Digest"].removeprefix("sha1:"), payload
@@ -119,16 +127,18 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (content,) in rows(batches, 0):
-            out = []
-            for kind, uid, url, refers, stated, payload in _records(gzip.decompress(content)):
+            out, held = [], 0
+            for kind, uid, url, refers, stated, payload in _records(gzip.open(io.BytesIO(content))):
                 digest = None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 out.append((number(uid), url, kind, number(refers), stated, digest, None if payload is None else len(payload), payload if with_payload else None))
-                if len(out) == 500:
+                held += len(payload or b"")
+                if len(out) == 500 or with_payload and held > 1 << 26:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
+    # A file to a row: a batch of many would hold them all.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(work, "page_id long, url string, record_type string, refers_to long, stated_digest string, payload_digest string, payload_bytes long, payload binary")
 
