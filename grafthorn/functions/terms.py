@@ -7,6 +7,8 @@ anti joins and duplicate removal work on plain string columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,8 +70,12 @@ def leading_number(text: Column) -> Column:
     return F.regexp_extract(text, LEADING_NUMBER, 1).try_cast("double")
 
 
-def number_text(x: Column) -> Column:
-    """A double as JavaScript prints it: no trailing .0, plain digits from 1e-6 to 1e21."""
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` in the plan once, however often ``use`` needs it: keeps the generated code small."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def _number_text(x: Column) -> Column:
     a = F.abs(x)
     plain = lambda kind: F.regexp_replace(x.cast(kind).cast("string"), r"\.?0+$", "")
     power = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), r"E(\d)", "e+$1")
@@ -82,9 +88,15 @@ def number_text(x: Column) -> Column:
     )
 
 
+def number_text(x: Column) -> Column:
+    """A double as JavaScript prints it: no trailing .0, plain digits from 1e-6 to 1e21."""
+    return once(x, _number_text)
+
+
 def number_term(x: Column) -> Column:
     """xsd:integer where integral, else xsd:decimal."""
-    return F.when(x == F.floor(x), literal(number_text(x), XSD + "integer")).otherwise(literal(number_text(x), XSD + "decimal"))
+    kind = lambda y: F.when(y == F.floor(y), f'"^^<{XSD}integer>').otherwise(f'"^^<{XSD}decimal>')
+    return once(x, lambda y: F.concat(F.lit('"'), _number_text(y), kind(y)))
 
 
 def id_of(term: Column) -> Column:

@@ -7,6 +7,7 @@ with a column ``v_x`` for each variable. Bodies also hold ``Filter``, ``Set`` an
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
@@ -86,7 +87,8 @@ def expanded(pattern: Pattern) -> list[Pattern]:
     s, p, o = pattern
     if not isinstance(p, Path):
         return [pattern]
-    key = abs(hash((s, p, o))) % 10**9
+    # The same in every process, and different for different patterns.
+    key = hashlib.sha256(repr((s, p.steps, o)).encode()).hexdigest()[:32]
     ends = [s, *(f"?_h{key}_{n}" for n in range(len(p.steps) - 1)), o]
     return [(a, q, b) if forward else (b, q, a) for (q, forward), a, b in zip(p.steps, ends, ends[1:], strict=False)]
 

@@ -2,12 +2,16 @@
 
 ``infer`` runs each stratum: rules that run once, then the others semi-naively. A first pass reads all
 triples; later ones have a variant of a rule for each pattern that reads only the last pass's new triples. All
-rules of a pass are one Spark job; new triples are grouped to their first rule, anti-joined with what is known, and
-written to the shared folder.
+rules of a pass are one Spark job; new triples are grouped to their first rule, anti-joined with what is known of the predicates that they can
+have, and written to the shared folder. Every few passes the tables written so far become one.
+
+A rule that fails, when its plan is built or in a job, is reported and the others go on. Rules that can't be put in strata
+are reported too, and then the facts are all that comes out.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -15,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafthorn.operators.patterns import Not, column, expanded, instances, is_variable, solutions, variables
-from grafthorn.plans.strata import patterns_in, runs_once, strata
+from grafthorn.plans.strata import NotStratifiable, patterns_in, runs_once, strata
 from grafthorn.sources.shared import written
 
 MAX_PASSES = 100
+#: Tables of passes that become one.
+COMPACT_AFTER = 6
 
 
 @dataclass(frozen=True)
@@ -31,13 +37,32 @@ class Rule:
     focus: tuple[str, Callable[[DataFrame], DataFrame]] | None = field(default=None, compare=False)
 
     def label(self, number: int) -> str:
+        """Its name, else one by its number; a rule with a focus has its number among those."""
         if self.name:
             return self.name
+        if self.focus:
+            return f"Targeted rule {number + 1} (FOR ?{self.focus[0].lstrip('?')})"
         p = next((h[1] for h in self.head if isinstance(h[1], str) and h[1].startswith("<")), None)
         local = p.strip("<>").replace("#", "/").rpartition("/")[2] if p else ""
         return f"Rule {number + 1}: {local}" if local else f"Rule {number + 1}"
 
 
+@dataclass(frozen=True)
+class Run:
+    """What a run gives: new triples (s, p, o, rule_index, rule_name, iteration), the rules' names, all passes, and what failed."""
+
+    triples: DataFrame
+    rules: list[str]
+    iterations: int
+    errors: list[str]
+
+
+def labels(rules: Sequence[Rule]) -> list[str]:
+    """Each rule's name; rules with a focus are numbered among themselves."""
+    focused = itertools.count()
+    return [r.label(next(focused) if r.focus else n) for n, r in enumerate(rules)]
+
+
 def transitive(p: str) -> list[Rule]:
     return [Rule([("?x", p, "?z")], [("?x", p, "?y"), ("?y", p, "?z")])]
 
@@ -93,64 +118,115 @@ def _variants(rule: Rule, everything: DataFrame, delta: DataFrame | None, delta_
     return [solutions(everything, rule.body, None, {n: delta}) for n in reads]
 
 
-def fired(numbered: list[tuple[int, Rule]], everything: DataFrame, delta: DataFrame | None, delta_predicates: set[str] | None) -> DataFrame | None:
-    """(s, p, o, rule_index) of all rules; the first rule owns a triple that several make."""
-    parts = [instances(v, r.head).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates)]
-    if not parts:
-        return None
+def _united(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out.groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index"))
+    return out
 
 
-def infer(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None, max_passes: int = MAX_PASSES, gates: dict[tuple[int, int], bool] | None = None) -> DataFrame:
-    """New triples (s, p, o, rule_index, rule_name, iteration) of the rules over ``base`` and ``facts``.
+def fired(numbered: list[tuple[int, Rule]], everything: DataFrame, delta: DataFrame | None, delta_predicates: set[str] | None) -> DataFrame | None:
+    """(s, p, o, rule_index) of all rules; the first rule owns a triple that several make."""
+    parts = [instances(v, r.head).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates)]
+    return _united(parts).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index")) if parts else None
+
+
+def _reason(e: Exception) -> str:
+    """The first line of an error, without Spark's state code."""
+    return (str(e).splitlines() or [""])[0].partition(" SQLSTATE: ")[0] or type(e).__name__
+
 
-    Facts that the base lacks come out with iteration 0 and rule name ``DATA block``. A stratum stops after ``max_passes`` passes.
+def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None, max_passes: int = MAX_PASSES, gates: dict[tuple[int, int], bool] | None = None) -> Run:
+    """New triples of the rules over ``base`` and ``facts``, with errors kept apart.
+
+    Facts that the base lacks come out with iteration 0 and rule name ``DATA block``. A stratum stops after ``max_passes`` passes (0 is the
+    usual number). Passes are counted over the strata: one of each for its rules that run once, and one for each pass of the others with the
+    last, which finds nothing. A pass reads what the passes before it made.
     """
-    known = base.select("s", "p", "o")
+    schema = "s string, p string, o string, rule_index int, rule_name string, iteration int"
+    start = base.select("s", "p", "o")
     produced: list[DataFrame] = []
+    made_so_far: list[DataFrame] = []
+    errors: list[str] = []
+    names, iteration = labels(rules), 0
     if facts is not None:
-        fresh = facts.select("s", "p", "o").distinct().join(known, ["s", "p", "o"], "left_anti")
+        fresh = facts.select("s", "p", "o").distinct().join(start, ["s", "p", "o"], "left_anti")
         produced.append(fresh.select("s", "p", "o", F.lit(-1).alias("rule_index"), F.lit("DATA block").alias("rule_name"), F.lit(0).alias("iteration")))
-        known = known.unionByName(fresh)
-    names = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (n, r.label(n))]) if rules else None
-    iteration = 0
-
-    def emit(made: DataFrame | None) -> DataFrame | None:
-        nonlocal known
+        start = start.unionByName(fresh)
+    try:
+        layers = strata(rules, gates) if rules else []
+    except NotStratifiable as e:
+        layers = []
+        errors.append(f"Stratification failed: {e}")
+    name_of = F.create_map(*[F.lit(x) for n, name in enumerate(names) for x in (n, name)]) if rules else None
+
+    def known() -> DataFrame:
+        return _united([start, *made_so_far])
+
+    def fresh_of(numbered: list[tuple[int, Rule]], delta: DataFrame | None, predicates: set[str] | None) -> DataFrame | None:
+        made = fired(numbered, known(), delta, predicates)
         if made is None:
             return None
-        new = written(made.join(known, ["s", "p", "o"], "left_anti"))
-        if new.isEmpty():
+        heads = {h[1] for _, r in numbered for h in r.head if not is_variable(h[1])}
+        may_be = known().where(F.col("p").isin(*heads)) if all(not is_variable(h[1]) for _, r in numbered for h in r.head) else known()
+        return written(made.join(may_be, ["s", "p", "o"], "left_anti"))
+
+    def emit(numbered: list[tuple[int, Rule]], delta: DataFrame | None, predicates: set[str] | None) -> DataFrame | None:
+        """One pass of rules that haven't failed; where it fails, each by itself, so that the others go on."""
+        own = [(n, r) for n, r in numbered if n not in failed]
+        try:
+            new = fresh_of(own, delta, predicates)
+        except Exception:  # noqa: BLE001 - whatever a rule raises is its error
+            good = []
+            for n, r in own:
+                try:
+                    good.append(fresh_of([(n, r)], delta, predicates))
+                except Exception as e:  # noqa: BLE001
+                    failed.add(n)
+                    errors.append(f'Error evaluating rule "{names[n]}": {_reason(e)}')
+            good = [g for g in good if g is not None]
+            new = written(_united(good).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index"))) if good else None
+        if new is None or new.isEmpty():
             return None
-        produced.append(new.select("s", "p", "o", "rule_index", names[F.col("rule_index")].alias("rule_name"), F.lit(iteration).alias("iteration")))
-        known = known.unionByName(new.select("s", "p", "o"))
+        produced.append(new.select("s", "p", "o", "rule_index", name_of[F.col("rule_index")].alias("rule_name"), F.lit(iteration).alias("iteration")))
+        made_so_far.append(new.select("s", "p", "o"))
+        if len(made_so_far) == COMPACT_AFTER:
+            made_so_far[:] = [written(_united(made_so_far))]
         return new
 
-    for layer in strata(rules, gates) if rules else []:
+    failed: set[int] = set()
+    for layer in layers:
         once = [(n, rules[n]) for n in layer if runs_once(rules[n])]
         general = [(n, rules[n]) for n in layer if not runs_once(rules[n])]
+        iteration += 1
         if once:
-            iteration += 1
-            emit(fired(once, known, None, None))
+            emit(once, None, None)
         recursive = any(any(p[1] == h[1] or is_variable(p[1]) or is_variable(h[1]) for p, _ in patterns_in(r.body) for _, q in general for h in q.head) for _, r in general)
         delta, predicates = None, None
-        for n in range(max_passes if general else 0):
+        for _ in range((max_passes or MAX_PASSES) if general else 0):
             iteration += 1
-            new = emit(fired(general, known, delta, predicates))
-            if new is None or not recursive:
+            new = emit(general, delta, predicates)
+            if new is None:
+                break
+            if not recursive:
+                # The next pass would find nothing; it counts where it may be made.
+                iteration += (max_passes or MAX_PASSES) > 1
                 break
             delta = new.select("s", "p", "o")
             predicates = {h[1] for _, r in general for h in r.head}
             predicates = None if any(is_variable(p) for p in predicates) else predicates
-    if not produced:
-        return base.sparkSession.createDataFrame([], "s string, p string, o string, rule_index int, rule_name string, iteration int")
-    out = produced[0]
-    for more in produced[1:]:
-        out = out.unionByName(more)
-    return out
+    triples = _united(produced) if produced else base.sparkSession.createDataFrame([], schema)
+    return Run(triples, names, iteration, errors)
+
+
+def infer(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None, max_passes: int = MAX_PASSES, gates: dict[tuple[int, int], bool] | None = None) -> DataFrame:
+    """The triples of ``run``; raises if a rule failed or the rules can't be put in strata."""
+    if rules:
+        strata(rules, gates)
+    done = run(base, rules, facts, max_passes, gates)
+    if done.errors:
+        raise RuntimeError("; ".join(done.errors))
+    return done.triples
 
 
 def output_graph(base: DataFrame, inferred: DataFrame) -> DataFrame:

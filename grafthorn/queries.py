@@ -15,8 +15,9 @@ from grafthorn.functions import values as v
 from grafthorn.functions.values import Value, const, var
 from grafthorn.operators import shapes as sh
 from grafthorn.operators.patterns import Filter, Not, Set, has_match, instances, inv, scan, seq, solutions, without
-from grafthorn.operators.rules import Rule, data, infer, inverse, output_graph, symmetric, transitive
+from grafthorn.operators.rules import Rule, data, infer, inverse, output_graph, problems, run, symmetric, transitive
 from grafthorn.operators.shapes import Property, Shape
+from grafthorn.plans.strata import is_stratifiable, may_match
 from grafthorn.sources.triples import BASE, display, list_members, node, predicate, search, table_triples, union
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,10 +216,10 @@ def set_concat(spark, d):
 # Negation
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def not_exists(spark, d):
     graph = union(_customers(spark, d), _orders(spark, d))
-    return solutions(graph, [("?c", P("c_mktsegment"), "?m"), Not(("?o", P("o_custkey"), "?c"))]).select(_id("v_c").alias("c_custkey"))
+    return solutions(graph, [("?c", P("c_mktsegment"), "?m"), Not(("?o", P("o_custkey"), "?c"), ("?o", P("o_orderstatus"), '"F"'))]).select(_id("v_c").alias("c_custkey"))
 
 
 @query("SELECT s_suppkey FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_acctbal > a.s_acctbal)")
@@ -333,7 +334,7 @@ def rdfs_types(spark, d):
     return made.select(_id("s").alias("p_partkey"), F.regexp_extract("o", r"class/(.*)>", 1).alias("class"))
 
 
-@query("SELECT 'a' AS rule_name, 1 AS iteration, count(*) AS n FROM nation UNION ALL SELECT 'b', 2, count(*) FROM (SELECT DISTINCT n_regionkey FROM nation)")
+@query("SELECT 'a' AS rule_name, 2 AS iteration, count(*) AS n FROM nation UNION ALL SELECT 'b', 3, count(*) FROM (SELECT DISTINCT n_regionkey FROM nation)")
 def provenance_counts(spark, d):
     rules = [Rule([("?n", P("within"), "?r")], [("?n", P("n_regionkey"), "?r")], "a"), Rule([("?r", P("used"), '"yes"')], [("?n", P("within"), "?r")], "b")]
     return infer(_places(spark, d), rules).groupBy("rule_name", "iteration").agg(F.count("*").alias("n"))
@@ -346,10 +347,10 @@ def full_output_graph(spark, d):
     return output_graph(graph, made).agg(F.count("*").alias("total")).crossJoin(made.agg(F.count("*").alias("inferred")))
 
 
-@query("SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'an')")
+@query("SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'on_1')")
 def search_box(spark, d):
     made = infer(_places(spark, d), [Rule([("?n", P("called"), "?x")], [("?n", P("n_name"), "?x")], "names")])
-    return search(made, "AN").where(F.contains(F.lower("o"), F.lit("an"))).select(_id("s").cast("int").alias("n_nationkey"))
+    return search(made, "On_1").select(_id("s").cast("int").alias("n_nationkey"))
 
 
 @query("SELECT 'ex:part/' || p_partkey AS s, CAST(p_size AS VARCHAR) AS size, '\"' || p_brand || '\"' AS brand FROM part")
@@ -528,6 +529,128 @@ def targeted_rule(spark, d):
     return made.groupBy(_id("s").alias("c_custkey")).agg(F.count("*").alias("orders"))
 
 
+@query("SELECT o_orderkey FROM orders UNION SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal >= 9000")
+def shape_united_targets(spark, d):
+    """Nodes of three targets at once, numbered by the key that ends their name."""
+    graph = union(_customers(spark, d), _orders(spark, d))
+    rich = Shape(f"<{BASE}rich>", (), {}, (_prop(P("c_acctbal"), min_count=1, min_inclusive=_N(9000)),))
+    shape = Shape(f"<{BASE}s>", (("subjects_of", P("o_totalprice")), ("objects_of", P("o_custkey")), ("where", rich)))
+    return sh.focus_nodes(graph, shape).select(_id("node").alias("o_orderkey")).distinct()
+
+
+@query("SELECT CAST(doc_id // 4 AS BIGINT) AS bundle FROM documents GROUP BY 1 HAVING count(*) = count(DISTINCT lang)")
+def shape_unique_lang(spark, d):
+    """Bundles of four documents, of which no two are in one language."""
+    docs = _read(spark, d, "documents").withColumn("bundle", F.floor(F.col("doc_id") / 4))
+    graph = docs.select(node("bundle", "bundle").alias("s"), F.lit(P("holds")).alias("p"), t.literal(F.col("doc_id").cast("string"), lang=F.col("lang")).alias("o"))
+    return _conform(graph, Shape(f"<{BASE}s>", (("subjects_of", P("holds")),), {}, (_prop(P("holds"), unique_lang=True),)), "bundle")
+
+
+@query("SELECT p_size FROM part GROUP BY p_size HAVING count(*) FILTER (p_retailprice >= 990 AND p_brand NOT IN (SELECT b.p_brand FROM part b WHERE b.p_size = part.p_size AND b.p_retailprice < 940)) = 0 AND count(*) FILTER (p_retailprice >= 990) > 0")
+def shape_subset(spark, d):
+    """Sizes whose brands of dear parts are all among those of their cheap parts."""
+    parts = _read(spark, d, "part")
+    edge = lambda name, test: parts.where(test).select(node("size", "p_size").alias("s"), F.lit(P(name)).alias("p"), t.literal(F.col("p_brand")).alias("o"))
+    graph = union(edge("dear", "p_retailprice >= 990"), edge("cheap", "p_retailprice < 940"))
+    return _conform(graph, Shape(f"<{BASE}s>", (("subjects_of", P("dear")),), {}, (_prop(P("dear"), subset_of=P("cheap")),)), "p_size").select(F.col("p_size").cast("int"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment = 'BUILDING'")
+def shape_and(spark, d):
+    """Both of two shapes; parts of a shape that say nothing of conformance, and a property without a path, change nothing."""
+    rich = Shape(f"<{BASE}rich>", (), {}, (_prop(P("c_acctbal"), min_inclusive=_N(5000)),))
+    builder = Shape(f"<{BASE}builder>", (), {"reifier_shape": rich, "reification_required": True}, (_prop(P("c_mktsegment"), has_value='"BUILDING"'), _prop(None, max_count=0)))
+    return _conform(_customers(spark, d), Shape(f"<{BASE}s>", (_CUSTOMER,), {"and": (rich, builder)}), "c_custkey")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey = 2 UNION SELECT 3")
+def shape_pointed_at(spark, d):
+    """Nodes that point at a shape are its targets, beside those that it names."""
+    nations = _read(spark, d, "nation").where("n_regionkey = 2")
+    graph = union(_places(spark, d), nations.select(node("nation", "n_nationkey").alias("s"), F.lit(f"<{t.SH}shape>").alias("p"), F.lit(f"<{BASE}s>").alias("o")))
+    shape = Shape(f"<{BASE}s>", (("node", f"<{BASE}nation/3>"),), {}, (_prop(P("n_name"), min_count=1),))
+    return _conform(graph, shape, "n_nationkey").select(F.col("n_nationkey").cast("int"))
+
+
+# Runs and checks
+
+
+@query("SELECT n_regionkey AS region, count(DISTINCT n_nationkey) AS nations, 1 AS nodes FROM nation GROUP BY 1")
+def head_blank_nodes(spark, d):
+    """A blank node in a head stands for one node, which every solution shares; its rule runs once."""
+    rule = Rule([("?r", P("holder"), "_:all"), ("_:all", P("member"), "?n")], [("?n", P("n_regionkey"), "?r")])
+    made = infer(_places(spark, d), [rule])
+    held = made.where(F.col("p") == P("holder")).select(F.col("s").alias("r"), F.col("o").alias("b"))
+    members = made.where(F.col("p") == P("member")).select(F.col("s").alias("b"), F.col("o").alias("n"))
+    own = _read(spark, d, "nation").select(node("nation", "n_nationkey").alias("n"), F.col("n_regionkey").alias("region"), node("region", "n_regionkey").alias("r"))
+    both = held.join(members, "b").join(own, ["n", "r"])
+    return both.groupBy("region").agg(F.countDistinct("n").alias("nations"), F.countDistinct("b").cast("int").alias("nodes"))
+
+
+@query("""
+SELECT 'triples' AS what, 'good' AS name, count(*) AS n FROM nation UNION ALL SELECT 'triples', 'DATA block', 1
+UNION ALL SELECT 'triples', 'Targeted rule 1 (FOR ?n)', count(*) FROM nation WHERE n_regionkey = 1
+UNION ALL SELECT 'iterations', '', 3 UNION ALL SELECT 'error', 'Error evaluating rule "bad": no such test', 1 UNION ALL SELECT 'error', 'Error evaluating rule "worse": [USER_RAISED_EXCEPTION] no value', 1
+UNION ALL SELECT 'rule', 'good', 0 UNION ALL SELECT 'rule', 'bad', 1 UNION ALL SELECT 'rule', 'worse', 2 UNION ALL SELECT 'rule', 'Targeted rule 1 (FOR ?n)', 3""")
+def run_summary(spark, d):
+    """A run in which one rule can't be planned and one fails in its job: triples by rule, passes, errors and rules."""
+
+    def no_test():
+        raise ValueError("no such test")
+
+    in_one = Shape(f"<{BASE}s>", (("subjects_of", P("n_regionkey")),), {}, (_prop(P("n_regionkey"), has_value=f"<{BASE}region/1>"),))
+    rules = [
+        Rule([("?n", P("within"), "?r")], [("?n", P("n_regionkey"), "?r")], "good"),
+        Rule([("?n", P("x"), "?r")], [("?n", P("n_regionkey"), "?r"), Filter(no_test, ("?r",))], "bad"),
+        Rule([("?n", P("y"), "?r")], [("?n", P("n_regionkey"), "?r"), Filter(lambda: Value("bool", F.raise_error(F.lit("no value")).cast("boolean")), ("?r",))], "worse"),
+        Rule([("?n", P("first"), '"yes"')], [("?n", P("n_name"), "?x")], None, ("?n", lambda g: sh.conforming(g, in_one))),
+    ]
+    facts = data(spark, [(f"<{BASE}nation/99>", P("n_name"), '"NOWHERE"')])
+    done = run(_places(spark, d), rules, facts, gates=sh.shape_gates(rules, {3: in_one}))
+    counts = done.triples.groupBy(F.col("rule_name").alias("name")).agg(F.count("*").alias("n")).select(F.lit("triples").alias("what"), "name", "n")
+    told = [("iterations", "", done.iterations), *(("error", e, 1) for e in done.errors), *(("rule", r, n) for n, r in enumerate(done.rules))]
+    return counts.unionByName(spark.createDataFrame(told, "what string, name string, n long"))
+
+
+@query("""
+SELECT 'Stratification failed' AS what, 1 AS n UNION ALL SELECT 'DATA block', 1 UNION ALL SELECT 'not stratifiable', 1 UNION ALL SELECT 'stratifiable', 1
+UNION ALL SELECT 'may match', 2 UNION ALL SELECT '?y is read before it is bound', 1 UNION ALL SELECT '?x is assigned but already bound', 1
+UNION ALL SELECT '?z in the head is not bound by the body', 1 UNION ALL SELECT '?q is read before it is bound', 1 UNION ALL SELECT 'data triples must be ground', 1
+UNION ALL SELECT 'target nowhere', 1 UNION ALL SELECT 'min_size', 1 UNION ALL SELECT 'shapes refer to each other', 1""")
+def rule_checks(spark, d):
+    """What is refused, and for what reason: rules that negate themselves, rules and data that aren't well-formed, unknown and endless shapes."""
+    graph = _places(spark, d)
+    n, x, y = P("n_name"), P("x"), P("y")
+    odd = [Rule([("?a", x, "?b")], [("?a", n, "?b"), Not(("?a", y, "?b"))]), Rule([("?a", y, "?b")], [("?a", x, "?b")])]
+    done = run(graph, odd, data(spark, [(f"<{BASE}a>", x, '"1"')]))
+    told = [(e.split(":")[0], 1) for e in done.errors] + [(r["rule_name"], 1) for r in done.triples.select("rule_name").collect()]
+    told += [("stratifiable" if is_stratifiable(r)[0] else "not stratifiable", 1) for r in (odd, odd[1:])]
+    told.append(("may match", sum(may_match(("?a", x, f"<{BASE}b>"), h) for h in (("?a", x, "?b"), ("?a", y, "?b"), (f"<{BASE}c>", x, f"<{BASE}b>")))))
+    wrong = [
+        Rule([("?x", x, "?x")], [("?x", n, "?w"), Filter(lambda: var("y"), ("?y",)), ("?y", n, "?w")]),
+        Rule([("?x", x, "?x")], [("?x", n, "?w"), Set("?x", lambda: var("w"), ("?w",))]),
+        Rule([("?x", x, "?z")], [("?x", n, "?w")]),
+        Rule([("?x", x, "?x")], [("?x", n, "?w"), Not(("?x", y, "?v"), Filter(lambda: var("q"), ("?q",)))]),
+    ]
+    told += [(message, 1) for r in wrong for message in problems(r)]
+
+    def loop(depth: int) -> Shape:
+        return Shape(f"<{BASE}loop>", (), {"node": loop(depth - 1)} if depth else {})
+
+    tries = (
+        lambda: data(spark, [("?a", x, "?b")]),
+        lambda: sh.focus_nodes(graph, Shape(f"<{BASE}s>", (("nowhere", x),))),
+        lambda: sh.conforming(graph, Shape(f"<{BASE}s>", (("subjects_of", n),), {}, (_prop(n, min_size=1),))),
+        lambda: sh.conforming(graph, loop(60), graph.select(F.col("s").alias("node"))),
+    )
+    for attempt in tries:
+        try:
+            attempt()
+        except (ValueError, RecursionError) as e:
+            told.append((str(e).split(" more than")[0], 1))
+    return spark.createDataFrame(told, "what string, n int")
+
+
 # Set operations, sources and limits
 
 
