@@ -25,10 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``; only where it is
-    unset, as in tests on one machine, is a temporary folder chosen.
+    unset on one machine, as in tests, is a temporary folder chosen.
     """
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="grafthorn-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/grafthorn-{uuid.uuid4().hex}"
@@ -114,6 +116,8 @@ def shingle_hashes(text: str | None, words: WordHashes, n: int = NGRAM) -> np.nd
 
 
 def rows(batches: Iterator, *columns: int) -> Iterator[tuple]:
-    """Rows of Arrow batches as plain Python values, for the columns at these positions."""
+    """Rows of Arrow batches as plain Python values, for the columns at these positions; few at a time, as texts may be long."""
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
