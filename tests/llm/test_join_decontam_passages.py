@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -241,3 +242,15 @@ def test_edited_passages_are_met_and_verified():
             met += bool(keys[0] & keys[1])
             assert passages.shared_passages(left.tolist(), right.tolist()) and passages.shared_passages(right.tolist(), left.tolist())
         assert met >= 97
+
+
+def test_long_texts_of_few_words(docs_of):
+    """Repeats within a text, over hundreds of thousands of words, in time."""
+    same, cycle = "same " * 100_000, "a b c d e f g " * 15_000
+    docs = docs_of([(1, same), (2, same + "x"), (3, cycle), (4, cycle + "z"), (5, same), (6, None)])
+    began = time.monotonic()
+    classes = {r.doc_id: r.class_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert classes[3] == classes[4] == 3 and classes[1] == classes[5] == 1 and classes[6] == 6
+    found = {r.doc_id: (r.start_word, r.end_word) for r in passages.repeated_passages(docs).collect()}
+    assert set(found) == {1, 2, 3, 4, 5} and found[1] == found[5] == (0, 100_000) and found[3] == (0, 105_000)
+    assert time.monotonic() - began < 120
