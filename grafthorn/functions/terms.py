@@ -20,7 +20,7 @@ TYPE, FIRST, REST, NIL = (f"<{RDF}{n}>" for n in ("type", "first", "rest", "nil"
 SUBCLASS = f"<{RDFS}subClassOf>"
 NUMERIC = tuple(XSD + n for n in ("integer", "decimal", "double", "float"))
 #: Leading number of a lexical form, as a lenient float reader takes it.
-LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+LEADING_NUMBER = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 
 
 def iri(text: Column | str) -> Column:

@@ -7,8 +7,14 @@ and failed values are null; ``text`` reads null as ''.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
+from datetime import datetime, timedelta
+from datetime import timezone as zone
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,13 +24,51 @@ from grafthorn.functions import terms as t
 TERM, STR, NUM, BOOL = "term", "str", "num", "bool"
 
 
+@dataclass(frozen=True)
+class Native:
+    """The columns of a table that make a term, and their kind (``grafthorn.sources.graph.Kind``); they are never null."""
+
+    kind: object
+    cols: Sequence[Column]
+
+    @property
+    def name(self) -> str:
+        return self.kind.name
+
+    @property
+    def is_number(self) -> bool:
+        return self.name in ("integer", "double", "float")
+
+
+_NATIVE: ContextVar[dict[str, Native]] = ContextVar("native", default={})  # noqa: B039 - never changed in place
+
+
+@contextmanager
+def native_columns(columns: dict[str, Native]) -> Iterator[None]:
+    """Within it ``var`` knows these variables' columns, so that tests of them can be made on the columns."""
+    token = _NATIVE.set(columns)
+    try:
+        yield
+    finally:
+        _NATIVE.reset(token)
+
+
 @dataclass(frozen=True)
 class Value:
+    """``native`` are the columns of a variable, ``given`` is a constant's value. A ``sure`` boolean is never null."""
+
     kind: str
     col: Column
+    native: Native | None = None
+    given: str | float | bool | None = None
+    sure: bool = False
 
     def text(self) -> Column:
         """The value as a string; null is ''."""
+        if self.native:
+            return self.native.kind.lexical(self.native.cols)
+        if isinstance(self.given, str) and self.kind == STR:
+            return self.col
         if self.kind == TERM:
             out = t.lex(self.col)
         elif self.kind == NUM:
@@ -37,6 +81,9 @@ class Value:
         """The value as a double, from the leading number of a literal or string; null if there is none."""
         if self.kind == NUM:
             return self.col
+        if self.native and self.native.is_number:
+            x = self.native.cols[0].cast("double")
+            return x if self.native.name == "integer" else F.when(~F.isnan(x), x)
         if self.kind == TERM:
             return F.when(t.is_literal(self.col), t.leading_number(t.lex(self.col)))
         return t.leading_number(self.col) if self.kind == STR else self.col.cast("double")
@@ -44,6 +91,8 @@ class Value:
     def truth(self) -> Column:
         """Effective boolean value, never null: numeric literals are true whatever their number, computed 0 is false."""
         if self.kind == BOOL:
+            if self.sure:
+                return self.col
             out = self.col
         elif self.kind == NUM:
             out = self.col != 0
@@ -72,44 +121,110 @@ def _is_numeric(term: Column) -> Column:
 
 def var(name: str) -> Value:
     """The binding of a rule variable."""
+    native = _NATIVE.get().get(name.lstrip("?"))
+    if native:
+        return Value(TERM, native.kind.printed(native.cols), native)
     return Value(TERM, F.col(f"v_{name.lstrip('?')}"))
 
 
 def const(x: str | float | bool) -> Value:
     """A constant: a term where the string is written as one, else a raw value."""
     if isinstance(x, bool):
-        return Value(BOOL, F.lit(x))
+        return Value(BOOL, F.lit(x), given=x, sure=True)
     if isinstance(x, str):
-        return Value(TERM if x[:1] in ("<", '"') or x[:2] == "_:" else STR, F.lit(x))
-    return Value(NUM, F.lit(float(x)))
+        return Value(TERM if x[:1] in ("<", '"') or x[:2] == "_:" else STR, F.lit(x), given=x)
+    return Value(NUM, F.lit(float(x)), given=float(x))
 
 
 def _v(x) -> Value:
     return x if isinstance(x, Value) else const(x)
 
 
-def _bool(c: Column) -> Value:
-    return Value(BOOL, F.coalesce(c, F.lit(False)))
+def _bool(c: Column, sure: bool = False) -> Value:
+    return Value(BOOL, c if sure else F.coalesce(c, F.lit(False)), sure=sure)
+
+
+def _sure(*values: Value) -> bool:
+    """Truths that are never null."""
+    return all(v.kind == BOOL and v.sure for v in values)
+
+
+def _plain(*values: Value) -> bool:
+    """Texts that are never null."""
+    return all(v.native or isinstance(v.given, str) and v.kind == STR for v in values)
+
+
+def _given_number(v: Value) -> float | None:
+    """The number of a constant, from the leading number of a literal or string."""
+    if v.kind == NUM and v.given is not None:
+        return float(v.given)
+    if isinstance(v.given, str) and v.given[:1] != "<" and v.given[:2] != "_:":
+        text = re.sub(r'(?s)^"(.*)".*$', r"\1", v.given) if v.kind == TERM else v.given
+        found = re.match(t.LEADING_NUMBER, text)
+        return float(found[1]) if found else None
+    return None
+
+
+def _given_time(v: Value) -> datetime | None:
+    """The time of a constant date or date-time, without its zone; zones count from UTC."""
+    found = re.fullmatch(rf'"(\d{{4}}-\d\d-\d\d(?:T\d\d:\d\d(?::\d\d(?:\.\d{{1,6}})?)?(?:Z|[+-]\d\d:\d\d)?)?)"\^\^<{re.escape(t.XSD)}(?:date|dateTime|dateTimeStamp)>', v.given or "") if isinstance(v.given, str) and v.kind == TERM else None
+    if not found:
+        return None
+    at = datetime.fromisoformat(found[1].replace("Z", "+00:00"))
+    return at.astimezone(zone.utc).replace(tzinfo=None) if at.tzinfo else at
+
+
+def _natively_compared(a: Value, b: Value, how: Callable[[Column, Column], Column], op: str) -> Column | None:
+    """The comparison on native columns, where both sides are numbers, or one a time and the other a constant one."""
+    sides = []
+    for v in (a, b):
+        number = _given_number(v)
+        # NaN is above all numbers, as its text is.
+        sides.append(v.native.cols[0] if v.native and v.native.is_number else F.lit(number) if number is not None else None)
+    if (a.native or b.native) and all(x is not None for x in sides):
+        return how(*sides)
+    if a.native and a.native.name == "timestamp" and (at := _given_time(b)) is not None:
+        # Printed times have whole seconds: the constant's is compared with the second that a time is in.
+        whole = at.replace(microsecond=0)
+        if op in ("gt", "le") or at != whole:
+            whole += timedelta(seconds=1)
+        bound = F.lit(whole.isoformat(" ")).cast("timestamp_ntz")
+        return a.native.cols[0] >= bound if op in ("ge", "gt") else a.native.cols[0] < bound
+    return None
 
 
 # Operators
 
 
 def or_(a, b) -> Value:
-    return _bool(_v(a).truth() | _v(b).truth())
+    a, b = _v(a), _v(b)
+    return _bool(a.truth() | b.truth(), _sure(a, b))
 
 
 def and_(a, b) -> Value:
-    return _bool(_v(a).truth() & _v(b).truth())
+    a, b = _v(a), _v(b)
+    return _bool(a.truth() & b.truth(), _sure(a, b))
 
 
 def not_(a) -> Value:
-    return _bool(~_v(a).truth())
+    a = _v(a)
+    return _bool(~a.truth(), _sure(a))
 
 
 def eq(a, b) -> Value:
     """Null equals nothing; truth against booleans; numbers by value; terms by identity; mixed kinds as text."""
     a, b = _v(a), _v(b)
+    if b.native and not a.native:
+        a, b = b, a
+    if a.native and b.given is not None:
+        number = _given_number(b) if b.kind == NUM or b.kind == TERM and re.search(rf'"\^\^<(?:{"|".join(map(re.escape, t.NUMERIC))})>$', str(b.given)) else None
+        if a.native.is_number and number is not None:
+            return _bool(a.native.cols[0] == F.lit(number), True)
+        if b.kind == TERM and not (a.native.is_number and number is not None):
+            same = a.native.kind.equals(a.native.cols, b.given)
+            return _bool(F.lit(False) if same is None else same, True)
+        if b.kind == STR:
+            return _bool(a.text() == b.col, True)
     some = a.col.isNotNull() & b.col.isNotNull()
     if BOOL in (a.kind, b.kind):
         return _bool(some & (a.truth() == b.truth()))
@@ -125,7 +240,7 @@ def eq(a, b) -> Value:
 
 
 def ne(a, b) -> Value:
-    return _bool(~eq(a, b).col)
+    return not_(eq(a, b))
 
 
 def _time(v: Value) -> Column:
@@ -134,9 +249,12 @@ def _time(v: Value) -> Column:
     return F.when(dated, F.try_to_timestamp(F.nullif(stamp, F.lit(""))))
 
 
-def _compared(a, b, how: Callable[[Column, Column], Column]) -> Value:
+def _compared(a, b, how: Callable[[Column, Column], Column], op: str) -> Value:
     """Dates by time, numbers by value, anything else as text."""
     a, b = _v(a), _v(b)
+    native = _natively_compared(a, b, how, op)
+    if native is not None:
+        return _bool(native, True)
     x, y = a.number(), b.number()
     out = F.when(x.isNotNull() & y.isNotNull(), how(x, y)).otherwise(how(a.text(), b.text()))
     if a.kind == b.kind == TERM:
@@ -146,19 +264,19 @@ def _compared(a, b, how: Callable[[Column, Column], Column]) -> Value:
 
 
 def lt(a, b) -> Value:
-    return _compared(a, b, lambda x, y: x < y)
+    return _compared(a, b, lambda x, y: x < y, "lt")
 
 
 def gt(a, b) -> Value:
-    return _compared(a, b, lambda x, y: x > y)
+    return _compared(a, b, lambda x, y: x > y, "gt")
 
 
 def le(a, b) -> Value:
-    return _compared(a, b, lambda x, y: x <= y)
+    return _compared(a, b, lambda x, y: x <= y, "le")
 
 
 def ge(a, b) -> Value:
-    return _compared(a, b, lambda x, y: x >= y)
+    return _compared(a, b, lambda x, y: x >= y, "ge")
 
 
 def add(a, b) -> Value:
@@ -187,14 +305,12 @@ def plus(a) -> Value:
 
 
 def in_(x, *choices) -> Value:
-    out = F.lit(False)
-    for c in choices:
-        out = out | eq(x, c).col
-    return _bool(out)
+    found = [eq(x, c) for c in choices]
+    return _bool(reduce(lambda a, b: a | b, (f.col for f in found), F.lit(False)), _sure(*found))
 
 
 def not_in(x, *choices) -> Value:
-    return _bool(~in_(x, *choices).col)
+    return not_(in_(x, *choices))
 
 
 # Strings
@@ -233,15 +349,18 @@ def lcase(x) -> Value:
 
 
 def contains(x, part) -> Value:
-    return _bool(F.contains(_v(x).text(), _v(part).text()))
+    x, part = _v(x), _v(part)
+    return _bool(F.contains(x.text(), part.text()), _plain(x, part))
 
 
 def strstarts(x, part) -> Value:
-    return _bool(F.startswith(_v(x).text(), _v(part).text()))
+    x, part = _v(x), _v(part)
+    return _bool(F.startswith(x.text(), part.text()), _plain(x, part))
 
 
 def strends(x, part) -> Value:
-    return _bool(F.endswith(_v(x).text(), _v(part).text()))
+    x, part = _v(x), _v(part)
+    return _bool(F.endswith(x.text(), part.text()), _plain(x, part))
 
 
 def strbefore(x, part) -> Value:

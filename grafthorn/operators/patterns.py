@@ -15,7 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grafthorn.functions.values import Value
+from grafthorn.functions.values import Value, native_columns
+from grafthorn.operators.bindings import Bindings, joined, kept, name_of, names, of_terms, pattern_bindings, units
+from grafthorn.sources.graph import TERM, Graph, as_graph
 
 Pattern = tuple
 
@@ -93,106 +95,130 @@ def expanded(pattern: Pattern) -> list[Pattern]:
     return [(a, q, b) if forward else (b, q, a) for (q, forward), a, b in zip(p.steps, ends, ends[1:], strict=False)]
 
 
-def scan(triples: DataFrame, pattern: Pattern) -> DataFrame:
+def scan(triples: DataFrame | Graph, pattern: Pattern) -> DataFrame:
     """Solutions of one plain pattern; a variable that occurs twice must have equal terms."""
-    places = dict(zip("spo", pattern, strict=True))
-    out = triples
-    for place, term in places.items():
-        if not is_variable(term):
-            out = out.where(F.col(place) == term)
-    first: dict[str, str] = {}
-    for place, term in places.items():
-        if is_variable(term) and term in first:
-            out = out.where(F.col(place) == F.col(first[term]))
-        elif is_variable(term):
-            first[term] = place
-    return out.select(*(F.col(place).alias(column(v)) for v, place in first.items())) if first else out.select(F.lit(1).alias("_hit")).limit(1)
-
-
-def joined(left: DataFrame | None, right: DataFrame) -> DataFrame:
-    """Natural join on shared variables; without any, every combination, as the semantics of a body ask."""
-    if left is None:
-        return right
-    shared = [c for c in left.columns if c in right.columns and c != "_hit"]
-    if "_hit" in right.columns:
-        return left.join(right, F.lit(True), "left_semi")
-    if "_hit" in left.columns:
-        return right.join(left, F.lit(True), "left_semi")
-    return left.join(right, shared) if shared else left.crossJoin(right)
-
-
-def ordered(patterns: Sequence[Pattern], bound: set[str]) -> list[Pattern]:
-    """Patterns with those that have constants first, each connected to what is bound where possible."""
-    left, out, bound = list(patterns), [], set(bound)
+    return pattern_bindings(as_graph(triples), pattern).terms()
+
+
+def ordered(parts: Sequence[tuple[Sequence[Pattern], Bindings]], bound: set[str]) -> list[Bindings]:
+    """Solutions of patterns with those that have most constants first, each connected to what is bound where possible."""
+    left, out, bound = list(parts), [], set(bound)
     while left:
-        linked = [p for p in left if not bound or bound & {x for x in p if is_variable(x)}] or left
-        best = max(linked, key=lambda p: (sum(not is_variable(x) for x in p), -left.index(p)))
+        linked = [p for p in left if not bound or bound & set(p[1].kinds)] or left
+        best = max(linked, key=lambda p: (max(sum(not is_variable(x) for x in q) for q in p[0]), len(p[0]), -left.index(p)))
         left.remove(best)
-        out.append(best)
-        bound |= {x for x in best if is_variable(x)}
+        out.append(best[1])
+        bound |= set(best[1].kinds)
     return out
 
 
-def solutions(triples: DataFrame, body: Sequence, seed: DataFrame | None = None, sources: dict[int, DataFrame] | None = None) -> DataFrame:
+def solutions(triples: DataFrame | Graph, body: Sequence, seed: DataFrame | None = None, sources: dict[int, DataFrame] | None = None, wanted: Sequence[str] | None = None) -> DataFrame:
     """Solutions of a body, a bag of rows.
 
     ``seed`` gives solutions to start from. ``sources`` replaces the triples of the n-th
-    pattern (after path expansion), as the delta passes of a fixpoint do.
+    pattern (after path expansion), as the delta passes of a fixpoint do. With ``wanted``, variables such as a
+    head's, parts of the body that share no variable with those that bind them only have to have a solution.
     """
-    number, out = itertools.count(), seed
-    pending: list[tuple[Pattern, DataFrame]] = []
+    return bindings(as_graph(triples), body, of_terms(seed) if seed is not None else None, sources, wanted).terms()
+
+
+def _unit(graph: Graph) -> Bindings:
+    """One solution that binds nothing."""
+    return Bindings(graph.sparkSession.range(1).select(F.lit(1).alias("_hit")), {})
+
+
+def components(body: Sequence, together: Sequence[str] = ()) -> list[tuple[list[int], set[str]]]:
+    """Places of the elements that hang together by their variables, with those; ``together`` counts as one element."""
+    out: list[tuple[list[int], set[str]]] = [([], set(together))] if together else []
+    for k, e in enumerate(body):
+        own = set(reads([e]))
+        near = [c for c in out if c[1] & own]
+        out = [c for c in out if not c[1] & own] + [(sorted([k, *(x for c in near for x in c[0])]), own.union(*(c[1] for c in near)))]
+    return out
+
+
+def bindings(graph: Graph, body: Sequence, seed: Bindings | None = None, sources: dict[int, DataFrame] | None = None, wanted: Sequence[str] | None = None) -> Bindings:
+    """``solutions`` with native columns: terms are printed where a SET or a join of different kinds needs them."""
+    number = itertools.count()
+    parts = [[(p, (sources or {}).get(next(number))) for p in expanded(e)] if isinstance(e, tuple) else e for e in body]
+    if wanted is None:
+        return _evaluated(graph, parts, seed)
+    out, tests = None, []
+    for places, found in components(body, [f"?{x}" for x in seed.kinds] if seed is not None else ()):
+        own = _evaluated(graph, [parts[k] for k in places], seed if seed is not None and found & {f"?{x}" for x in seed.kinds} else None)
+        if found & set(wanted):
+            out = joined(out, own)
+        else:
+            tests.append(own)
+    for test in tests:
+        out = joined(out if out is not None else _unit(graph), Bindings(test.df, {}))
+    return out if out is not None else _unit(graph)
+
+
+def _evaluated(graph: Graph, parts: Sequence, out: Bindings | None) -> Bindings:
+    """Solutions of elements in order; patterns come with the triples to read in place of the graph's."""
+    pending: list[tuple[Pattern, DataFrame | None]] = []
 
     def flush() -> None:
         nonlocal out
-        bound = {c.replace("v_", "?", 1) for c in (out.columns if out is not None else [])}
-        order = ordered([p for p, _ in pending], bound)
-        left = list(pending)
-        for p in order:
-            at = next(i for i, (q, _) in enumerate(left) if q == p)
-            out = joined(out, scan(left.pop(at)[1], p))
+        found = units(graph, [p for p, own in pending if own is None])
+        found += [([p], pattern_bindings(as_graph(own), p)) for p, own in pending if own is not None]
+        for part in ordered(found, set(out.kinds) if out is not None else set()):
+            out = joined(out, part)
         pending.clear()
 
-    for e in body:
-        if isinstance(e, tuple):
-            pending += [(p, (sources or {}).get(next(number), triples)) for p in expanded(e)]
+    for e in parts:
+        if isinstance(e, list):
+            pending += e
             continue
         flush()
-        if out is None:
-            out = triples.sparkSession.range(1).select(F.lit(1).alias("_hit"))
+        out = _unit(graph) if out is None else out
         if isinstance(e, Filter):
-            out = out.where(e.test().truth())
+            with native_columns(out.native()):
+                out = Bindings(out.df.where(e.test().truth()), out.kinds)
         elif isinstance(e, Set):
-            out = out.withColumn(column(e.name), e.value().term()).where(F.col(column(e.name)).isNotNull())
+            x = name_of(e.name)
+            with native_columns(out.native()):
+                value = e.value().term()
+            rest = [n for y, k in out.kinds.items() if y != x for n in names(y, k)]
+            made = out.df.withColumn(column(e.name), value).where(F.col(column(e.name)).isNotNull())
+            out = Bindings(made.select(*rest, column(e.name)), {y: k for y, k in out.kinds.items() if y != x} | {x: TERM})
         else:
-            out = without(triples, out, e)
+            out = negated(graph, out, e)
     flush()
-    if out is None:
-        out = triples.sparkSession.range(1).select(F.lit(1).alias("_hit"))
-    hidden = [c for c in out.columns if c.startswith("v__h")]
-    return out.drop(*hidden)
+    out = _unit(graph) if out is None else out
+    return out.only([x for x in out.kinds if not x.startswith("_h")]) if out.kinds else out
+
+
+def reads(body: Sequence) -> list[str]:
+    """Variables that the elements of a body mention."""
+    found = [x for e in body for x in (reads(e.body) if isinstance(e, Not) else [y for p in expanded(e) for y in p if is_variable(y)] if isinstance(e, tuple) else [*e.reads, *([e.name] if isinstance(e, Set) else [])])]
+    return list(dict.fromkeys(found))
 
 
-def without(triples: DataFrame, outer: DataFrame, negation: Not) -> DataFrame:
+def negated(graph: Graph, outer: Bindings, negation: Not) -> Bindings:
     """Anti join with the inner solutions on the outer variables that occur inside, filters included."""
     inner = negation.body
     if not inner:
-        return outer.where(F.lit(False))
-    reads = {column(x) for e in inner for x in ([y for y in e if is_variable(y)] if isinstance(e, tuple) else getattr(e, "reads", ()))}
-    shared = [c for c in outer.columns if c in reads]
-    patterns_only = all(isinstance(e, tuple) for e in inner)
-    if patterns_only or not shared:
-        found = solutions(triples, inner)
+        return outer.nothing()
+    shared = [x for x in outer.kinds if f"?{x}" in reads(inner)]
+    if all(isinstance(e, tuple) for e in inner) or not shared:
+        found = bindings(graph, inner)
     else:
-        found = solutions(triples, inner, seed=outer.select(*shared).distinct())
-    if not shared:
-        return outer.join(found.select(F.lit(1).alias("_any")).limit(1), F.lit(True), "left_anti")
-    return outer.join(found.select(*shared), shared, "left_anti")
+        seed = outer.only(shared)
+        found = bindings(graph, inner, Bindings(seed.df.distinct(), seed.kinds))
+    return kept(outer, found.only([x for x in shared if x in found.kinds]) if shared else Bindings(found.df, {}), "left_anti")
+
+
+def without(triples: DataFrame | Graph, outer: DataFrame, negation: Not) -> DataFrame:
+    """The outer solutions for which the inner elements have none."""
+    return negated(as_graph(triples), of_terms(outer), negation).terms()
 
 
-def has_match(triples: DataFrame, body: Sequence, seed: DataFrame) -> DataFrame:
+def has_match(triples: DataFrame | Graph, body: Sequence, seed: DataFrame) -> DataFrame:
     """The seed's rows for which the body has a solution."""
-    shared = [c for c in seed.columns if c in {column(v) for v in variables(body)}]
-    return seed.join(solutions(triples, body).select(*shared), shared, "left_semi")
+    found = bindings(as_graph(triples), body)
+    return kept(of_terms(seed), found, "left_semi").terms()
 
 
 def instances(found: DataFrame, head: Sequence[Pattern]) -> DataFrame:

@@ -18,8 +18,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grafthorn.operators.patterns import Not, column, expanded, instances, is_variable, solutions, variables
+from grafthorn.operators.patterns import Not, Path, column, expanded, instances, is_variable, solutions, variables
 from grafthorn.plans.strata import NotStratifiable, patterns_in, runs_once, strata
+from grafthorn.sources.graph import Graph, as_graph, plain_triples
 from grafthorn.sources.shared import written
 
 MAX_PASSES = 100
@@ -99,23 +100,33 @@ def problems(rule: Rule) -> list[str]:
     return found
 
 
-def data(spark, triples: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Ground triples as a table."""
+def data(spark, triples: Sequence[tuple[str, str, str]]) -> Graph:
+    """Ground triples as a graph."""
     if any(is_variable(x) for t in triples for x in t):
         raise ValueError("data triples must be ground")
-    return spark.createDataFrame(list(triples), "s string, p string, o string")
+    return Graph((), [(spark.createDataFrame(list(triples), "s string, p string, o string"), frozenset(p for _, p, _ in triples))])
 
 
-def _variants(rule: Rule, everything: DataFrame, delta: DataFrame | None, delta_predicates: set[str] | None) -> list[DataFrame]:
+def _heads(rules: Sequence[Rule]) -> list[str] | None:
+    """The predicates of what rules make; None if a head's predicate is a variable."""
+    found = [h[1] for r in rules for h in r.head if not isinstance(h[1], Path)]
+    return None if any(is_variable(p) for p in found) else sorted(set(found))
+
+
+def head_variables(rule: Rule) -> list[str]:
+    return [x for h in rule.head for x in h if is_variable(x)]
+
+
+def _variants(rule: Rule, everything: Graph, delta: DataFrame | None, delta_predicates: set[str] | None) -> list[DataFrame]:
     """The rule's solutions over all triples, or one table for each pattern that reads the delta."""
-    seed = None
+    seed, wanted = None, head_variables(rule)
     if rule.focus:
         seed = rule.focus[1](everything).select(F.col("node").alias(column(rule.focus[0])))
     if delta is None or seed is not None:
-        return [solutions(everything, rule.body, seed)]
+        return [solutions(everything, rule.body, seed, None, wanted)]
     plain = [p for e in rule.body if isinstance(e, tuple) for p in expanded(e)]
     reads = [n for n, p in enumerate(plain) if is_variable(p[1]) or delta_predicates is None or p[1] in delta_predicates]
-    return [solutions(everything, rule.body, None, {n: delta}) for n in reads]
+    return [solutions(everything, rule.body, None, {n: delta}, wanted) for n in reads]
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
@@ -125,12 +136,18 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def fired(numbered: list[tuple[int, Rule]], everything: DataFrame, delta: DataFrame | None, delta_predicates: set[str] | None) -> DataFrame | None:
+def fired(numbered: list[tuple[int, Rule]], everything: Graph, delta: DataFrame | None, delta_predicates: set[str] | None) -> DataFrame | None:
     """(s, p, o, rule_index) of all rules; the first rule owns a triple that several make."""
     parts = [instances(v, r.head).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates)]
     return _united(parts).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index")) if parts else None
 
 
+def facts_predicates(facts: DataFrame | Graph) -> frozenset[str] | None:
+    """The predicates that facts may have; None if any."""
+    holds = [h for _, h in facts.plain] + [frozenset(m.predicates()) for m in facts.maps] if isinstance(facts, Graph) else [None]
+    return None if None in holds else frozenset().union(*holds)
+
+
 def _reason(e: Exception) -> str:
     """The first line of an error, without Spark's state code."""
     return (str(e).splitlines() or [""])[0].partition(" SQLSTATE: ")[0] or type(e).__name__
@@ -144,15 +161,15 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
     last, which finds nothing. A pass reads what the passes before it made.
     """
     schema = "s string, p string, o string, rule_index int, rule_name string, iteration int"
-    start = base.select("s", "p", "o")
+    start = as_graph(base)
     produced: list[DataFrame] = []
-    made_so_far: list[DataFrame] = []
+    made_so_far: list[tuple[DataFrame, list[str] | None]] = []
     errors: list[str] = []
     names, iteration = labels(rules), 0
     if facts is not None:
-        fresh = facts.select("s", "p", "o").distinct().join(start, ["s", "p", "o"], "left_anti")
+        fresh = facts.select("s", "p", "o").distinct().join(start.triples(), ["s", "p", "o"], "left_anti")
         produced.append(fresh.select("s", "p", "o", F.lit(-1).alias("rule_index"), F.lit("DATA block").alias("rule_name"), F.lit(0).alias("iteration")))
-        start = start.unionByName(fresh)
+        start = start.with_triples(fresh, sorted(holds) if (holds := facts_predicates(facts)) is not None else None)
     try:
         layers = strata(rules, gates) if rules else []
     except NotStratifiable as e:
@@ -160,16 +177,19 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
         errors.append(f"Stratification failed: {e}")
     name_of = F.create_map(*[F.lit(x) for n, name in enumerate(names) for x in (n, name)]) if rules else None
 
-    def known() -> DataFrame:
-        return _united([start, *made_so_far])
+    def known() -> Graph:
+        out = start
+        for df, holds in made_so_far:
+            out = out.with_triples(df, holds)
+        return out
 
     def fresh_of(numbered: list[tuple[int, Rule]], delta: DataFrame | None, predicates: set[str] | None) -> DataFrame | None:
         made = fired(numbered, known(), delta, predicates)
         if made is None:
             return None
-        heads = {h[1] for _, r in numbered for h in r.head if not is_variable(h[1])}
-        may_be = known().where(F.col("p").isin(*heads)) if all(not is_variable(h[1]) for _, r in numbered for h in r.head) else known()
-        return written(made.join(may_be, ["s", "p", "o"], "left_anti"))
+        # Only tables that may hold what these rules make have to be looked at.
+        may_be = known().of_predicates(_heads([r for _, r in numbered]))
+        return written(made.join(may_be, ["s", "p", "o"], "left_anti") if may_be is not None else made)
 
     def emit(numbered: list[tuple[int, Rule]], delta: DataFrame | None, predicates: set[str] | None) -> DataFrame | None:
         """One pass of rules that haven't failed; where it fails, each by itself, so that the others go on."""
@@ -189,9 +209,10 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
         if new is None or new.isEmpty():
             return None
         produced.append(new.select("s", "p", "o", "rule_index", name_of[F.col("rule_index")].alias("rule_name"), F.lit(iteration).alias("iteration")))
-        made_so_far.append(new.select("s", "p", "o"))
+        made_so_far.append((new.select("s", "p", "o"), _heads([r for _, r in own])))
         if len(made_so_far) == COMPACT_AFTER:
-            made_so_far[:] = [written(_united(made_so_far))]
+            holds = [h for _, h in made_so_far]
+            made_so_far[:] = [(written(_united([df for df, _ in made_so_far])), None if None in holds else sorted({p for h in holds for p in h}))]
         return new
 
     failed: set[int] = set()
@@ -231,4 +252,4 @@ def infer(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None
 
 def output_graph(base: DataFrame, inferred: DataFrame) -> DataFrame:
     """Base and inferred triples together."""
-    return base.select("s", "p", "o").unionByName(inferred.select("s", "p", "o"))
+    return plain_triples(base).select("s", "p", "o").unionByName(inferred.select("s", "p", "o"))

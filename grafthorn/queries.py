@@ -44,26 +44,26 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, d: str, typed: bool = True) -> DataFrame:
-    return table_triples(_read(spark, d, "customer"), "customer", ["c_custkey"], ["c_name", "c_acctbal", "c_mktsegment"], {"c_nationkey": "nation"}, typed=typed)
+    return table_triples(_read(spark, d, "customer"), "customer", ["c_custkey"], ["c_name", "c_acctbal", "c_mktsegment"], {"c_nationkey": "nation"}, typed=typed, unique=True)
 
 
 def _suppliers(spark: SparkSession, d: str) -> DataFrame:
-    return table_triples(_read(spark, d, "supplier"), "supplier", ["s_suppkey"], ["s_name", "s_acctbal"], {"s_nationkey": "nation"})
+    return table_triples(_read(spark, d, "supplier"), "supplier", ["s_suppkey"], ["s_name", "s_acctbal"], {"s_nationkey": "nation"}, unique=True)
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
     return union(
-        table_triples(_read(spark, d, "nation"), "nation", ["n_nationkey"], ["n_name"], {"n_regionkey": "region"}),
-        table_triples(_read(spark, d, "region"), "region", ["r_regionkey"], ["r_name"]),
+        table_triples(_read(spark, d, "nation"), "nation", ["n_nationkey"], ["n_name"], {"n_regionkey": "region"}, unique=True),
+        table_triples(_read(spark, d, "region"), "region", ["r_regionkey"], ["r_name"], unique=True),
     )
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    return table_triples(_read(spark, d, "orders"), "orders", ["o_orderkey"], ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], {"o_custkey": "customer"})
+    return table_triples(_read(spark, d, "orders"), "orders", ["o_orderkey"], ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], {"o_custkey": "customer"}, unique=True)
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return table_triples(_read(spark, d, "part"), "part", ["p_partkey"], ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+    return table_triples(_read(spark, d, "part"), "part", ["p_partkey"], ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"], unique=True)
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents").withColumn("line", F.col("text"))
-    return table_triples(docs, "documents", ["doc_id"], ["line", "source", "n_chars"], langs={"line": "lang"})
+    return table_triples(docs, "documents", ["doc_id"], ["line", "source", "n_chars"], langs={"line": "lang"}, unique=True)
 
 
 def _id(c: str | Column) -> Column:
@@ -705,7 +705,7 @@ def path_chain_same_role(spark, d):
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS big FROM events GROUP BY 1")
 def events_as_triples(spark, d):
-    graph = table_triples(_read(spark, d, "events"), "event", ["event_id"], ["event_type", "value"], {"user_id": "user"})
+    graph = table_triples(_read(spark, d, "events"), "event", ["event_id"], ["event_type", "value"], {"user_id": "user"}, unique=True)
     found = solutions(graph, [("?e", P("event_type"), "?k"), ("?e", P("value"), "?v")])
     return found.groupBy(_text("v_k").alias("event_type")).agg(F.count("*").alias("n"), F.sum(v.gt(var("v"), 50).col.cast("int")).alias("big"))
 

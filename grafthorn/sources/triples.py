@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafthorn.functions import terms as t
-
-BASE = "http://ex.org/"
-_KINDS = {"long": "integer", "int": "integer", "integer": "integer", "bigint": "integer", "double": "double", "float": "float", "boolean": "boolean", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "date": "date", "string": "string"}
-
+from grafthorn.sources.graph import BASE, Graph, TableMap, as_graph
 
 def node(table: str, *keys: Column | str) -> Column:
     """<http://ex.org/table/key/...>"""
@@ -23,34 +20,20 @@ def predicate(name: str) -> str:
     return f"<{BASE}{name}>"
 
 
-def as_literal(df: DataFrame, name: str, lang: str | None = None) -> Column:
-    """A column's values as typed literals; strings take the tag of the column ``lang`` if given."""
-    kind = df.schema[name].dataType.simpleString()
-    c = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'") if kind.startswith("timestamp") else F.col(name).cast("string")
-    if lang:
-        return t.literal(c, lang=F.col(lang))
-    return t.literal(c, t.XSD + _KINDS.get(kind, "string"))
-
+def table_triples(df: DataFrame, table: str, key: Sequence[str], columns: Sequence[str] = (), refs: dict[str, str] | None = None, langs: dict[str, str] | None = None, typed: bool = True, unique: bool = False) -> Graph:
+    """A table's rows as a graph of triples: rdf:type, a literal per column, an IRI per reference (column -> table).
 
-def table_triples(df: DataFrame, table: str, key: Sequence[str], columns: Sequence[str] = (), refs: dict[str, str] | None = None, langs: dict[str, str] | None = None, typed: bool = True) -> DataFrame:
-    """A table's rows as triples: rdf:type, a literal per column, an IRI per reference (column -> table).
-
-    One branch per predicate: a pattern with a constant predicate leaves the others out of the plan, and
-    its scan reads the columns of that branch alone. A null value has no triple.
+    A null value, or a null in the key, has no triple. ``unique`` says that no two rows have the same key, which isn't checked: then patterns
+    on one subject are read in one scan.
     """
-    subject = node(table, *key)
-    parts = [df.select(subject.alias("s"), F.lit(t.TYPE).alias("p"), F.lit(f"<{BASE}{table}>").alias("o"))] if typed else []
-    for c in columns:
-        parts.append(df.where(F.col(c).isNotNull()).select(subject.alias("s"), F.lit(predicate(c)).alias("p"), as_literal(df, c, (langs or {}).get(c)).alias("o")))
-    for c, target in (refs or {}).items():
-        parts.append(df.where(F.col(c).isNotNull()).select(subject.alias("s"), F.lit(predicate(c)).alias("p"), node(target, c).alias("o")))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    return Graph([TableMap(df, table, tuple(key), tuple(columns), tuple((refs or {}).items()), tuple((langs or {}).items()), typed, unique)])
 
 
-def union(*graphs: DataFrame) -> DataFrame:
+def union(*graphs: DataFrame | Graph) -> DataFrame | Graph:
+    """All triples of graphs, or of plain tables."""
+    if any(isinstance(g, Graph) for g in graphs):
+        parts = [as_graph(g) for g in graphs]
+        return Graph([m for g in parts for m in g.maps], [x for g in parts for x in g.plain])
     out = graphs[0]
     for more in graphs[1:]:
         out = out.unionByName(more)
