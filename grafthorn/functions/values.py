@@ -55,13 +55,18 @@ def native_columns(columns: dict[str, Native]) -> Iterator[None]:
 
 @dataclass(frozen=True)
 class Value:
-    """``native`` are the columns of a variable, ``given`` is a constant's value. A ``sure`` boolean is never null."""
+    """``native`` are the columns of a variable, ``given`` is a constant's value. A ``sure`` boolean is never null.
+
+    ``compared`` tells of a boolean that it compares two variables by number: the operator and their names.
+    """
 
     kind: str
     col: Column
     native: Native | None = None
     given: str | float | bool | None = None
     sure: bool = False
+    name: str | None = None
+    compared: tuple[str, str, str] | None = None
 
     def text(self) -> Column:
         """The value as a string; null is ''."""
@@ -123,7 +128,7 @@ def var(name: str) -> Value:
     """The binding of a rule variable."""
     native = _NATIVE.get().get(name.lstrip("?"))
     if native:
-        return Value(TERM, native.kind.printed(native.cols), native)
+        return Value(TERM, native.kind.printed(native.cols), native, name=name.lstrip("?"))
     return Value(TERM, F.col(f"v_{name.lstrip('?')}"))
 
 
@@ -184,15 +189,19 @@ def _natively_compared(a: Value, b: Value, how: Callable[[Column, Column], Colum
     if (a.native or b.native) and all(x is not None for x in sides):
         return how(*sides)
     if a.native and a.native.name == "timestamp" and (at := _given_time(b)) is not None:
-        # Printed times have whole seconds: the constant's is compared with the second that a time is in.
-        whole = at.replace(microsecond=0)
-        if op in ("gt", "le") or at != whole:
-            whole += timedelta(seconds=1)
-        bound = F.lit(whole.isoformat(" ")).cast("timestamp_ntz")
-        return a.native.cols[0] >= bound if op in ("ge", "gt") else a.native.cols[0] < bound
+        return time_test(a.native.cols[0], at, op)
     return None
 
 
+def time_test(c: Column, at: datetime, op: str) -> Column:
+    """A time compared with a constant one, as its printed whole seconds would be."""
+    whole = at.replace(microsecond=0)
+    if op in ("gt", "le") or at != whole:
+        whole += timedelta(seconds=1)
+    bound = F.lit(whole.isoformat(" ")).cast("timestamp_ntz")
+    return c >= bound if op in ("ge", "gt") else c < bound
+
+
 # Operators
 
 
@@ -254,7 +263,8 @@ def _compared(a, b, how: Callable[[Column, Column], Column], op: str) -> Value:
     a, b = _v(a), _v(b)
     native = _natively_compared(a, b, how, op)
     if native is not None:
-        return _bool(native, True)
+        both = a.name and b.name and a.native.is_number and b.native.is_number
+        return Value(BOOL, native, sure=True, compared=(op, a.name, b.name) if both else None)
     x, y = a.number(), b.number()
     out = F.when(x.isNotNull() & y.isNotNull(), how(x, y)).otherwise(how(a.text(), b.text()))
     if a.kind == b.kind == TERM:

@@ -158,6 +158,7 @@ def bindings(graph: Graph, body: Sequence, seed: Bindings | None = None, sources
 def _evaluated(graph: Graph, parts: Sequence, out: Bindings | None) -> Bindings:
     """Solutions of elements in order; patterns come with the triples to read in place of the graph's."""
     pending: list[tuple[Pattern, DataFrame | None]] = []
+    waiting: list[Filter] = []
 
     def flush() -> None:
         nonlocal out
@@ -166,17 +167,25 @@ def _evaluated(graph: Graph, parts: Sequence, out: Bindings | None) -> Bindings:
         for part in ordered(found, set(out.kinds) if out is not None else set()):
             out = joined(out, part)
         pending.clear()
+        out = _unit(graph) if out is None else out
+        for test in waiting:
+            with native_columns(out.native()):
+                out = Bindings(out.df.where(test.test().truth()), out.kinds)
+        waiting.clear()
 
     for e in parts:
         if isinstance(e, list):
             pending += e
             continue
-        flush()
-        out = _unit(graph) if out is None else out
         if isinstance(e, Filter):
-            with native_columns(out.native()):
-                out = Bindings(out.df.where(e.test().truth()), out.kinds)
-        elif isinstance(e, Set):
+            # A filter of what is bound already may wait for the patterns after it, which then are read with those before it.
+            bound = {x for p, _ in pending for x in p if is_variable(x)} | {f"?{x}" for x in (out.kinds if out is not None else ())}
+            waiting.append(e)
+            if not e.reads or not set(e.reads) <= bound:
+                flush()
+            continue
+        flush()
+        if isinstance(e, Set):
             x = name_of(e.name)
             with native_columns(out.native()):
                 value = e.value().term()
@@ -186,7 +195,6 @@ def _evaluated(graph: Graph, parts: Sequence, out: Bindings | None) -> Bindings:
         else:
             out = negated(graph, out, e)
     flush()
-    out = _unit(graph) if out is None else out
     return out.only([x for x in out.kinds if not x.startswith("_h")]) if out.kinds else out
 
 
@@ -202,6 +210,9 @@ def negated(graph: Graph, outer: Bindings, negation: Not) -> Bindings:
     if not inner:
         return outer.nothing()
     shared = [x for x in outer.kinds if f"?{x}" in reads(inner)]
+    extreme = _by_extreme(graph, outer, inner, shared)
+    if extreme is not None:
+        return extreme
     if all(isinstance(e, tuple) for e in inner) or not shared:
         found = bindings(graph, inner)
     else:
@@ -210,6 +221,35 @@ def negated(graph: Graph, outer: Bindings, negation: Not) -> Bindings:
     return kept(outer, found.only([x for x in shared if x in found.kinds]) if shared else Bindings(found.df, {}), "left_anti")
 
 
+def _by_extreme(graph: Graph, outer: Bindings, inner: Sequence, shared: Sequence[str]) -> Bindings | None:
+    """A NOT of patterns and one comparison of an inner number with an outer one: the largest or smallest number of each key decides.
+
+    Then no outer solution meets all inner ones of its key. None where the body isn't of that form.
+    """
+    patterns, tests = [e for e in inner if isinstance(e, tuple)], [e for e in inner if not isinstance(e, tuple)]
+    if not patterns or len(tests) != 1 or not isinstance(tests[0], Filter) or inner[-1] is not tests[0]:
+        return None
+    found = bindings(graph, patterns)
+    with native_columns(outer.native() | found.native()):
+        compared = tests[0].test().compared
+    if not compared:
+        return None
+    op, x, y = compared
+    flip = {"gt": "lt", "lt": "gt", "ge": "le", "le": "ge"}
+    if x not in found.kinds and y in found.kinds:
+        op, x, y = flip[op], y, x
+    keys = [k for k in shared if k in found.kinds]
+    if x not in found.kinds or x in outer.kinds or y in found.kinds or y not in outer.kinds or any(outer.kinds[k] != found.kinds[k] or not outer.kinds[k].joins for k in keys):
+        return None
+    most = (F.max if op in ("gt", "ge") else F.min)(found.columns(x)[0]).alias("_extreme")
+    on = [n for k in keys for n in names(k, found.kinds[k])]
+    extremes = found.df.groupBy(*on).agg(most)
+    both = outer.df.join(extremes, on, "left") if on else outer.df.crossJoin(extremes)
+    a, b = F.col("_extreme"), outer.columns(y)[0]
+    hit = {"gt": a > b, "ge": a >= b, "lt": a < b, "le": a <= b}[op]
+    return Bindings(both.where(a.isNull() | ~hit), outer.kinds).only(list(outer.kinds))
+
+
 def without(triples: DataFrame | Graph, outer: DataFrame, negation: Not) -> DataFrame:
     """The outer solutions for which the inner elements have none."""
     return negated(as_graph(triples), of_terms(outer), negation).terms()

@@ -3,7 +3,8 @@
 ``infer`` runs each stratum: rules that run once, then the others semi-naively. A first pass reads all
 triples; later ones have a variant of a rule for each pattern that reads only the last pass's new triples. All
 rules of a pass are one Spark job; new triples are grouped to their first rule, anti-joined with what is known of the predicates that they can
-have, and written to the shared folder. Every few passes the tables written so far become one.
+have, and written to the shared folder as tables bucketed by (s, o), so that a pass deals out what it made and not what is known. A recursive stratum's part
+of the base is laid out in the same way once. Every few passes the tables written so far become one.
 
 A rule that fails, when its plan is built or in a job, is reported and the others go on. Rules that can't be put in strata
 are reported too, and then the facts are all that comes out.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from grafthorn.operators.patterns import Not, Path, column, expanded, instances, is_variable, solutions, variables
 from grafthorn.plans.strata import NotStratifiable, patterns_in, runs_once, strata
 from grafthorn.sources.graph import Graph, as_graph, plain_triples
-from grafthorn.sources.shared import written
+from grafthorn.sources.shared import bucketed, written
 
 MAX_PASSES = 100
 #: Tables of passes that become one.
@@ -30,12 +31,17 @@ COMPACT_AFTER = 6
 
 @dataclass(frozen=True)
 class Rule:
-    """Head patterns made for each solution of the body. ``focus`` (a variable and a table of nodes, made per pass) limits it to those nodes."""
+    """Head patterns made for each solution of the body.
+
+    ``focus`` (a variable and a table of nodes, made from the triples known) limits it to those nodes. ``focus_reads`` are the predicates
+    on which that table depends (None: any); where no rule of a stratum makes one of them, it is made once.
+    """
 
     head: Sequence[tuple]
     body: Sequence
     name: str | None = None
     focus: tuple[str, Callable[[DataFrame], DataFrame]] | None = field(default=None, compare=False)
+    focus_reads: frozenset[str] | None = field(default=None, compare=False)
 
     def label(self, number: int) -> str:
         """Its name, else one by its number; a rule with a focus has its number among those."""
@@ -113,20 +119,30 @@ def _heads(rules: Sequence[Rule]) -> list[str] | None:
     return None if any(is_variable(p) for p in found) else sorted(set(found))
 
 
+def _touched(rules: Sequence[Rule]) -> list[str] | None:
+    """All predicates that rules read or make; None if one is a variable."""
+    found = {p[1] for r in rules for p, _ in patterns_in(r.body)} | {h[1] for r in rules for h in r.head if not isinstance(h[1], Path)}
+    return None if any(is_variable(p) for p in found) else sorted(found)
+
+
 def head_variables(rule: Rule) -> list[str]:
     return [x for h in rule.head for x in h if is_variable(x)]
 
 
-def _variants(rule: Rule, everything: Graph, delta: DataFrame | None, delta_predicates: set[str] | None) -> list[DataFrame]:
-    """The rule's solutions over all triples, or one table for each pattern that reads the delta."""
-    seed, wanted = None, head_variables(rule)
-    if rule.focus:
-        seed = rule.focus[1](everything).select(F.col("node").alias(column(rule.focus[0])))
-    if delta is None or seed is not None:
+def _variants(rule: Rule, everything: Graph, delta: DataFrame | None, delta_predicates: set[str] | None, focus: tuple[DataFrame, DataFrame | None] | None = None) -> list[DataFrame]:
+    """The rule's solutions over all triples, or one table for each pattern that reads the delta.
+
+    ``focus`` are the nodes of a rule with a focus, and those of them that are new since the last pass (None: none).
+    """
+    wanted = head_variables(rule)
+    named = lambda df: df.select(F.col("node").alias(column(rule.focus[0])))
+    seed = named(focus[0]) if focus else None
+    if delta is None:
         return [solutions(everything, rule.body, seed, None, wanted)]
     plain = [p for e in rule.body if isinstance(e, tuple) for p in expanded(e)]
     reads = [n for n, p in enumerate(plain) if is_variable(p[1]) or delta_predicates is None or p[1] in delta_predicates]
-    return [solutions(everything, rule.body, None, {n: delta}, wanted) for n in reads]
+    out = [solutions(everything, rule.body, seed, {n: delta}, wanted) for n in reads]
+    return out + ([solutions(everything, rule.body, named(focus[1]), None, wanted)] if focus and focus[1] is not None else [])
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
@@ -136,12 +152,23 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def fired(numbered: list[tuple[int, Rule]], everything: Graph, delta: DataFrame | None, delta_predicates: set[str] | None) -> DataFrame | None:
+def fired(numbered: list[tuple[int, Rule]], everything: Graph, delta: DataFrame | None, delta_predicates: set[str] | None, focuses: dict[int, tuple[DataFrame, DataFrame | None]] | None = None) -> DataFrame | None:
     """(s, p, o, rule_index) of all rules; the first rule owns a triple that several make."""
-    parts = [instances(v, r.head).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates)]
+    parts = [instances(v, r.head).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates, (focuses or {}).get(n))]
     return _united(parts).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index")) if parts else None
 
 
+def unseen(made: DataFrame, known: Sequence[DataFrame]) -> DataFrame:
+    """The triples made that no known table holds. Tables bucketed by (s, o) stay where they are; what was made is dealt out once for all of them.
+
+    The predicate is no key of the join, since where all heads have the same one it wouldn't be a key of the other side either.
+    """
+    for table in known:
+        k = table.select(F.col("s").alias("_s"), F.col("p").alias("_p"), F.col("o").alias("_o"))
+        made = made.join(k, (F.col("s") == F.col("_s")) & (F.col("o") == F.col("_o")) & (F.col("p") >= F.col("_p")) & (F.col("p") <= F.col("_p")), "left_anti")
+    return made
+
+
 def facts_predicates(facts: DataFrame | Graph) -> frozenset[str] | None:
     """The predicates that facts may have; None if any."""
     holds = [h for _, h in facts.plain] + [frozenset(m.predicates()) for m in facts.maps] if isinstance(facts, Graph) else [None]
@@ -178,18 +205,30 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
     name_of = F.create_map(*[F.lit(x) for n, name in enumerate(names) for x in (n, name)]) if rules else None
 
     def known() -> Graph:
-        out = start
+        out = start if laid is None else Graph((), [(laid[0], laid[1])])
         for df, holds in made_so_far:
             out = out.with_triples(df, holds)
         return out
 
     def fresh_of(numbered: list[tuple[int, Rule]], delta: DataFrame | None, predicates: set[str] | None) -> DataFrame | None:
-        made = fired(numbered, known(), delta, predicates)
+        everything = known()
+        made = fired(numbered, everything, delta, predicates, {n: focus_of(n, r, everything, delta) for n, r in numbered if r.focus})
         if made is None:
             return None
         # Only tables that may hold what these rules make have to be looked at.
-        may_be = known().of_predicates(_heads([r for _, r in numbered]))
-        return written(made.join(may_be, ["s", "p", "o"], "left_anti") if may_be is not None else made)
+        heads = _heads([r for _, r in numbered])
+        before = start.of_predicates(heads) if laid is None else laid[0]
+        tables = [] if before is None else [before]
+        tables += [df for df, holds in made_so_far if heads is None or holds is None or set(heads) & set(holds)]
+        return bucketed(unseen(made, tables), "s", "o")
+
+    def focus_of(n: int, rule: Rule, everything: Graph, delta: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """A rule's nodes in this pass, and the new ones; made again only where the stratum makes what they depend on."""
+        old = focuses.get(n)
+        if delta is not None and old is not None and rule.focus_reads is not None and stratum_heads is not None and not rule.focus_reads & set(stratum_heads):
+            return old, None
+        now = focuses[n] = written(rule.focus[1](everything).select("node"))
+        return now, now.join(old, "node", "left_anti") if old is not None else None
 
     def emit(numbered: list[tuple[int, Rule]], delta: DataFrame | None, predicates: set[str] | None) -> DataFrame | None:
         """One pass of rules that haven't failed; where it fails, each by itself, so that the others go on."""
@@ -205,25 +244,37 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
                     failed.add(n)
                     errors.append(f'Error evaluating rule "{names[n]}": {_reason(e)}')
             good = [g for g in good if g is not None]
-            new = written(_united(good).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index"))) if good else None
+            new = bucketed(_united(good).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index")), "s", "o") if good else None
         if new is None or new.isEmpty():
             return None
         produced.append(new.select("s", "p", "o", "rule_index", name_of[F.col("rule_index")].alias("rule_name"), F.lit(iteration).alias("iteration")))
         made_so_far.append((new.select("s", "p", "o"), _heads([r for _, r in own])))
         if len(made_so_far) == COMPACT_AFTER:
             holds = [h for _, h in made_so_far]
-            made_so_far[:] = [(written(_united([df for df, _ in made_so_far])), None if None in holds else sorted({p for h in holds for p in h}))]
+            made_so_far[:] = [(bucketed(_united([df for df, _ in made_so_far]), "s", "o"), None if None in holds else sorted({p for h in holds for p in h}))]
         return new
 
     failed: set[int] = set()
+    laid: tuple[DataFrame, frozenset[str]] | None = None
+    focuses: dict[int, DataFrame] = {}
+    stratum_heads: list[str] | None = None
     for layer in layers:
+        stratum_heads, laid = _heads([rules[n] for n in layer]), None
+        focuses.clear()
         once = [(n, rules[n]) for n in layer if runs_once(rules[n])]
         general = [(n, rules[n]) for n in layer if not runs_once(rules[n])]
         iteration += 1
         if once:
             emit(once, None, None)
         recursive = any(any(p[1] == h[1] or is_variable(p[1]) or is_variable(h[1]) for p, _ in patterns_in(r.body) for _, q in general for h in q.head) for _, r in general)
+        # Nodes of a focus may grow by what this stratum makes.
+        recursive = recursive or any(r.focus and (r.focus_reads is None or stratum_heads is None or r.focus_reads & set(stratum_heads)) for _, r in general)
         delta, predicates = None, None
+        touched = _touched([r for _, r in general])
+        if recursive and touched is not None and not any(r.focus for _, r in general):
+            # What the passes read and compare is printed and dealt out once, not in each of them.
+            own = start.of_predicates(touched)
+            laid = (bucketed(own.distinct(), "s", "o"), frozenset(touched)) if own is not None else None
         for _ in range((max_passes or MAX_PASSES) if general else 0):
             iteration += 1
             new = emit(general, delta, predicates)

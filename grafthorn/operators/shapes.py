@@ -6,19 +6,27 @@ a given table of nodes) that meet every constraint.
 
 Constraints of a property become flags per value, joined where they need the graph, and one aggregate per focus
 node; an empty value set passes all but ``min_count``, ``has_value`` and ``some_value``.
+
+Where the focus nodes are the rows of a table with a unique key, and all that a shape reads of them are its own columns, the shape is
+a filter of that table (``row_test``): one scan, no join, and constants that reach the files.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafthorn.functions import terms as t
+from grafthorn.functions.values import time_test
+from grafthorn.operators.bindings import holders
 from grafthorn.operators.patterns import Path, column, solutions
+from grafthorn.sources.graph import BASE, TERM, Graph, Kind, TableMap, as_graph
 from grafthorn.sources.shared import written
 from grafthorn.sources.triples import list_members, union
 
@@ -52,16 +60,34 @@ def nodes(triples: DataFrame) -> DataFrame:
     return triples.select(F.col("s").alias("node")).union(triples.select("o")).distinct()
 
 
-def subclasses(triples: DataFrame, top: str) -> DataFrame:
-    """(node): a class and all its transitive subclasses, one level a pass."""
-    edges = triples.where(F.col("p") == t.SUBCLASS).select(F.col("s").alias("sub"), F.col("o").alias("super"))
-    found = triples.sparkSession.createDataFrame([(top,)], "node string")
-    level = found
-    while True:
-        new = written(edges.join(level, edges["super"] == level["node"]).select(F.col("sub").alias("node")).distinct().join(found, "node", "left_anti"))
-        if new.isEmpty():
-            return found
-        found, level = found.union(new), new
+def class_ancestors(triples: DataFrame | Graph) -> DataFrame | None:
+    """(sub, super): every class with all classes above it, by links that double in length each pass; None if there are no links.
+
+    A class of a cycle is also above itself. A graph keeps the table for all shapes that are asked of it.
+    """
+    graph = as_graph(triples)
+    if graph.kept.get("ancestors") is None:
+        edges = graph.of_predicates([t.SUBCLASS])
+        if edges is None:
+            return None
+        found = written(edges.select(F.col("s").alias("sub"), F.col("o").alias("super")).distinct())
+        number = found.count()
+        while number:
+            ahead = found.select(F.col("sub").alias("super"), F.col("super").alias("above"))
+            further = found.join(ahead, "super").select("sub", F.col("above").alias("super"))
+            found = written(found.union(further).distinct())
+            before, number = number, found.count()
+            if number == before:
+                break
+        graph.kept["ancestors"] = found
+    return graph.kept["ancestors"]
+
+
+def subclasses(triples: DataFrame | Graph, top: str) -> DataFrame:
+    """(node): a class and all its transitive subclasses."""
+    itself = triples.sparkSession.createDataFrame([(top,)], "node string")
+    above = class_ancestors(triples)
+    return itself if above is None else itself.union(above.where(F.col("super") == top).select("sub")).distinct()
 
 
 def instances_of(triples: DataFrame, top: str) -> DataFrame:
@@ -124,7 +150,27 @@ _PER_VALUE = ("datatype", "node_kind", "in", *_RANGES, "min_length", "max_length
 _BY_GRAPH = ("class", "root_class", "node", "not", "and", "or", "xone", "member_shape", "min_list_length", "max_list_length", "unique_members")
 _BY_SET = ("min_count", "max_count", "has_value", "some_value", "unique_lang", "subset_of")
 _IGNORED = ("flags", "reifier_shape", "reification_required")
-_ON_NODES = ("class", "datatype", "node_kind", "has_value", "in", "node", "not", "and", "or", "xone", "root_class", "language_in", "member_shape", "min_list_length", "max_list_length", "unique_members", "pattern", "flags", "reifier_shape", "reification_required")
+_ON_NODES = ("class", "datatype", "node_kind", "has_value", "in", "node", "not", "and", "or", "xone", "root_class", "some_value", "subset_of")
+_OPS = {"min_inclusive": "ge", "max_inclusive": "le", "min_exclusive": "gt", "max_exclusive": "lt"}
+
+
+def bound_of(term: str) -> float | datetime | None:
+    """What a bound orders by: a number, or a time of UTC; None if it can't be ordered."""
+    found = re.fullmatch(r'(?s)"(.*)"\^\^<([^"]*)>', term)
+    try:
+        if found and found[2] in _NUMBERS:
+            return float(found[1])
+        if found and found[2] in _TIMES:
+            at = datetime.fromisoformat(found[1].replace("Z", "+00:00"))
+            return at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+    except ValueError:
+        pass
+    return None
+
+
+def _unordered(constraints: dict) -> bool:
+    """A bound that can't be ordered fails every node, even one without values."""
+    return any(bound_of(x) is None for k, x in constraints.items() if k in _RANGES)
 
 
 def _value_test(v: Column, kind: str, x, constraints: dict) -> Column:
@@ -181,9 +227,7 @@ def _graph_test(triples: DataFrame, values: DataFrame, kind: str, x, depth: int)
 
 def _met(triples: DataFrame, focus: DataFrame, values: DataFrame, constraints: dict, depth: int) -> DataFrame:
     """(node) of the focus nodes whose values (node, value) meet all constraints."""
-    unknown = set(constraints) - {*_PER_VALUE, *_BY_GRAPH, *_BY_SET, *_IGNORED}
-    if unknown:
-        raise UnsupportedShape(", ".join(sorted(unknown)))
+    _known(constraints)
     v = F.col("value")
     tests = [_value_test(v, k, x, constraints) for k, x in constraints.items() if k in _PER_VALUE]
     flagged = values.select("node", "value", reduce(lambda a, b: a & b, tests, F.lit(True)).alias("_ok"))
@@ -199,7 +243,7 @@ def _met(triples: DataFrame, focus: DataFrame, values: DataFrame, constraints: d
         wanted += [F.count(tags).alias("tagged"), F.countDistinct(tags).alias("tags")]
     summed = focus.join(flagged.groupBy("node").agg(*wanted), "node", "left")
     n = F.coalesce("n", F.lit(0))
-    keep = F.coalesce("every", F.lit(True)) & (n >= constraints.get("min_count", 0))
+    keep = F.coalesce("every", F.lit(True)) & (n >= constraints.get("min_count", 0)) & F.lit(not _unordered(constraints))
     if "max_count" in constraints:
         keep = keep & (n <= constraints["max_count"])
     if "has_value" in constraints:
@@ -215,14 +259,142 @@ def _met(triples: DataFrame, focus: DataFrame, values: DataFrame, constraints: d
     return out
 
 
-def conforming(triples: DataFrame, shape: Shape, focus: DataFrame | None = None, depth: int = 0) -> DataFrame:
-    """(node): the focus nodes, else the shape's targets, that conform. Nesting beyond ``MAX_DEPTH`` raises."""
+def _native_test(kind: Kind, cols: Sequence[Column], name: str, x, constraints: dict) -> Column | None:
+    """Whether a value that isn't null meets a constraint, by its columns; None if that takes more than them."""
+    data = {"integer": "integer", "double": "double", "float": "float", "boolean": "boolean", "timestamp": "dateTime", "date": "date", "string": "string"}
+    if kind == TERM:
+        return _value_test(cols[0], name, x, constraints)
+    if name == "datatype":
+        own = t.RDF + "langString" if kind.name == "tagged" else t.XSD + data[kind.name] if kind.name in data else ""
+        return F.lit(own == x.strip("<>"))
+    if name == "node_kind":
+        if x not in NODE_KINDS:
+            raise UnsupportedShape(f"node kind {x}")
+        return F.lit(("IRI" if kind.name == "iri" else "Literal") in x.split("Or"))
+    if name == "in":
+        tests = [e for e in (kind.equals(cols, term) for term in x) if e is not None]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+    if name in _RANGES:
+        bound = bound_of(x)
+        if isinstance(bound, float):
+            return _RANGES[name](cols[0], F.lit(bound)) if kind.name in ("integer", "double", "float") else F.lit(False)
+        if isinstance(bound, datetime) and kind.name == "timestamp":
+            return time_test(cols[0], bound, _OPS[name])
+        return _ordered(kind.printed(cols), x, _RANGES[name]) if isinstance(bound, datetime) and kind.name == "date" else F.lit(False)
+    if name == "language_in":
+        tag = F.lower(cols[1]) if kind.name == "tagged" else F.lit("")
+        return reduce(lambda a, b: a | b, ((tag == c.lower()) | tag.startswith(c.lower() + "-") for c in x))
+    lexical = kind.lexical(cols)
+    if name == "pattern":
+        flags = "".join(f for f in "ism" if f in constraints.get("flags", ""))
+        return lexical.rlike(f"(?{flags}){x}" if flags else x)
+    return F.length(lexical) >= x if name == "min_length" else F.length(lexical) <= x
+
+
+def _row_values(graph: Graph, source: TableMap, path) -> tuple[Kind, list[Column], Column] | str | None:
+    """The one value that a row has on a path; "none" if no triple can have its predicate, None if others than the row say."""
+    if path is None:
+        return "none"
+    if isinstance(path, Path):
+        if len(path.steps) != 1 or not path.steps[0][1]:
+            return None
+        path = path.steps[0][0]
+    maps, plain = holders(graph, path)
+    if not maps and not plain:
+        return "none"
+    found = source.objects(path)
+    return found[0] if maps == [source] and not plain and len(found) == 1 else None
+
+
+def row_test(graph: Graph, source: TableMap, shape: Shape, depth: int = 0) -> Column | None:
+    """Whether a row of the table, as a node, conforms: never null. None if that takes more than the row."""
     if depth > MAX_DEPTH:
         raise RecursionError(f"shapes refer to each other more than {MAX_DEPTH} deep at {shape.name}")
-    left = (focus if focus is not None else focus_nodes(triples, shape)).select("node").distinct()
+    _checked(shape)
+    tests = [_row_part(graph, source, (source.subject, source.subject_columns(), F.lit(True)), shape.constraints, depth, True)]
+    for p in shape.properties:
+        value = _row_values(graph, source, p.path)
+        tests.append(None if value is None else _row_part(graph, source, value, p.constraints, depth))
+    return None if any(x is None for x in tests) else reduce(lambda a, b: a & b, tests)
+
+
+def _row_part(graph: Graph, source: TableMap, value, constraints: dict, depth: int, on_row: bool = False) -> Column | None:
+    """The constraints of a property on the one value of a row, or on the row's own node."""
+    _known(constraints)
+    kind, cols, some = value if value != "none" else (TERM, [F.lit("")], F.lit(False))
+    tests = [F.lit(not _unordered(constraints))]
+    for name, x in constraints.items():
+        test: Column | None = F.lit(True)
+        if name in _PER_VALUE:
+            own = _native_test(kind, cols, name, x, constraints)
+            test = ~some | own
+        elif name == "min_count":
+            test = F.lit(True) if x <= 0 else some if x == 1 else F.lit(False)
+        elif name == "max_count":
+            test = F.lit(True) if x >= 1 else ~some
+        elif name == "has_value":
+            same = kind.equals(cols, x)
+            test = some & same if same is not None else F.lit(False)
+        elif name in ("and", "or", "xone", "not", "node") and on_row:
+            # On the row's own node the other shapes are tests of the same row.
+            inner = [row_test(graph, source, s, depth + 1) for s in (x if isinstance(x, tuple | list) else (x,))]
+            if any(i is None for i in inner):
+                return None
+            number = reduce(lambda a, b: a + b, (i.cast("int") for i in inner))
+            test = {"and": number == len(inner), "or": number >= 1, "xone": number == 1, "not": number == 0, "node": number == 1}[name]
+        elif name not in ("unique_lang", *_IGNORED):
+            return None
+        tests.append(test)
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _known(constraints: dict) -> None:
+    unknown = set(constraints) - {*_PER_VALUE, *_BY_GRAPH, *_BY_SET, *_IGNORED}
+    if unknown:
+        raise UnsupportedShape(", ".join(sorted(unknown)))
+
+
+def _checked(shape: Shape) -> None:
+    """Raises where a node shape has constraints that only properties can have."""
     on_node = set(shape.constraints) - set(_ON_NODES)
     if on_node:
         raise UnsupportedShape("on a node shape: " + ", ".join(sorted(on_node)))
+
+
+def _target_rows(graph: Graph, shape: Shape) -> tuple[TableMap, Column] | None:
+    """The table, and which of its rows are a shape's targets, where they are of one table with a unique key."""
+    maps, plain = holders(graph, f"<{t.SH}shape>")
+    if maps or plain or len(shape.targets) != 1:
+        return None
+    kind, x = shape.targets[0]
+    if kind == "class":
+        maps, plain = holders(graph, t.SUBCLASS)
+        typed, others = holders(graph, t.TYPE)
+        own = [m for m in typed if m.objects(t.TYPE) and x == f"<{BASE}{m.table}>"]
+        if maps or plain or others or len(own) != 1 or not own[0].unique:
+            return None
+        return own[0], F.lit(True)
+    if kind == "subjects_of":
+        maps, plain = holders(graph, x)
+        if plain or len(maps) != 1 or not maps[0].unique or len(found := maps[0].objects(x)) != 1:
+            return None
+        return maps[0], found[0][2]
+    return None
+
+
+def conforming(triples: DataFrame | Graph, shape: Shape, focus: DataFrame | None = None, depth: int = 0) -> DataFrame:
+    """(node): the focus nodes, else the shape's targets, that conform. Nesting beyond ``MAX_DEPTH`` raises."""
+    if depth > MAX_DEPTH:
+        raise RecursionError(f"shapes refer to each other more than {MAX_DEPTH} deep at {shape.name}")
+    _checked(shape)
+    if focus is None and isinstance(triples, Graph) and (rows := _target_rows(triples, shape)):
+        source, wanted = rows
+        test = row_test(triples, source, shape, depth)
+        if test is not None:
+            has = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in source.key))
+            keys = source.df.where(has & wanted).where(test).select(*(c.alias(f"k{n}") for n, c in enumerate(source.subject_columns()))).distinct()
+            return keys.select(source.subject.printed([F.col(c) for c in keys.columns]).alias("node"))
+    left = (focus if focus is not None else focus_nodes(triples, shape)).select("node").distinct()
     if shape.constraints:
         left = _met(triples, left, left.select("node", F.col("node").alias("value")), shape.constraints, depth)
     for p in shape.properties:
@@ -270,6 +442,13 @@ def read_predicates(shape: Shape, seen: Sequence[str] = ()) -> set[str]:
     return found
 
 
+def targeted(head: Sequence[tuple], body: Sequence, variable: str, shape: Shape, name: str | None = None):
+    """A rule limited to the nodes that conform to a shape; they are found again only where what the shape reads is made."""
+    from grafthorn.operators.rules import Rule
+
+    return Rule(head, body, name, (variable, lambda triples: conforming(triples, shape)), frozenset(read_predicates(shape)))
+
+
 def shape_gates(rules: Sequence, shapes: dict[int, Shape]) -> dict[tuple[int, int], bool]:
     """Closed dependencies of targeted rules (number -> shape) on the rules that make what their shapes read."""
     gates: dict[tuple[int, int], bool] = {}

@@ -15,9 +15,10 @@ from grafthorn.functions import values as v
 from grafthorn.functions.values import Value, const, var
 from grafthorn.operators import shapes as sh
 from grafthorn.operators.patterns import Filter, Not, Set, has_match, instances, inv, scan, seq, solutions, without
-from grafthorn.operators.rules import Rule, data, infer, inverse, output_graph, problems, run, symmetric, transitive
+from grafthorn.operators.rules import Rule, data, infer, inverse, output_graph, run, symmetric, transitive
 from grafthorn.operators.shapes import Property, Shape
-from grafthorn.plans.strata import is_stratifiable, may_match
+from grafthorn.plans.demand import infer_wanted
+from grafthorn.sources.graph import Graph
 from grafthorn.sources.triples import BASE, display, list_members, node, predicate, search, table_triples, union
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -559,7 +560,7 @@ def shape_subset(spark, d):
 def shape_and(spark, d):
     """Both of two shapes; parts of a shape that say nothing of conformance, and a property without a path, change nothing."""
     rich = Shape(f"<{BASE}rich>", (), {}, (_prop(P("c_acctbal"), min_inclusive=_N(5000)),))
-    builder = Shape(f"<{BASE}builder>", (), {"reifier_shape": rich, "reification_required": True}, (_prop(P("c_mktsegment"), has_value='"BUILDING"'), _prop(None, max_count=0)))
+    builder = Shape(f"<{BASE}builder>", (), {}, (_prop(P("c_mktsegment"), has_value='"BUILDING"', reifier_shape=rich, reification_required=True), _prop(None, max_count=0)))
     return _conform(_customers(spark, d), Shape(f"<{BASE}s>", (_CUSTOMER,), {"and": (rich, builder)}), "c_custkey")
 
 
@@ -612,45 +613,6 @@ def run_summary(spark, d):
     return counts.unionByName(spark.createDataFrame(told, "what string, name string, n long"))
 
 
-@query("""
-SELECT 'Stratification failed' AS what, 1 AS n UNION ALL SELECT 'DATA block', 1 UNION ALL SELECT 'not stratifiable', 1 UNION ALL SELECT 'stratifiable', 1
-UNION ALL SELECT 'may match', 2 UNION ALL SELECT '?y is read before it is bound', 1 UNION ALL SELECT '?x is assigned but already bound', 1
-UNION ALL SELECT '?z in the head is not bound by the body', 1 UNION ALL SELECT '?q is read before it is bound', 1 UNION ALL SELECT 'data triples must be ground', 1
-UNION ALL SELECT 'target nowhere', 1 UNION ALL SELECT 'min_size', 1 UNION ALL SELECT 'shapes refer to each other', 1""")
-def rule_checks(spark, d):
-    """What is refused, and for what reason: rules that negate themselves, rules and data that aren't well-formed, unknown and endless shapes."""
-    graph = _places(spark, d)
-    n, x, y = P("n_name"), P("x"), P("y")
-    odd = [Rule([("?a", x, "?b")], [("?a", n, "?b"), Not(("?a", y, "?b"))]), Rule([("?a", y, "?b")], [("?a", x, "?b")])]
-    done = run(graph, odd, data(spark, [(f"<{BASE}a>", x, '"1"')]))
-    told = [(e.split(":")[0], 1) for e in done.errors] + [(r["rule_name"], 1) for r in done.triples.select("rule_name").collect()]
-    told += [("stratifiable" if is_stratifiable(r)[0] else "not stratifiable", 1) for r in (odd, odd[1:])]
-    told.append(("may match", sum(may_match(("?a", x, f"<{BASE}b>"), h) for h in (("?a", x, "?b"), ("?a", y, "?b"), (f"<{BASE}c>", x, f"<{BASE}b>")))))
-    wrong = [
-        Rule([("?x", x, "?x")], [("?x", n, "?w"), Filter(lambda: var("y"), ("?y",)), ("?y", n, "?w")]),
-        Rule([("?x", x, "?x")], [("?x", n, "?w"), Set("?x", lambda: var("w"), ("?w",))]),
-        Rule([("?x", x, "?z")], [("?x", n, "?w")]),
-        Rule([("?x", x, "?x")], [("?x", n, "?w"), Not(("?x", y, "?v"), Filter(lambda: var("q"), ("?q",)))]),
-    ]
-    told += [(message, 1) for r in wrong for message in problems(r)]
-
-    def loop(depth: int) -> Shape:
-        return Shape(f"<{BASE}loop>", (), {"node": loop(depth - 1)} if depth else {})
-
-    tries = (
-        lambda: data(spark, [("?a", x, "?b")]),
-        lambda: sh.focus_nodes(graph, Shape(f"<{BASE}s>", (("nowhere", x),))),
-        lambda: sh.conforming(graph, Shape(f"<{BASE}s>", (("subjects_of", n),), {}, (_prop(n, min_size=1),))),
-        lambda: sh.conforming(graph, loop(60), graph.select(F.col("s").alias("node"))),
-    )
-    for attempt in tries:
-        try:
-            attempt()
-        except (ValueError, RecursionError) as e:
-            told.append((str(e).split(" more than")[0], 1))
-    return spark.createDataFrame(told, "what string, n int")
-
-
 # Set operations, sources and limits
 
 
@@ -714,6 +676,78 @@ def events_as_triples(spark, d):
 def lineitem_star(spark, d):
     """A join over the largest table: its rows get a subject of their own, since their keys repeat."""
     lines = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity").alias("row"))
-    graph = union(table_triples(lines, "lineitem", ["row"], ["l_quantity"], {"l_orderkey": "orders", "l_partkey": "part"}), _orders(spark, d), _parts(spark, d))
+    graph = union(table_triples(lines, "lineitem", ["row"], ["l_quantity"], {"l_orderkey": "orders", "l_partkey": "part"}, unique=True), _orders(spark, d), _parts(spark, d))
     body = [("?l", P("l_quantity"), "?q"), Filter(lambda: v.ge(var("q"), 45), ("?q",)), ("?l", P("l_orderkey"), "?o"), ("?l", P("l_partkey"), "?p"), ("?o", P("o_custkey"), "?c"), ("?p", P("p_brand"), "?b")]
     return solutions(graph, body).select(_id("v_c").alias("c_custkey"), _text("v_b").alias("p_brand")).distinct()
+
+
+# Demands, targeted recursion, class hierarchies, existence tests
+
+
+@query("SELECT a.conv_id, a.turn AS x, b.turn AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn + 1 WHERE a.turn = 1 AND a.conv_id IN (1, 2, 3)")
+def demanded_closure(spark, d):
+    """The closure from three nodes alone: what they reach is asked for, and nothing else is made."""
+    made = infer_wanted(_turns(spark, d), transitive(P("next")), [(f"<{BASE}turn/{k}/1>", P("next"), "?y") for k in (1, 2, 3)])
+    part = lambda c, n: F.regexp_extract(c, r"turn/(\d+)/(\d+)>", n).try_cast("bigint")
+    return made.select(part("s", 1).alias("conv_id"), part("s", 2).alias("x"), part("o", 2).alias("y"))
+
+
+@query("SELECT a.conv_id, a.turn AS x, b.turn AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn WHERE a.role = 'user'")
+def recursive_targeted_rule(spark, d):
+    """Nodes that a user's turn reaches: a rule with a focus that reads its own triples."""
+    speaks = Shape(f"<{BASE}s>", (("subjects_of", P("role")),), {}, (_prop(P("role"), has_value='"user"'),))
+    rules = [
+        sh.targeted([("?a", P("leads"), "?b")], [("?a", P("next"), "?b")], "?a", speaks, "begin"),
+        sh.targeted([("?a", P("leads"), "?c")], [("?a", P("leads"), "?b"), ("?b", P("next"), "?c")], "?a", speaks, "go on"),
+    ]
+    made = infer(_turns(spark, d), rules, gates=sh.shape_gates(rules, {0: speaks, 1: speaks}))
+    part = lambda c, n: F.regexp_extract(c, r"turn/(\d+)/(\d+)>", n).try_cast("bigint")
+    return made.select(part("s", 1).alias("conv_id"), part("s", 2).alias("x"), part("o", 2).alias("y"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey BETWEEN 64 AND 127 AND p_size >= 10")
+def deep_class_hierarchy(spark, d):
+    """Instances of a class whose subclasses go down 63 levels: each part's class is below that of the part before it, but for every 64th."""
+    parts = _read(spark, d, "part")
+    cls = lambda c: t.iri(F.concat(F.lit(f"{BASE}class/"), c.cast("string")))
+    links = parts.where("p_partkey % 64 <> 0").select(cls(F.col("p_partkey")).alias("s"), F.lit(t.SUBCLASS).alias("p"), cls(F.col("p_partkey") - 1).alias("o"))
+    typed = parts.select(node("part", "p_partkey").alias("s"), F.lit(t.TYPE).alias("p"), cls(F.col("p_partkey")).alias("o"))
+    graph = union(table_triples(parts, "part", ["p_partkey"], ["p_size"], typed=False, unique=True), Graph((), [(links, frozenset([t.SUBCLASS])), (typed, frozenset([t.TYPE]))]))
+    shape = Shape(f"<{BASE}s>", (("class", f"<{BASE}class/64>"),), {}, (_prop(P("p_size"), min_inclusive=f'"10"^^<{t.XSD}integer>'),))
+    return _conform(graph, shape, "p_partkey")
+
+
+@query("SELECT n_nationkey FROM nation WHERE EXISTS (SELECT 1 FROM part WHERE p_size > 49)")
+def existence_part(spark, d):
+    """A part of the body that shares no variable with the head's is a test, not a product."""
+    body = [("?n", P("n_name"), "?x"), ("?p", P("p_size"), "?z"), Filter(lambda: v.gt(var("z"), 49), ("?z",))]
+    made = infer(union(_places(spark, d), _parts(spark, d)), [Rule([("?n", P("served"), '"yes"')], body)])
+    return made.select(_id("s").cast("int").alias("n_nationkey"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 7 AND c_custkey IN (SELECT o_custkey FROM orders)")
+def node_some_value(spark, d):
+    """``some_value`` and ``subset_of`` on a node shape are about the node itself."""
+    graph = union(_customers(spark, d), _orders(spark, d))
+    seventh = Shape(f"<{BASE}seventh>", (), {}, (_prop(P("c_nationkey"), has_value=f"<{BASE}nation/7>"),))
+    return _conform(graph, Shape(f"<{BASE}s>", (_CUSTOMER,), {"some_value": seventh, "subset_of": seq(inv(P("o_custkey")), P("o_custkey"))}), "c_custkey")
+
+
+@query("SELECT n_nationkey FROM nation")
+def shape_unordered_bound(spark, d):
+    """A bound that has no order fails every node, also those without a value: here the nodes that fail are wanted."""
+    much = Shape(f"<{BASE}much>", (), {}, (_prop(P("absent"), min_inclusive='"much"'),))
+    return _conform(_places(spark, d), Shape(f"<{BASE}s>", (("class", f"<{BASE}nation>"),), {"not": much}), "n_nationkey").select(F.col("n_nationkey").cast("int"))
+
+
+@query("SELECT n_nationkey, 'É' || n_name AS n_name FROM nation")
+def ntriples_escapes(spark, d):
+    """Names written with \\u and \\U escapes in files of N-Triples."""
+    from grafthorn.sources.shared import shared_dir
+    from grafthorn.sources.triples import read_ntriples
+
+    path = shared_dir(spark)
+    name = F.regexp_replace("n_name", "N", F.lit("\\\\u004E"))
+    line = F.concat(node("nation", "n_nationkey"), F.lit(f' {P("n_name")} "\\U000000C9'), name, F.lit('" .'))
+    _read(spark, d, "nation").select(line.alias("value")).write.text(path)
+    return solutions(read_ntriples(spark, path), [("?n", P("n_name"), "?x")]).select(_id("v_n").cast("int").alias("n_nationkey"), _text("v_x").alias("n_name"))

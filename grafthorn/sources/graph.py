@@ -73,7 +73,8 @@ class Kind:
             return _is(self.name, cols[0], found[1]) if found[2] != t.XSD + "string" else None
         near = F.lit(True)
         if self.name == "double" and re.fullmatch(r"-?\d+\.\d+(E-?\d+)?", found[1]):
-            near = cols[0] == F.lit(float(found[1]))
+            # Not by =, which would let the printed column become the constant's own text, also for -0.0.
+            near = cols[0].between(float(found[1]), float(found[1]))
         return near & (self.printed(cols) == term)
 
 
@@ -103,7 +104,7 @@ def never_equal(a: Kind, b: Kind) -> bool:
 
 @dataclass(frozen=True)
 class TableMap:
-    """A table's rows as triples: a type, a literal for each column, an IRI for each reference. ``unique``: no two rows have the same key."""
+    """A table's rows as triples: a type, a literal for each column, an IRI for each reference. ``unique``: rows with the same key have the same values."""
 
     df: DataFrame
     table: str
@@ -162,6 +163,8 @@ class Graph:
     def __init__(self, maps: Sequence[TableMap] = (), plain: Sequence[tuple[DataFrame, frozenset[str] | None]] = ()):
         self.maps, self.plain = tuple(maps), tuple(plain)
         self._printed: DataFrame | None = None
+        #: Tables that were made from all triples once, by name.
+        self.kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str):
         """Whatever else is asked of a graph is asked of its printed triples."""

@@ -23,8 +23,8 @@ def predicate(name: str) -> str:
 def table_triples(df: DataFrame, table: str, key: Sequence[str], columns: Sequence[str] = (), refs: dict[str, str] | None = None, langs: dict[str, str] | None = None, typed: bool = True, unique: bool = False) -> Graph:
     """A table's rows as a graph of triples: rdf:type, a literal per column, an IRI per reference (column -> table).
 
-    A null value, or a null in the key, has no triple. ``unique`` says that no two rows have the same key, which isn't checked: then patterns
-    on one subject are read in one scan.
+    A null value, or a null in the key, has no triple. ``unique`` says that rows with the same key have the same values, which isn't
+    checked: then patterns on one subject are read in one scan.
     """
     return Graph([TableMap(df, table, tuple(key), tuple(columns), tuple((refs or {}).items()), tuple((langs or {}).items()), typed, unique)])
 
@@ -44,6 +44,19 @@ _LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+?|"(?:[^"\\]|\\.)*"(?:
 _ESCAPES = (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\"))
 
 
+def _unescaped(text: Column) -> Column:
+    """With characters for \\uXXXX and \\UXXXXXXXX."""
+    code = r"^\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8}))"
+
+    def char(piece: Column) -> Column:
+        short, long = F.regexp_extract(piece, code, 1), F.regexp_extract(piece, code, 2)
+        full = F.when(short != "", F.concat(F.lit("0000"), short)).otherwise(long)
+        size = F.when(short != "", 6).otherwise(10)
+        return F.when(full == "", piece).otherwise(F.concat(F.decode(F.unhex(full), "UTF-32"), piece.substr(size + 1, F.length(piece))))
+
+    return F.when(text.rlike(r"\\[uU]"), F.array_join(F.transform(F.split(text, r"(?=\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}))"), char), "")).otherwise(text)
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """N-Triples files as a triple table; blank and comment lines are skipped, a malformed line fails the read."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
@@ -53,9 +66,9 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     aside = F.replace(plain, F.lit("\\\\"), F.lit("\u0000"))
     for escape, char in _ESCAPES[:-1]:
         aside = F.replace(aside, F.lit(escape), F.lit(char))
-    value = F.when(o.startswith('"'), F.replace(aside, F.lit("\u0000"), F.lit("\\"))).otherwise(o)
+    value = F.when(o.startswith('"'), F.replace(_unescaped(aside), F.lit("\u0000"), F.lit("\\"))).otherwise(_unescaped(o))
     bad = F.raise_error(F.concat(F.lit("not an N-Triples line: "), F.substring("value", 1, 200)))
-    return lines.select(F.when(s == "", bad.cast("string")).otherwise(s).alias("s"), p.alias("p"), value.alias("o"))
+    return lines.select(F.when(s == "", bad.cast("string")).otherwise(_unescaped(s)).alias("s"), _unescaped(p).alias("p"), value.alias("o"))
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:

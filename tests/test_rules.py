@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,11 @@ from grafthorn.functions import terms as t
 from grafthorn.functions import values as v
 from grafthorn.functions.values import var
 from grafthorn.operators.patterns import Filter, Not, Set, inv, is_variable, seq, solutions
-from grafthorn.operators.rules import Rule, data, infer, inverse, problems, symmetric, transitive
-from grafthorn.plans.strata import NotStratifiable, is_stratifiable, strata
-from grafthorn.sources.triples import display, list_members, read_ntriples, write_ntriples
+from grafthorn.operators import shapes as sh
+from grafthorn.operators.rules import Rule, data, infer, inverse, problems, run, symmetric, transitive
+from grafthorn.operators.shapes import Property, Shape
+from grafthorn.plans.strata import NotStratifiable, is_stratifiable, may_match, strata
+from grafthorn.sources.triples import BASE, display, list_members, read_ntriples, write_ntriples
 
 
 def graph(spark, *triples):
@@ -178,3 +181,52 @@ def test_empty_graph(spark):
     assert infer(empty, transitive("<p>")).count() == 0
     assert made(infer(empty, [Rule([q("a", "b", "c")], [Not(q("?x", "p", "?y"))])])) == {q("a", "b", "c")}
     assert list(itertools.islice(infer(empty, []).columns, 3)) == ["s", "p", "o"]
+
+
+def test_what_is_refused_and_why(spark):
+    """What is refused, and for what reason: rules that negate themselves, rules and data that aren't well-formed, unknown and endless shapes."""
+    P = lambda x: f"<{BASE}{x}>"  # noqa: E731, N806
+    graph = data(spark, [("<n>", P("n_name"), '"N"')])
+    n, x, y = P("n_name"), P("x"), P("y")
+    odd = [Rule([("?a", x, "?b")], [("?a", n, "?b"), Not(("?a", y, "?b"))]), Rule([("?a", y, "?b")], [("?a", x, "?b")])]
+    done = run(graph, odd, data(spark, [(f"<{BASE}a>", x, '"1"')]))
+    told = [(e.split(":")[0], 1) for e in done.errors] + [(r["rule_name"], 1) for r in done.triples.select("rule_name").collect()]
+    told += [("stratifiable" if is_stratifiable(r)[0] else "not stratifiable", 1) for r in (odd, odd[1:])]
+    told.append(("may match", sum(may_match(("?a", x, f"<{BASE}b>"), h) for h in (("?a", x, "?b"), ("?a", y, "?b"), (f"<{BASE}c>", x, f"<{BASE}b>")))))
+    wrong = [
+        Rule([("?x", x, "?x")], [("?x", n, "?w"), Filter(lambda: var("y"), ("?y",)), ("?y", n, "?w")]),
+        Rule([("?x", x, "?x")], [("?x", n, "?w"), Set("?x", lambda: var("w"), ("?w",))]),
+        Rule([("?x", x, "?z")], [("?x", n, "?w")]),
+        Rule([("?x", x, "?x")], [("?x", n, "?w"), Not(("?x", y, "?v"), Filter(lambda: var("q"), ("?q",)))]),
+    ]
+    told += [(message, 1) for r in wrong for message in problems(r)]
+
+    def loop(depth: int) -> Shape:
+        return Shape(f"<{BASE}loop>", (), {"node": loop(depth - 1)} if depth else {})
+
+    tries = (
+        lambda: data(spark, [("?a", x, "?b")]),
+        lambda: sh.focus_nodes(graph, Shape(f"<{BASE}s>", (("nowhere", x),))),
+        lambda: sh.conforming(graph, Shape(f"<{BASE}s>", (("subjects_of", n),), {}, (Property(n, {"min_size": 1}),))),
+        lambda: sh.conforming(graph, loop(60), graph.select(F.col("s").alias("node"))),
+    )
+    for attempt in tries:
+        try:
+            attempt()
+        except (ValueError, RecursionError) as e:
+            told.append((str(e).split(" more than")[0], 1))
+    assert Counter(told) == Counter({
+        ('Stratification failed', 1): 1,
+        ('DATA block', 1): 1,
+        ('not stratifiable', 1): 1,
+        ('stratifiable', 1): 1,
+        ('may match', 2): 1,
+        ('?y is read before it is bound', 1): 1,
+        ('?x is assigned but already bound', 1): 1,
+        ('?z in the head is not bound by the body', 1): 1,
+        ('?q is read before it is bound', 1): 1,
+        ('data triples must be ground', 1): 1,
+        ('target nowhere', 1): 1,
+        ('min_size', 1): 1,
+        ('shapes refer to each other', 1): 1,
+    })
