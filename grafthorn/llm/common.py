@@ -54,18 +54,20 @@ def drop_written(df: DataFrame) -> None:
 
 
 def _may_occur(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``_may``: false only where the key doesn't occur in ``wanted``.
+    """``rows`` with columns named by place, x0, x1, ..., and ``may``: false only where the key doesn't occur in ``wanted``.
 
     Keys are hashed to a bit map of 256 x 32,768 bits, 1 MB whatever the sizes, which is broadcast. Where
-    ``wanted`` is huge the map is full and every row may occur.
+    ``wanted`` is huge the map is full and every row may occur. No name of the caller's is in the plan, so none can clash.
     """
-    hashed = F.xxhash64(key)
-    bucket, place = F.pmod(hashed, F.lit(256)), F.pmod(F.shiftright(hashed, 8), F.lit(32_768))
-    maps = wanted.select(bucket.alias("_bucket"), place.alias("_place")).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_map"))
-    byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("_place"), F.lit(8)))), F.lit(2)) == 1
-    marked = rows.withColumns({"_bucket": bucket, "_place": place}).join(F.broadcast(maps), "_bucket", "left")
-    return marked.withColumn("_may", F.coalesce(bit, F.lit(False))).select(*rows.columns, "_may")
+    own = rows.toDF(*(f"x{k}" for k in range(len(rows.columns))))
+    parts = lambda c: (F.pmod(F.xxhash64(c), F.lit(256)), F.pmod(F.shiftright(F.xxhash64(c), 8), F.lit(32_768)))
+    bucket, place = parts(F.col("key"))
+    maps = wanted.select(F.col(key).alias("key")).select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map"))
+    bucket, place = parts(F.col(f"x{rows.columns.index(key)}"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col("place"), F.lit(8)))), F.lit(2)) == 1
+    marked = own.withColumns({"bucket": bucket, "place": place}).join(F.broadcast(maps), "bucket", "left")
+    return marked.select(*own.columns, F.coalesce(bit, F.lit(False)).alias("may"))
 
 
 def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -73,13 +75,13 @@ def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
     Before a join on the key this spares the shuffle of most texts that the join would drop.
     """
-    return _may_occur(rows, wanted, key).where("_may").drop("_may")
+    return _may_occur(rows, wanted, key).where("may").drop("may").toDF(*rows.columns)
 
 
 def parted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key surely doesn't occur in ``wanted``, the others): only the others need a join to tell."""
     marked = _may_occur(rows, wanted, key)
-    return marked.where("not _may").drop("_may"), marked.where("_may").drop("_may")
+    return marked.where("not may").drop("may").toDF(*rows.columns), marked.where("may").drop("may").toDF(*rows.columns)
 
 
 class WordHashes(dict):

@@ -178,3 +178,23 @@ def test_long_labelled_texts_are_learned_from(spark, labelled):
     docs = spark.createDataFrame([(i, t) for i, t, _ in long], "doc_id long, text string")
     labels = spark.createDataFrame([(i, x) for i, _, x in long], "doc_id long, toxic int")
     assert min(len(t) for _, t, _ in long) > toxicity.MAX_CHARS and toxicity.fit(docs, labels) is not None
+
+
+def test_stages_touch_no_column_of_the_caller(spark, tmp_path):
+    """Names that stages might use themselves come through all but the last with their values; nulls, repeats and ties too."""
+    import corpus_pipeline
+
+    names = ["_bucket", "_place", "_map", "_may", "bucket", "place", "map", "may", "x0", "key", "n", "_n", "score", "label", "row", "start", "sig", "text_key", "id", "class_id", "uid", "value"]
+    words = [" ".join(f"w{(i * 7 + k * k) % 211}" for k in range(60)) for i in range(12)]
+    rows = [(i, words[i % 9], "en", "s", len(words[i % 9]), *(f"{c}{i}" for c in names)) for i in range(12)] + [(20, None, None, None, None, *names), (21, "", "en", "s", 0, *names), (None, words[0], "en", "s", len(words[0]), *names), (3, words[3], "en", "s", len(words[3]), *(f"{c}3" for c in names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    for table, df in (("labels", spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, "nothing of the kind stands in any of these texts at all")], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{table}.parquet"))
+    given = {r[0]: tuple(r) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        assert all(tuple(r) == given[r.doc_id] for r in docs.collect()), name
+    # Of each group of copies the least id, rows without words or without an id whole, of repeated rows one.
+    assert sorted((r.doc_id is None, r.doc_id) for r in docs.collect()) == [(False, k) for k in [*range(9), 20, 21]] + [(True, None)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 12
