@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 REACH = 5
 SIBLING = 0.2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)", re.S)
 #: The rest of an opening tag: to the first > outside quotes, or to the first at all.
 _REST, _LOOSE_REST = re.compile(r"((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"), re.compile(r"([^>]*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math noframes xmp".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg noframes xmp".split())
 _CUT = frozenset("nav footer aside form button select option dialog menu object canvas audio video map fieldset label".split()) | _RAW | {"head"}
 _BLOCK = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SCORED = frozenset("p pre td blockquote dd li div section article main".split())
@@ -155,7 +155,7 @@ def _blocks(root: _Node) -> list[tuple[str, _Node, int]]:
 
     def flush(owner: _Node) -> None:
         nonlocal links
-        text = _SPACE.sub(" ", _text_of("".join(run))).strip()
+        text = _SPACE.sub(" ", "".join(run)).strip()
         if text:
             found.append((text, owner, min(links, len(text))))
         run.clear()
@@ -174,7 +174,8 @@ def _blocks(root: _Node) -> list[tuple[str, _Node, int]]:
         top[1] += 1
         child = node.children[i]
         if isinstance(child, str):
-            run.append(child)
+            # Each piece by itself: a reference doesn't go on behind a tag.
+            run.append(_text_of(child))
             links += len(child.strip()) if linked else 0
         elif child.tag == "br":
             run.append(" ")
