@@ -162,7 +162,13 @@ RULES = (
     ("Public domain", ("public-domain",)),
     *((name, (f"spdx.{name}",)) for name in SPDX),
 )
-_OF_GRANT = [(name, re.compile(expression)) for name, expression in GRANTS.items()]
+_OF_GRANT = [(name, re.compile(rf"(?:{expression})(?= |$)")) for name, expression in GRANTS.items() if name != "other.licence"]
+_OTHER_NAME = re.compile(GRANTS["other.licence"])
+#: What may follow a licence's name in a grant, how a second one is joined, and two more ways to name one.
+_TAIL = re.compile(r" (?:which|that|see|as|or (?:later|newer|any later|at your option|greater)|and (?:later|above)|unless|except|with|a copy|copy|you may|the licen[cs]e|for (?:details|more|full)|found|in the|included|available|at|http|https|www|by|licen[cs]es?|terms|dual|c|copyright|all rights|version)\b")
+_OR_ANOTHER = re.compile(r" (?:licen[cs]e )?(?:or|and)(?: at your option)?(?: under)?(?: the)? ")
+_LICENCE_LINE = re.compile(r"licen[cs]ed? (?:is )?(?:the )?(.+)$")
+_LICENSED_AS = re.compile(r"(?:(?:this|the) (?:work|software|file|program|project|code|document|page|text|material|library|content|package|module|article|dataset|data) is )?(.+?) licen[cs]ed$")
 _COPYRIGHT_YEAR = re.compile(r"copyright \d{4}\b")
 _SPDX_LINE = re.compile(r"spdx licen[cs]e identifier (.+)")
 
@@ -196,16 +202,45 @@ def sentence_id(sentence: str) -> str | None:
     first, _, more = plain.partition(" ")
     for name, expression in _FIRST_WORDS.get((first, more.partition(" ")[0]), ()):
         if expression.match(plain):
-            return name
+            # A grant of a licence that is known by name says more.
+            return next(iter(granted(plain)), name) if name == "other.licence" else name
     if first == "copyright" and _COPYRIGHT_YEAR.match(plain):
         return "copyright.line"
     if first == "spdx" and (m := _SPDX_LINE.fullmatch(plain)):
         return next((f"spdx.{x}" for x in SPDX if normalised(x) == m[1]), "other.licence")
+    return next(iter(granted(plain)), None)
+
+
+def _named(text: str) -> tuple[str, int] | None:
+    """The longest licence name that a text begins with, and its length."""
+    found = [(m.end(), name) for name, expression in _OF_GRANT if (m := expression.match(text))]
+    return max(((name, end) for end, name in found), key=lambda x: x[1]) if found else None
+
+
+def granted(plain: str) -> list[str]:
+    """Identifiers of all licences that a grant names: "under A or B", with what may follow a name; "is A licensed" and "licence: A"."""
     m = _GRANT.match(plain)
-    if m:
-        licence = plain[m.end() :]
-        return next((name for name, expression in _OF_GRANT if expression.fullmatch(licence)), None)
-    return None
+    if not m:
+        m = _LICENCE_LINE.match(plain) or _LICENSED_AS.match(plain)
+        return [n[0]] if m and (n := _named(m[1])) and n[1] == len(m[1]) else []
+    rest, found = plain[m.end() :], []
+    while n := _named(rest):
+        more = rest[n[1] :]
+        other = _OR_ANOTHER.match(more)
+        if other and _named(more[other.end() :]):
+            found.append(n[0])
+            rest = more[other.end() :]
+            continue
+        if not more or _TAIL.match(more):
+            return [*found, n[0]]
+        break
+    return found or (["other.licence"] if _OTHER_NAME.fullmatch(rest) else [])
+
+
+def _all_of(sentence: str) -> list[str]:
+    """The identifiers of a sentence: one, or one for each licence of a grant."""
+    first = sentence_id(sentence)
+    return [] if first is None else [first, *(granted(normalised(sentence))[1:] if first in GRANTS else ())]
 
 
 def sentence_ids(text: str | None) -> list[str]:
@@ -214,8 +249,8 @@ def sentence_ids(text: str | None) -> list[str]:
         return []
     found = []
     for paragraph in re.split(r"\n\s*\n", text):
-        lines = [i for s in _CUT.split(paragraph) if (i := sentence_id(s))]
-        joined = [i for s in _CUT.split(_WRAP.sub(" ", paragraph)) if (i := sentence_id(s))] if "\n" in paragraph else []
+        lines = [i for s in _CUT.split(paragraph) for i in _all_of(s)]
+        joined = [i for s in _CUT.split(_WRAP.sub(" ", paragraph)) for i in _all_of(s)] if "\n" in paragraph else []
         found += joined if len(joined) > len(lines) else lines
     return found
 

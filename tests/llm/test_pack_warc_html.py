@@ -340,3 +340,21 @@ def test_page_rows(spark, docs_of):
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, n_chars string")
     assert sorted((str(r.page_id), r.text) for r in html_text.extracted(pages).collect()) == [("1", "a"), ("1", "a"), ("None", "b")]
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', ["Apache-2.0"]),
+    ("Licensed under GPL v3 or later.", ["GPL-3.0"]), ("Licensed under the Apache License 2.0 or the MIT license.", ["Apache-2.0", "MIT"]), ("Licensed under MIT and Apache-2.0.", ["MIT", "Apache-2.0"]), ("Dual licensed under the MIT and GPL v2 licenses.", ["MIT", "GPL-2.0"]),
+    ("This software is licensed under the MIT license, which is permissive.", ["MIT"]), ("The code is MIT licensed.", ["MIT"]), ("MIT licensed", ["MIT"]), ("License: MIT", ["MIT"]), ("Licence: BSD 3-Clause", ["BSD-3-Clause"]),
+    ("Released under the ISC license. See LICENSE.", ["ISC"]), ("The library is distributed under the terms of the GNU Lesser General Public License, version 2.1, as published by the Free Software Foundation.", ["LGPL-2.1"]),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", ["BSL-1.0"]), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+    ("The license was revoked.", []), ("Released under the MITX license.", []), ("Licensed under the MIT license plate collection.", []), ("The driver is licensed", []), ("License: none", []), ("Licensed under the Foo License.", []),
+])
+def test_sentences_as_people_write_them(text, want):
+    assert licenses.match_rules(licenses.sentence_ids(text))[0] == want
+
+
+def test_comments_references_and_formulas():
+    page = "<article><p>One, two<!--> and three.</p><p>Let <math><mi>x</mi></math> be AT&<b>amp;</b>T &amp; co.</p><p>A<!--->b<!-- c --!> d<!-- e --> f</p></article>"
+    assert html_text.main_text(page) == "One, two and three.\nLet x be AT&amp;T & co.\nAb d f"
