@@ -140,7 +140,7 @@ def test_language_model(spark, known):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
     # What it has learned helps on documents that it hasn't seen.
     unseen = [r for r in got.values() if r.held_out and r.n_tokens > 5]
-    assert unseen and sum(r.score for r in unseen) > 1.1 * sum(r.base_score for r in unseen)
+    assert unseen and sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
 def test_language_model_without_training_documents(spark):
