@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grafthorn.llm import decontam, ngram_join, passages
 from grafthorn.llm.components import components
@@ -254,3 +255,34 @@ def test_long_texts_of_few_words(docs_of):
     found = {r.doc_id: (r.start_word, r.end_word) for r in passages.repeated_passages(docs).collect()}
     assert set(found) == {1, 2, 3, 4, 5} and found[1] == found[5] == (0, 100_000) and found[3] == (0, 105_000)
     assert time.monotonic() - began < 120
+
+
+def test_runs_of_windows_hold_what_their_windows_hold():
+    rng, words = random.Random(11), passages.WordHashes()
+    merged = 0
+    for _ in range(60):
+        line = some_words(rng, rng.choice((1, 2, 5, 20, 23, 24, 30)))
+        text = some_words(rng, rng.randrange(40)) + line * rng.randrange(4, 60) + some_words(rng, rng.randrange(40))
+        tokens = passages.shingle_hashes(" ".join(text), words)
+        keys, places, _ = passages.window_keys(tokens, np.array([len(tokens)]))
+        order = np.lexsort((places[:, 2], keys))
+        keys, (_, first, least, end) = keys[order], places[order].T
+        starts = passages._runs(keys, np.zeros(len(keys), int), least)
+        for i in np.nonzero(~starts)[0]:
+            merged += 1
+            assert end[i] == end[i - 1] and least[i - 1] < first[i] <= least[i] <= least[i - 1] + passages.HALF < end[i - 1]
+    assert merged > 1000
+
+
+def test_links_follow_runs(spark, docs_of):
+    """Texts that repeat a line hundreds of times have about as many links as those that have it a few times. A cycle's edges may be off by half a passage."""
+    rng = random.Random(12)
+    line, texts = some_words(rng, 7), []
+    for n in (10, 300):
+        texts += [" ".join(some_words(rng, 30) + line * n + some_words(rng, 30)) for _ in range(2)]
+    docs = docs_of(list(enumerate(texts)))
+    linked = passages._links(passages.windows(docs.select(F.col("doc_id").alias("uid"), "text"))).where("greatest(uid, other) < 2 or least(uid, other) > 1")
+    few, many = (linked.where(c).count() for c in ("uid < 2", "uid > 1"))
+    assert 0 < many <= 3 * few
+    found = {r.doc_id: (r.start_word, r.end_word) for r in passages.repeated_passages(docs).collect()}
+    assert all(found[i][0] <= 30 + passages.HALF and found[i][1] >= 30 + 7 * n - passages.HALF for i, n in ((0, 10), (1, 10), (2, 300), (3, 300)))
