@@ -28,12 +28,12 @@ _GRANT = re.compile(
     r"(?:dual |jointly )?(?:licen[cs]ed|released|distributed|published|available|provided|made available|redistributable|offered|shared)(?: to you)? under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 )
 _LICENCE = r"(?: licen[cs]e)?"
-_VERSION = r"(?: version| v)? ?"
+_VERSION = r"(?: version| ?v)? ?"
 _LATER = r"(?: only)?"
 #: Identifier of a grant sentence -> expression over the whole name that follows its beginning.
 GRANTS = {
     "apache-2.grant": rf"apache(?: software)? licen[cs]e{_VERSION}2(?: 0)?(?: the licen[cs]e)?|apache{_VERSION}2(?: 0)?{_LICENCE}",
-    "mit.grant": rf"(?:expat |x11 )?mit{_LICENCE}",
+    "mit.grant": rf"(?:expat |x11 )?mit(?: style)?{_LICENCE}",
     "isc.grant": rf"isc{_LICENCE}",
     "bsd-3.grant": rf"(?:3 clause|three clause|new|modified|revised) bsd{_LICENCE}|bsd 3 clause{_LICENCE}",
     "bsd-2.grant": rf"(?:2 clause|two clause|simplified|freebsd) bsd{_LICENCE}|bsd 2 clause{_LICENCE}",
@@ -50,14 +50,14 @@ GRANTS = {
     "boost-1.grant": rf"boost software licen[cs]e{_VERSION}1(?: 0)?",
     "zlib.grant": rf"zlib{_LICENCE}",
     "unlicense.grant": r"unlicen[cs]e",
-    "cc-by-4.grant": rf"(?:a )?(?:cc by|creative commons attribution) 4 0(?: international)?{_LICENCE}",
-    "cc-by-sa-4.grant": rf"(?:a )?(?:cc by sa|creative commons attribution share ?alike) 4 0(?: international)?{_LICENCE}",
-    "cc-by-nc-4.grant": rf"(?:a )?(?:cc by nc|creative commons attribution non ?commercial) 4 0(?: international)?{_LICENCE}",
+    "cc-by-4.grant": rf"(?:a )?(?:cc by|creative commons attribution){_LICENCE} 4 0(?: international)?{_LICENCE}",
+    "cc-by-sa-4.grant": rf"(?:a )?(?:cc by sa|creative commons attribution share ?alike){_LICENCE} 4 0(?: international)?{_LICENCE}",
+    "cc-by-nc-4.grant": rf"(?:a )?(?:cc by nc|creative commons attribution non ?commercial){_LICENCE} 4 0(?: international)?{_LICENCE}",
     "cc-by-nd-4.grant": rf"(?:a )?(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s) 4 0(?: international)?{_LICENCE}",
     "cc-by-nc-sa-4.grant": rf"(?:a )?(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0(?: international)?{_LICENCE}",
     "cc-by-nc-nd-4.grant": rf"(?:a )?(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s) 4 0(?: international)?{_LICENCE}",
-    "cc-by-3.grant": rf"(?:a )?(?:cc by|creative commons attribution) 3 0(?: unported)?{_LICENCE}",
-    "cc-by-sa-3.grant": rf"(?:a )?(?:cc by sa|creative commons attribution share ?alike) 3 0(?: unported)?{_LICENCE}",
+    "cc-by-3.grant": rf"(?:a )?(?:cc by|creative commons attribution){_LICENCE} 3 0(?: unported)?{_LICENCE}",
+    "cc-by-sa-3.grant": rf"(?:a )?(?:cc by sa|creative commons attribution share ?alike){_LICENCE} 3 0(?: unported)?{_LICENCE}",
     "cc0.grant": rf"(?:a )?(?:creative commons )?(?:cc0|cc zero)(?: 1 0)?(?: universal)?{_LICENCE}",
     "other.licence": r"(?:.* )?licen[cs]e(?: .*)?",
 }
@@ -104,12 +104,13 @@ SENTENCES = {
     "epl-2.materials": (r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e(?: v)? ?2 0\b",),
     "unlicense.free": (r"this is free and unencumbered software released into the public domain$",),
     "unlicense.anyone": (r"anyone is free to copy modify publish use compile sell or distribute this software",),
+    "cc0.waiver": (r"to the extent possible under law .* waived all copyright and related or neighboring rights to",),
     "public-domain": tuple(rf"{which} (?:work|software|file|text|code) is in the public domain$" for which in ("this", "the")),
     "copyright.line": (r"copyright c (?:\d{4}|by)\b", r"copyright by\b"),
     "rights.reserved": (r"all rights reserved$",),
 }
 #: Names in an SPDX identifier line, as normalised, that stand for a licence.
-SPDX = ("Apache-2.0", "MIT", "ISC", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Artistic-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")
+SPDX = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MIT", "ISC", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Artistic-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")
 #: Licence, identifiers in order; a trailing ? marks one that may be missing. Earlier rules win.
 RULES = (
     ("BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.asis?", "bsd.liability?")),
@@ -157,6 +158,7 @@ RULES = (
     ("CC-BY-3.0", ("cc-by-3.grant",)),
     ("CC-BY-SA-3.0", ("cc-by-sa-3.grant",)),
     ("CC0-1.0", ("cc0.grant",)),
+    ("CC0-1.0", ("cc0.waiver",)),
     ("Unlicense", ("unlicense.free", "unlicense.anyone?")),
     ("Unlicense", ("unlicense.grant",)),
     ("Public domain", ("public-domain",)),
@@ -164,9 +166,13 @@ RULES = (
 )
 _OF_GRANT = [(name, re.compile(rf"(?:{expression})(?= |$)")) for name, expression in GRANTS.items() if name != "other.licence"]
 _OTHER_NAME = re.compile(GRANTS["other.licence"])
-#: What may follow a licence's name in a grant, how a second one is joined, and two more ways to name one.
-_TAIL = re.compile(r" (?:which|that|see|as|or (?:later|newer|any later|at your option|greater)|and (?:later|above)|unless|except|with|a copy|copy|you may|the licen[cs]e|for (?:details|more|full)|found|in the|included|available|at|http|https|www|by|licen[cs]es?|terms|dual|c|copyright|all rights|version)\b")
+#: What may follow a licence's name in a grant, how a second one is joined, grants of any subject, and three more ways to name one.
+_TAIL = re.compile(r" (?:which|that|see|as|or (?:later|newer|any later|at your option|greater)|and (?:later|above)|unless|except|with|a copy|copy|you may|the licen[cs]e|for (?:details|more|full)|found|in the|included|available|at|http|https|www|by|licen[cs]es?|terms|additional|dual|c|copyright|all rights|version)\b")
 _OR_ANOTHER = re.compile(r" (?:licen[cs]e )?(?:or|and)(?: at your option)?(?: under)?(?: the)? ")
+_UNDER = re.compile(r"\b(?:under|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:either (?:of )?(?:the )?)?(?:an? )?")
+_GRANTS_BY = re.compile(r"\b(?:licen[cs]|releas|distribut|redistribut|publish|avail|provid|offer|shar|dedicat|cover|govern)")
+_TITLE_END = re.compile(r"(?: \d{1,2} [a-z]+ \d{4})?$")
+_TITLE_CHARS = 90
 _LICENCE_LINE = re.compile(r"licen[cs]ed? (?:is )?(?:the )?(.+)$")
 _LICENSED_AS = re.compile(r"(?:(?:this|the) (?:work|software|file|program|project|code|document|page|text|material|library|content|package|module|article|dataset|data) is )?(.+?) licen[cs]ed$")
 _COPYRIGHT_YEAR = re.compile(r"copyright \d{4}\b")
@@ -207,7 +213,7 @@ def sentence_id(sentence: str) -> str | None:
     if first == "copyright" and _COPYRIGHT_YEAR.match(plain):
         return "copyright.line"
     if first == "spdx" and (m := _SPDX_LINE.fullmatch(plain)):
-        return next((f"spdx.{x}" for x in SPDX if normalised(x) == m[1]), "other.licence")
+        return _spdx(m[1])[0]
     return next(iter(granted(plain)), None)
 
 
@@ -217,13 +223,9 @@ def _named(text: str) -> tuple[str, int] | None:
     return max(((name, end) for end, name in found), key=lambda x: x[1]) if found else None
 
 
-def granted(plain: str) -> list[str]:
-    """Identifiers of all licences that a grant names: "under A or B", with what may follow a name; "is A licensed" and "licence: A"."""
-    m = _GRANT.match(plain)
-    if not m:
-        m = _LICENCE_LINE.match(plain) or _LICENSED_AS.match(plain)
-        return [n[0]] if m and (n := _named(m[1])) and n[1] == len(m[1]) else []
-    rest, found = plain[m.end() :], []
+def _names(rest: str) -> list[str]:
+    """Identifiers of the licences that a text begins with, "A or B"; none if what follows the last belongs to no grant."""
+    found = []
     while n := _named(rest):
         more = rest[n[1] :]
         other = _OR_ANOTHER.match(more)
@@ -231,16 +233,50 @@ def granted(plain: str) -> list[str]:
             found.append(n[0])
             rest = more[other.end() :]
             continue
-        if not more or _TAIL.match(more):
-            return [*found, n[0]]
-        break
-    return found or (["other.licence"] if _OTHER_NAME.fullmatch(rest) else [])
+        return [*found, n[0]] if not more or _TAIL.match(more) else found
+    return found
+
+
+def granted(plain: str) -> list[str]:
+    """Identifiers of all licences that a sentence grants.
+
+    "licensed under A or B" of what it begins with, or of any subject where A is known by name, with what may follow a name;
+    "governed by A", "is A licensed", "licence: A", and a sentence that is a licence's name and no more.
+    """
+    m = _GRANT.match(plain)
+    if m and (found := _names(plain[m.end() :])):
+        return found
+    for under in _UNDER.finditer(plain):
+        if _GRANTS_BY.search(plain, 0, under.end()) and (found := _names(plain[under.end() :])):
+            return found
+    if m:
+        return ["other.licence"] if _OTHER_NAME.fullmatch(plain[m.end() :]) else []
+    line = _LICENCE_LINE.match(plain) or _LICENSED_AS.match(plain)
+    if line and (n := _named(line[1])) and n[1] == len(line[1]):
+        return [n[0]]
+    if len(plain) <= _TITLE_CHARS and "licen" in plain:
+        title = plain.removeprefix("the ")
+        n = _named(title)
+        if n and "licen" in title[: n[1]] and _TITLE_END.fullmatch(title, n[1]):
+            return [n[0]]
+    return []
+
+
+def _spdx(names: str) -> list[str]:
+    """Identifiers of an SPDX line: one for each name that "or", "and" or "with" joins; an exception after "with" is unknown."""
+    known = {normalised(x): x for x in SPDX}
+    return [f"spdx.{known[n]}" if n in known else "other.licence" for n in re.split(r" (?:or(?! later)|and|with) ", names)]
 
 
 def _all_of(sentence: str) -> list[str]:
-    """The identifiers of a sentence: one, or one for each licence of a grant."""
+    """The identifiers of a sentence: one, or one for each licence of a grant or an SPDX line."""
     first = sentence_id(sentence)
-    return [] if first is None else [first, *(granted(normalised(sentence))[1:] if first in GRANTS else ())]
+    if first is None:
+        return []
+    plain = normalised(sentence)
+    if m := _SPDX_LINE.fullmatch(plain):
+        return _spdx(m[1])
+    return [first, *(granted(plain)[1:] if first in GRANTS else ())]
 
 
 def sentence_ids(text: str | None) -> list[str]:

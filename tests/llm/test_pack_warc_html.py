@@ -358,3 +358,75 @@ def test_sentences_as_people_write_them(text, want):
 def test_comments_references_and_formulas():
     page = "<article><p>One, two<!--> and three.</p><p>Let <math><mi>x</mi></math> be AT&<b>amp;</b>T &amp; co.</p><p>A<!--->b<!-- c --!> d<!-- e --> f</p></article>"
     assert html_text.main_text(page) == "One, two and three.\nLet x be AT&amp;T & co.\nAb d f"
+
+
+#: Written by hand, not made from the tables of the module.
+_WRITTEN = [
+    ("This project is licensed under the MIT License - see the LICENSE file for details.",["MIT"]),
+    ("This project is licensed under the terms of the MIT license.",["MIT"]),
+    ("This library is licensed under the [MIT License](LICENSE).",["MIT"]),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 2.0 <LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0>",["Apache-2.0"]),
+    ("Licensed under GPL v3 or later.",["GPL-3.0"]),
+    ("Licensed under the Apache License 2.0 or the MIT license.",["Apache-2.0","MIT"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.",["Apache-2.0","MIT"]),
+    ("Dual licensed under the MIT and GPL v2 licenses.",["MIT","GPL-2.0"]),
+    ("This software is licensed under the MIT license, which is permissive.",["MIT"]),
+    ("The code is MIT licensed.",["MIT"]),
+    ("License: MIT",["MIT"]),
+    ("License: Apache 2.0",["Apache-2.0"]),
+    ("Licence: GPL-3.0",["GPL-3.0"]),
+    ("This crate is licensed under the MIT license.",["MIT"]),
+    ("The app is released under the GPLv3.",["GPL-3.0"]),
+    ("Released under the GPLv2.",["GPL-2.0"]),
+    ("Distributed under the MIT License. See LICENSE for more information.",["MIT"]),
+    ("Distributed under the Boost Software License, Version 1.0.",["BSL-1.0"]),
+    ("Distributed under the terms of the Modified BSD License.",["BSD-3-Clause"]),
+    ("Use of this source code is governed by a BSD-3-Clause license that can be found in the LICENSE file.",["BSD-3-Clause"]),
+    ("Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",["MIT"]),
+    ("This file is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",["CC-BY-SA-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.",["CC-BY-4.0"]),
+    ("Content on this site is licensed under CC BY-SA 3.0.",["CC-BY-SA-3.0"]),
+    ("Text is available under the Creative Commons Attribution-ShareAlike License 4.0; additional terms may apply.",["CC-BY-SA-4.0"]),
+    ("All content is available under CC BY 4.0 unless otherwise noted.",["CC-BY-4.0"]),
+    ("Except where otherwise noted, this work is licensed under CC BY-NC 4.0.",["CC-BY-NC-4.0"]),
+    ("Unless otherwise stated, the text is licensed under CC BY-NC-SA 4.0.",["CC-BY-NC-SA-4.0"]),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",["CC0-1.0"]),
+    ("This data is dedicated to the public domain under CC0 1.0 Universal.",["CC0-1.0"]),
+    ("Copyright 2019 Jane Doe. Licensed under the ISC license.",["ISC"]),
+    ("It is licensed under the MIT license.",["MIT"]),
+    ("We release the code under the Apache 2.0 license.",["Apache-2.0"]),
+    ("Our code is released under the MIT License.",["MIT"]),
+    ("The source code is licensed under the Mozilla Public License 2.0.",["MPL-2.0"]),
+    ("The source code is available under the MPL 2.0.",["MPL-2.0"]),
+    ("This program is licensed under the GNU AGPLv3.",["AGPL-3.0"]),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",["GPL-3.0-or-later"]),
+    ("Licensed under the LGPL v2.1.",["LGPL-2.1"]),
+    ("Licensed under the EUPL.",[]),
+    ("The MIT License (MIT)",["MIT"]),
+    ("MIT License",["MIT"]),
+    ("BSD 3-Clause License",["BSD-3-Clause"]),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",["GPL-3.0"]),
+    ("Mozilla Public License Version 2.0",["MPL-2.0"]),
+    ("Apache License\nVersion 2.0, January 2004",["Apache-2.0"]),
+    ("ISC License",["ISC"]),
+    ("The Unlicense",["Unlicense"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0",["MIT","Apache-2.0"]),
+    ("// SPDX-License-Identifier: GPL-2.0",["GPL-2.0"]),
+    ("# SPDX-License-Identifier: BSD-3-Clause",["BSD-3-Clause"]),
+    ("SPDX-License-Identifier: MIT",["MIT"]),
+    ("The driving license was issued in Berlin.",[]),
+    ("He was licensed under the old law.",[]),
+    ("The film was released under the title Boost.",[]),
+    ("She studied at MIT.",[]),
+    ("The license of the bar was revoked in 2001.",[]),
+    ("A gun license is required.",[]),
+    ("The drug was licensed in 1990.",[]),
+    ("The model was released under pressure.",[]),
+    ("The report is available under the link below.",[]),
+]
+
+
+@pytest.mark.parametrize("text, want", _WRITTEN)
+def test_licences_by_hand(text, want):
+    assert licenses.match_rules(licenses.sentence_ids(text))[0] == want
