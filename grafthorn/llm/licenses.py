@@ -246,15 +246,18 @@ def granted(plain: str) -> list[str]:
     m = _GRANT.match(plain)
     if m and (found := _names(plain[m.end() :])):
         return found
-    for under in _UNDER.finditer(plain):
+    for under in _UNDER.finditer(plain) if "under " in plain or "governed by " in plain else ():
         if _GRANTS_BY.search(plain, 0, under.end()) and (found := _names(plain[under.end() :])):
             return found
     if m:
         return ["other.licence"] if _OTHER_NAME.fullmatch(plain[m.end() :]) else []
+    # All that follows needs these letters.
+    if "licen" not in plain:
+        return []
     line = _LICENCE_LINE.match(plain) or _LICENSED_AS.match(plain)
     if line and (n := _named(line[1])) and n[1] == len(line[1]):
         return [n[0]]
-    if len(plain) <= _TITLE_CHARS and "licen" in plain:
+    if len(plain) <= _TITLE_CHARS:
         title = plain.removeprefix("the ")
         n = _named(title)
         if n and "licen" in title[: n[1]] and _TITLE_END.fullmatch(title, n[1]):
