@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from grafthorn.functions.values import Native
 from grafthorn.sources.graph import BASE, TERM, Graph, Kind, TableMap, never_equal
+from grafthorn.sources.numbers import constant, is_numbered
 
 
 def name_of(variable: str) -> str:
@@ -154,8 +155,9 @@ def star(source: TableMap, subject: str, arms: Sequence[tuple[str, str]]) -> lis
 
 
 def plain_scan(df: DataFrame, pattern: tuple) -> Bindings:
-    """Solutions of a pattern over printed triples."""
-    tests = [F.col(place) == x for place, x in zip("spo", pattern, strict=True) if not x.startswith("?")]
+    """Solutions of a pattern over printed or numbered triples."""
+    term = constant if is_numbered(df) else F.lit
+    tests = [F.col(place) == term(x) for place, x in zip("spo", pattern, strict=True) if not x.startswith("?")]
     return _select(df, tests, [(name_of(x), TERM, [F.col(place)]) for place, x in zip("spo", pattern, strict=True) if x.startswith("?")])
 
 

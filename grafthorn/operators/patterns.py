@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from grafthorn.functions.values import Value, native_columns
 from grafthorn.operators.bindings import Bindings, joined, kept, name_of, names, of_terms, pattern_bindings, units
 from grafthorn.sources.graph import TERM, Graph, as_graph
+from grafthorn.sources.numbers import constant
 
 Pattern = tuple
 
@@ -261,13 +262,16 @@ def has_match(triples: DataFrame | Graph, body: Sequence, seed: DataFrame) -> Da
     return kept(of_terms(seed), found, "left_semi").terms()
 
 
-def instances(found: DataFrame, head: Sequence[Pattern]) -> DataFrame:
-    """A triple for each solution and head pattern, in one pass; those with an unbound variable are left out."""
+def instances(found: DataFrame, head: Sequence[Pattern], numbered: bool = False) -> DataFrame:
+    """A triple for each solution and head pattern, in one pass; those with an unbound variable are left out.
+
+    ``numbered`` solutions make numbered triples.
+    """
 
     def part(x: str) -> Column:
         if not is_variable(x):
-            return F.lit(x)
-        return F.col(column(x)) if column(x) in found.columns else F.lit(None).cast("string")
+            return constant(x) if numbered else F.lit(x)
+        return F.col(column(x)) if column(x) in found.columns else F.lit(None).cast("long" if numbered else "string")
 
     rows = [F.struct(part(s).alias("s"), part(p).alias("p"), part(o).alias("o")) for s, p, o in head if not isinstance(p, Path)]
     if len(rows) == 1:

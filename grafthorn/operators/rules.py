@@ -6,6 +6,9 @@ rules of a pass are one Spark job; new triples are grouped to their first rule,
 have, and written to the shared folder as tables bucketed by (s, o), so that a pass deals out what it made and not what is known. A recursive stratum's part
 of the base is laid out in the same way once. Every few passes the tables written so far become one.
 
+A recursive stratum whose rules only compare terms (patterns and NOT of patterns) runs on 64-bit numbers of terms: no pass shuffles or compares
+a text. What it made is printed once, when it is done.
+
 A rule that fails, when its plan is built or in a job, is reported and the others go on. Rules that can't be put in strata
 are reported too, and then the facts are all that comes out.
 """
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from grafthorn.operators.patterns import Not, Path, column, expanded, instances, is_variable, solutions, variables
 from grafthorn.plans.strata import NotStratifiable, patterns_in, runs_once, strata
+from grafthorn.sources import numbers
 from grafthorn.sources.graph import Graph, as_graph, plain_triples
 from grafthorn.sources.shared import bucketed, written
 
@@ -125,6 +129,16 @@ def _touched(rules: Sequence[Rule]) -> list[str] | None:
     return None if any(is_variable(p) for p in found) else sorted(found)
 
 
+def _compares_only(body: Sequence) -> bool:
+    """Does a body hold nothing but patterns and NOT of such?"""
+    return all(isinstance(e, tuple) or isinstance(e, Not) and _compares_only(e.body) for e in body)
+
+
+def _constants(rules: Sequence[Rule]) -> set[str]:
+    """Subjects, objects and predicates that heads name."""
+    return {x for r in rules for h in r.head if not isinstance(h[1], Path) for x in h if not is_variable(x)}
+
+
 def head_variables(rule: Rule) -> list[str]:
     return [x for h in rule.head for x in h if is_variable(x)]
 
@@ -154,7 +168,8 @@ def _united(parts: list[DataFrame]) -> DataFrame:
 
 def fired(numbered: list[tuple[int, Rule]], everything: Graph, delta: DataFrame | None, delta_predicates: set[str] | None, focuses: dict[int, tuple[DataFrame, DataFrame | None]] | None = None) -> DataFrame | None:
     """(s, p, o, rule_index) of all rules; the first rule owns a triple that several make."""
-    parts = [instances(v, r.head).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates, (focuses or {}).get(n))]
+    tokens = any(numbers.is_numbered(df) for df, _ in everything.plain)
+    parts = [instances(v, r.head, tokens).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates, (focuses or {}).get(n))]
     return _united(parts).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index")) if parts else None
 
 
@@ -204,6 +219,9 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
         errors.append(f"Stratification failed: {e}")
     name_of = F.create_map(*[F.lit(x) for n, name in enumerate(names) for x in (n, name)]) if rules else None
 
+    def named(new: DataFrame) -> DataFrame:
+        return new.select("s", "p", "o", "rule_index", name_of[F.col("rule_index")].alias("rule_name"), "iteration")
+
     def known() -> Graph:
         out = start if laid is None else Graph((), [(laid[0], laid[1])])
         for df, holds in made_so_far:
@@ -247,7 +265,7 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
             new = bucketed(_united(good).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index")), "s", "o") if good else None
         if new is None or new.isEmpty():
             return None
-        produced.append(new.select("s", "p", "o", "rule_index", name_of[F.col("rule_index")].alias("rule_name"), F.lit(iteration).alias("iteration")))
+        (produced if book is None else numbered_passes).append(named(new.withColumn("iteration", F.lit(iteration))))
         made_so_far.append((new.select("s", "p", "o"), _heads([r for _, r in own])))
         if len(made_so_far) == COMPACT_AFTER:
             holds = [h for _, h in made_so_far]
@@ -256,6 +274,8 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
 
     failed: set[int] = set()
     laid: tuple[DataFrame, frozenset[str]] | None = None
+    book: DataFrame | None = None
+    numbered_passes: list[DataFrame] = []
     focuses: dict[int, DataFrame] = {}
     stratum_heads: list[str] | None = None
     for layer in layers:
@@ -273,8 +293,15 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
         touched = _touched([r for _, r in general])
         if recursive and touched is not None and not any(r.focus for _, r in general):
             # What the passes read and compare is printed and dealt out once, not in each of them.
-            own = start.of_predicates(touched)
-            laid = (bucketed(own.distinct(), "s", "o"), frozenset(touched)) if own is not None else None
+            bare = [r for _, r in general]
+            whole = known().of_predicates(touched) if all(_compares_only(r.body) for r in bare) else None
+            book = numbers.dictionary(whole, _constants(bare) | set(touched)) if whole is not None else None
+            if book is not None:
+                laid = (bucketed(numbers.numbered(whole).distinct(), "s", "o"), frozenset(touched))
+                earlier, made_so_far[:] = list(made_so_far), []
+            else:
+                own = start.of_predicates(touched)
+                laid = (bucketed(own.distinct(), "s", "o"), frozenset(touched)) if own is not None else None
         for _ in range((max_passes or MAX_PASSES) if general else 0):
             iteration += 1
             new = emit(general, delta, predicates)
@@ -287,6 +314,14 @@ def run(base: DataFrame, rules: Sequence[Rule], facts: DataFrame | None = None,
             delta = new.select("s", "p", "o")
             predicates = {h[1] for _, r in general for h in r.head}
             predicates = None if any(is_variable(p) for p in predicates) else predicates
+        if book is not None:
+            found = numbers.printed(_united(numbered_passes), book, touched) if numbered_passes else None
+            if found is not None and layer is not layers[-1]:
+                found = bucketed(found, "s", "o")
+            produced += [found] if found is not None else []
+            made_so_far[:] = earlier + ([(found.select("s", "p", "o"), stratum_heads)] if found is not None else [])
+            book = None
+            numbered_passes.clear()
     triples = _united(produced) if produced else base.sparkSession.createDataFrame([], schema)
     return Run(triples, names, iteration, errors)
 
