@@ -141,6 +141,48 @@ def test_benchmark_in_parts(spark, docs_of, monkeypatch):
     assert decontam.contaminated(docs_of([(1, "a")]).limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_sliding_windows(seed, monkeypatch):
+    """Fingerprints and similarities that slide are those of each window by itself, also where windows are cut in spans."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(decontam, "SPAN", 40)
+    monkeypatch.setattr(decontam, "WIDE", rng.choice([0, 10_000]))
+    kinds = [f"w{k}" for k in range(rng.choice([6, 400]))]
+    items = [(i, " ".join(rng.choices(kinds, k=rng.randrange(5, 30)))) for i in range(4)]
+    text = " ".join(rng.choices(kinds, k=40) + items[0][1].split() + rng.choices(kinds, k=90) + (items[1][1] + " new").split() * 3 + rng.choices(kinds, k=40))
+    index = decontam.BenchmarkIndex(items, radius=64)
+    own = decontam.shingle_hashes(text, decontam.WordHashes())
+    want = {}
+    for size, starts in index.windows(5, own):
+        assert (np.diff(starts) > 0).all() and np.array_equal(np.concatenate(decontam.runs(starts, size)), starts)
+        for s in starts.tolist():
+            part = own[max(s, 0) : s + size]
+            (print_,) = decontam.simhashes(own, index.weights(own), np.array([max(s, 0)]), np.array([min(s + size, len(own))]))
+            assert int(print_) == decontam.simhash(part, index.weights(part))
+            for i in range(4):
+                want[i] = max(want.get(i, 0), index.similarity(i, Counter(part.tolist())))
+    got = index.matches(text, decontam.WordHashes())
+    # With a radius of all bits the windows alone decide; blocks that differ by more than the index lists can hide a dissimilar item only.
+    assert {i: s for i, s in want.items() if s >= 0.8} == pytest.approx(got) and 0 in got and 1 in got
+
+
+def test_starts_around_places():
+    rng = random.Random(8)
+    for _ in range(200):
+        places = np.array(sorted(rng.sample(range(60), rng.randrange(1, 9))))
+        size = rng.randrange(1, 20)
+        assert decontam.starts_around(places, size).tolist() == sorted({p - k for p in places.tolist() for k in range(size)})
+
+
+def test_a_long_item_in_a_long_text():
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(50_000)]
+    index = decontam.BenchmarkIndex([(1, " ".join(words)), (2, " ".join(words[:40])), (3, "other words that are not in it")])
+    edited = [w if k % 300 else "new" for k, w in enumerate(words)]
+    assert index.matches(" ".join([*words[::-1], *edited, *words[::-1]]), decontam.WordHashes()).keys() >= {1}
+    assert not index.matches(" ".join(words[::-1]), decontam.WordHashes())
+
+
 def test_hamming_blocks_guarantee():
     rng = random.Random(5)
     blocks = decontam.hamming_blocks()
