@@ -168,6 +168,7 @@ def _united(parts: list[DataFrame]) -> DataFrame:
 
 def fired(numbered: list[tuple[int, Rule]], everything: Graph, delta: DataFrame | None, delta_predicates: set[str] | None, focuses: dict[int, tuple[DataFrame, DataFrame | None]] | None = None) -> DataFrame | None:
     """(s, p, o, rule_index) of all rules; the first rule owns a triple that several make."""
+    everything = as_graph(everything)
     tokens = any(numbers.is_numbered(df) for df, _ in everything.plain)
     parts = [instances(v, r.head, tokens).withColumn("rule_index", F.lit(n)) for n, r in numbered for v in _variants(r, everything, delta, delta_predicates, (focuses or {}).get(n))]
     return _united(parts).groupBy("s", "p", "o").agg(F.min("rule_index").alias("rule_index")) if parts else None
