@@ -32,6 +32,8 @@ from grafthorn.sources.triples import list_members, union
 
 MAX_DEPTH = 50
 NODE_KINDS = ("IRI", "BlankNode", "Literal", "BlankNodeOrIRI", "BlankNodeOrLiteral", "IRIOrLiteral")
+#: Links up to which a hierarchy is closed whole, once for all classes.
+CLOSED = 1000
 #: Datatypes that order as numbers and as times.
 _NUMBERS = tuple(t.XSD + n for n in ("integer", "decimal", "double", "float", "int", "long"))
 _TIMES = tuple(t.XSD + n for n in ("date", "dateTime", "dateTimeStamp"))
@@ -60,6 +62,23 @@ def nodes(triples: DataFrame) -> DataFrame:
     return triples.select(F.col("s").alias("node")).union(triples.select("o")).distinct()
 
 
+def class_links(graph: Graph, doubled: int = 0) -> DataFrame | None:
+    """(sub, super): classes and those that are 2 ** ``doubled`` links above them; None if there are no links. A graph keeps the tables."""
+    name = f"links {doubled}"
+    if graph.kept.get(name) is None:
+        if doubled:
+            half = class_links(graph, doubled - 1)
+            ahead = half.select(F.col("sub").alias("super"), F.col("super").alias("above"))
+            found = half.join(ahead, "super").select("sub", F.col("above").alias("super"))
+        else:
+            edges = graph.of_predicates([t.SUBCLASS])
+            if edges is None:
+                return None
+            found = edges.select(F.col("s").alias("sub"), F.col("o").alias("super"))
+        graph.kept[name] = written(found.distinct())
+    return graph.kept[name]
+
+
 def class_ancestors(triples: DataFrame | Graph) -> DataFrame | None:
     """(sub, super): every class with all classes above it, by links that double in length each pass; None if there are no links.
 
@@ -67,10 +86,9 @@ def class_ancestors(triples: DataFrame | Graph) -> DataFrame | None:
     """
     graph = as_graph(triples)
     if graph.kept.get("ancestors") is None:
-        edges = graph.of_predicates([t.SUBCLASS])
-        if edges is None:
+        found = class_links(graph)
+        if found is None:
             return None
-        found = written(edges.select(F.col("s").alias("sub"), F.col("o").alias("super")).distinct())
         number = found.count()
         while number:
             ahead = found.select(F.col("sub").alias("super"), F.col("super").alias("above"))
@@ -84,10 +102,27 @@ def class_ancestors(triples: DataFrame | Graph) -> DataFrame | None:
 
 
 def subclasses(triples: DataFrame | Graph, top: str) -> DataFrame:
-    """(node): a class and all its transitive subclasses."""
-    itself = triples.sparkSession.createDataFrame([(top,)], "node string")
-    above = class_ancestors(triples)
-    return itself if above is None else itself.union(above.where(F.col("super") == top).select("sub")).distinct()
+    """(node): a class and all its transitive subclasses.
+
+    A hierarchy of few links is closed whole. Of a larger one only the classes below ``top`` are found: after pass k those fewer than
+    2 ** k links below it, by the links of that length, so no pass has more rows than classes where each has one above it. A pass that
+    finds none is the last, since then no class is as far from ``top``.
+    """
+    graph = as_graph(triples)
+    below = triples.sparkSession.createDataFrame([(top,)], "node string")
+    links = class_links(graph)
+    if links is None:
+        return below
+    if links.limit(CLOSED + 1).count() <= CLOSED:
+        return below.union(class_ancestors(graph).where(F.col("super") == top).select("sub")).distinct()
+    number, doubled = 1, 0
+    while True:
+        reached = class_links(graph, doubled).join(below.withColumnRenamed("node", "super"), "super", "left_semi").select(F.col("sub").alias("node"))
+        below = written(below.union(reached).distinct())
+        before, number = number, below.count()
+        if number == before:
+            return below
+        doubled += 1
 
 
 def instances_of(triples: DataFrame, top: str) -> DataFrame:

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from grafthorn import queries as core
+from grafthorn.functions import terms as t
+from grafthorn.operators import shapes as sh
 from grafthorn.operators.patterns import bindings, distinct_bindings, inv, seq
+from grafthorn.sources.graph import Graph
 from grafthorn.sources.triples import predicate as P
 from grafthorn.sources.triples import table_triples, union
 
@@ -32,3 +35,16 @@ def test_distinct_solutions_need_no_exchange_after_the_join(spark):
 def test_theta_join_reads_ids_from_keys(spark):
     plan = core.theta_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan and "concat_ws" not in plan
+
+
+def test_large_hierarchies_make_no_table_larger_than_their_links(spark):
+    links = spark.range(1300).where("id % 64 <> 0").selectExpr("concat('<c', id, '>') as s", f"'{t.SUBCLASS}' as p", "concat('<c', id - 1, '>') as o")
+    loop = spark.createDataFrame([("<c1>", t.SUBCLASS, "<c63>")], "s string, p string, o string")
+    graph = Graph((), [(links.union(loop), frozenset([t.SUBCLASS]))])
+    below = lambda top: {r.node for r in sh.subclasses(graph, top).collect()}
+    assert below("<c64>") == {f"<c{i}>" for i in range(64, 128)} and below("<c70>") == {f"<c{i}>" for i in range(70, 128)}
+    # Those of the loop are also above themselves, and c0 is above it.
+    assert below("<c5>") == {f"<c{i}>" for i in range(1, 64)} and below("<c0>") == {f"<c{i}>" for i in range(64)} and below("<none>") == {"<none>"}
+    size = links.count() + 1
+    # c1 has two classes above it, c0 once for each class of the loop.
+    assert max(table.count() for table in graph.kept.values()) <= size + 63
