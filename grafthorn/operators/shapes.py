@@ -8,7 +8,8 @@ Constraints of a property become flags per value, joined where they need the gra
 node; an empty value set passes all but ``min_count``, ``has_value`` and ``some_value``.
 
 Where the focus nodes are the rows of a table with a unique key, and all that a shape reads of them are its own columns, the shape is
-a filter of that table (``row_test``): one scan, no join, and constants that reach the files.
+a filter of that table (``row_test``): one scan, no join, and constants that reach the files. Where it also asks about rows of another table
+that refer to them, those are tested as rows too and summed by their reference (``_referring``): the joins are on native keys.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from grafthorn.functions import terms as t
 from grafthorn.functions.values import time_test
-from grafthorn.operators.bindings import holders
-from grafthorn.operators.patterns import Path, column, solutions
+from grafthorn.operators.bindings import Bindings, holders, kept
+from grafthorn.operators.bindings import names as names_of
+from grafthorn.operators.patterns import Path, bindings, column, solutions
 from grafthorn.sources.graph import BASE, TERM, Graph, Kind, TableMap, as_graph
 from grafthorn.sources.shared import written
 from grafthorn.sources.triples import list_members, union
@@ -370,13 +372,13 @@ def _row_part(graph: Graph, source: TableMap, value, constraints: dict, depth: i
         elif name == "has_value":
             same = kind.equals(cols, x)
             test = some & same if same is not None else F.lit(False)
-        elif name in ("and", "or", "xone", "not", "node") and on_row:
+        elif name in ("and", "or", "xone", "not", "node", "some_value") and on_row:
             # On the row's own node the other shapes are tests of the same row.
             inner = [row_test(graph, source, s, depth + 1) for s in (x if isinstance(x, tuple | list) else (x,))]
             if any(i is None for i in inner):
                 return None
             number = reduce(lambda a, b: a + b, (i.cast("int") for i in inner))
-            test = {"and": number == len(inner), "or": number >= 1, "xone": number == 1, "not": number == 0, "node": number == 1}[name]
+            test = {"and": number == len(inner), "or": number >= 1, "xone": number == 1, "not": number == 0, "node": number == 1, "some_value": number == 1}[name]
         elif name not in ("unique_lang", *_IGNORED):
             return None
         tests.append(test)
@@ -417,6 +419,63 @@ def _target_rows(graph: Graph, shape: Shape) -> tuple[TableMap, Column] | None:
     return None
 
 
+def _referring(graph: Graph, source: TableMap, p: Property, depth: int) -> tuple[DataFrame, Column] | None:
+    """A row for each key of the table that rows of another table refer to, and which keys meet the property, joined to that; None if it takes more.
+
+    Rows that repeat change no flag. Numbers of values above one would have to tell them apart, and aren't decided here.
+    """
+    c = p.constraints
+    if not isinstance(p.path, Path) or len(p.path.steps) != 1 or p.path.steps[0][1]:
+        return None
+    maps, plain = holders(graph, p.path.steps[0][0])
+    found = maps[0].objects(p.path.steps[0][0]) if len(maps) == 1 and not plain and maps[0].unique else []
+    if len(found) != 1 or found[0][0] != source.subject or not source.subject.joins or set(c) - {*_PER_VALUE, *_IGNORED, "node", "some_value", "has_value", "min_count"} or c.get("min_count", 0) > 1:
+        return None
+    other, (_, refs, has) = maps[0], found[0]
+    inner = {k: row_test(graph, other, c[k], depth + 1) for k in ("node", "some_value") if k in c}
+    if any(x is None for x in inner.values()):
+        return None
+    cols = other.subject_columns()
+    tests = [F.coalesce(_native_test(other.subject, cols, k, x, c), F.lit(False)) for k, x in c.items() if k in _PER_VALUE]
+    same = other.subject.equals(cols, c["has_value"]) if "has_value" in c else None
+    flags = {"every": F.bool_and(reduce(lambda a, b: a & b, tests, inner.get("node", F.lit(True)))), "some": F.bool_or(inner.get("some_value", F.lit(True))), "has": F.bool_or(same if same is not None else F.lit(False))}
+    rows = other.df.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in other.key), has))
+    summed = rows.groupBy(*(r.alias(f"k{n}") for n, r in enumerate(refs))).agg(*(x.alias(f"_{n}") for n, x in flags.items()))
+    keep = F.coalesce("_every", F.lit(True)) & F.lit(not _unordered(c))
+    wanted = [n for n, k in (("_some", "some_value"), ("_has", "has_value")) if k in c] + (["_some"] if c.get("min_count", 0) == 1 and "some_value" not in c else [])
+    return summed, reduce(lambda a, b: a & b, (F.coalesce(n, F.lit(False)) for n in wanted), keep)
+
+
+def _conforming_rows(graph: Graph, shape: Shape, source: TableMap, wanted: Column, depth: int) -> DataFrame | None:
+    """(node) of a table's rows that conform, by native keys; None if that takes more than rows and those that refer to them."""
+    own = {k: x for k, x in shape.constraints.items() if k != "subset_of"}
+    tests, summed = [_row_part(graph, source, (source.subject, source.subject_columns(), F.lit(True)), own, depth, True)], []
+    for p in shape.properties:
+        value = _row_values(graph, source, p.path)
+        test = _row_part(graph, source, value, p.constraints, depth) if value is not None else None
+        if test is not None:
+            tests.append(test)
+        elif (part := _referring(graph, source, p, depth)) is not None:
+            summed.append(part)
+        else:
+            return None
+    if any(x is None for x in tests):
+        return None
+    has = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in source.key))
+    keys = source.df.where(has & wanted).where(reduce(lambda a, b: a & b, tests)).select(*(c.alias(f"k{n}") for n, c in enumerate(source.subject_columns()))).distinct()
+    names = keys.columns
+    for part, keep in summed:
+        keys = keys.join(part, names, "left").where(keep).select(*names)
+    if "subset_of" in shape.constraints:
+        # The one value is the node itself: the path has to lead back to it.
+        path = shape.constraints["subset_of"]
+        back = bindings(graph, [("?node", path, "?node")]) if path is not None else None
+        outer = Bindings(keys.toDF(*names_of("node", source.subject)), {"node": source.subject})
+        met = kept(outer, back, "left_semi") if back is not None else outer.nothing()
+        return met.terms().select(F.col(column("node")).alias("node")).distinct()
+    return keys.select(source.subject.printed([F.col(c) for c in names]).alias("node"))
+
+
 def conforming(triples: DataFrame | Graph, shape: Shape, focus: DataFrame | None = None, depth: int = 0) -> DataFrame:
     """(node): the focus nodes, else the shape's targets, that conform. Nesting beyond ``MAX_DEPTH`` raises."""
     if depth > MAX_DEPTH:
@@ -424,11 +483,9 @@ def conforming(triples: DataFrame | Graph, shape: Shape, focus: DataFrame | None
     _checked(shape)
     if focus is None and isinstance(triples, Graph) and (rows := _target_rows(triples, shape)):
         source, wanted = rows
-        test = row_test(triples, source, shape, depth)
-        if test is not None:
-            has = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in source.key))
-            keys = source.df.where(has & wanted).where(test).select(*(c.alias(f"k{n}") for n, c in enumerate(source.subject_columns()))).distinct()
-            return keys.select(source.subject.printed([F.col(c) for c in keys.columns]).alias("node"))
+        found = _conforming_rows(triples, shape, source, wanted, depth)
+        if found is not None:
+            return found
     left = (focus if focus is not None else focus_nodes(triples, shape)).select("node").distinct()
     if shape.constraints:
         left = _met(triples, left, left.select("node", F.col("node").alias("value")), shape.constraints, depth)

@@ -6,6 +6,7 @@ from grafthorn import queries as core
 from grafthorn.functions import terms as t
 from grafthorn.operators import shapes as sh
 from grafthorn.operators.patterns import bindings, distinct_bindings, inv, seq
+from grafthorn.operators.shapes import Property, Shape
 from grafthorn.sources.graph import Graph
 from grafthorn.sources.triples import predicate as P
 from grafthorn.sources.triples import table_triples, union
@@ -48,3 +49,23 @@ def test_large_hierarchies_make_no_table_larger_than_their_links(spark):
     size = links.count() + 1
     # c1 has two classes above it, c0 once for each class of the loop.
     assert max(table.count() for table in graph.kept.values()) <= size + 63
+
+
+def test_shapes_on_rows_that_refer_to_a_table_join_keys(spark):
+    for name in ("shape_node_some_value", "node_some_value"):
+        plan = core.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "concat_ws" not in plan[plan.index("Join") :]
+
+
+def test_shapes_on_rows_that_refer_to_a_table(spark):
+    """The same as over printed triples, also where rows repeat, refer to none or have no value."""
+    people = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (4, None), (5, "e")], "id long, name string")
+    bills = spark.createDataFrame([(1, 1, 5.0), (1, 1, 5.0), (2, 1, 50.0), (3, 2, 7.0), (4, 3, None), (5, 4, 80.0), (6, None, 90.0), (7, 9, 90.0), (None, 5, 90.0)], "bill long, person long, amount double")
+    graph = union(table_triples(people, "person", ["id"], ["name"], unique=True), table_triples(bills, "bill", ["bill"], ["amount"], {"person": "person"}, unique=True))
+    high = Shape("<high>", (), {}, (Property(P("amount"), {"min_inclusive": '"10"^^<http://www.w3.org/2001/XMLSchema#double>', "min_count": 1}),))
+    path, one = inv(P("person")), "<http://ex.org/bill/2>"
+    first = Shape("<first>", (), {"in": (one,)})
+    named = {"some_value": Shape("<n>", (), {}, (Property(P("name"), {"min_count": 1}),))}
+    for own, c in (({}, {"some_value": high}), (named, {"node": high}), ({}, {"has_value": one, "min_count": 1}), ({}, {"in": (one, "<http://ex.org/bill/1>")}), ({"subset_of": seq(path, P("person"))}, {"node": first})):
+        shape = Shape("<s>", (("class", "<http://ex.org/person>"),), own, (Property(path, c),))
+        assert sorted(r.node for r in sh.conforming(graph, shape).collect()) == sorted(r.node for r in sh.conforming(graph.triples(), shape).collect()), (c, own)
