@@ -328,3 +328,40 @@ def test_links_follow_runs(spark, docs_of):
     assert 0 < many <= 3 * few
     found = {r.doc_id: (r.start_word, r.end_word) for r in passages.repeated_passages(docs).collect()}
     assert all(found[i][0] <= 30 + passages.HALF and found[i][1] >= 30 + 7 * n - passages.HALF for i, n in ((0, 10), (1, 10), (2, 300), (3, 300)))
+
+
+def test_no_passage_of_a_large_group_is_lost(docs_of):
+    """Pairs of equal passages among many others that are too far from them to be passages, but share most keys with them."""
+    rng = random.Random(13)
+    base = some_words(rng, 60)
+    docs = [(k, some_words(rng, 60)) for k in range(5)]
+    for k in range(60):
+        own = list(base)
+        for at in (14, 29, 44):
+            own[at] = f"edit{k}x{at}"
+        docs += [(100 * (k + 1) + i, some_words(rng, 40) + own + some_words(rng, 40)) for i in range(2)]
+    found = defaultdict(list)
+    for r in passages.repeated_passages(docs_of([(i, " ".join(w)) for i, w in docs])).collect():
+        found[r.doc_id].append((r.start_word, r.end_word))
+    assert set(found) == {i for i, _ in docs if i >= 100}
+    assert all(any(a <= 40 and b >= 100 for a, b in spans) for spans in found.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dense_stretches_and_tokens_to_look_up(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        common = rng.random(int(rng.integers(passages.LENGTH, 160))) < rng.choice([0.6, 0.8, 0.9])
+        at = np.flatnonzero(rng.random(len(common)) < 0.2)
+        total = np.concatenate([[0], np.cumsum(common)])
+        dense = [(a, b) for a in range(len(common)) for b in range(a + passages.LENGTH, len(common) + 1) if total[b] - total[a] >= passages.THRESHOLD * (b - a) - 1e-9]
+        want = [any(a <= p < b for a, b in dense) for p in at.tolist()]
+        assert passages.within_dense(at, common).tolist() == want
+        if any(want):
+            low, high = int(at[want][0]), int(at[want][-1])
+            lo, hi = passages.dense_hull(at[want], common)
+            assert lo == min(a for a, b in dense if a <= low < b) and hi == max(b for a, b in dense if a <= high < b)
+    places = [[int(p)] for p in np.flatnonzero(rng.random(400) < 0.7)]
+    kept = passages.indispensable(places, rng.integers(65, 900, len(places)).tolist())
+    dropped = np.array([p[0] for p, k in zip(places, kept, strict=True) if not k])
+    assert kept.any() and max(((dropped >= a) & (dropped < a + 2 * passages.LENGTH - 1)).sum() for a in range(400)) < passages.NEEDED
