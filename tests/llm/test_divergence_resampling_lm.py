@@ -192,3 +192,8 @@ def test_gradients_and_carried_states(monkeypatch):
             flat[i] += e
             near.append(language_model.gradients(language_model.Network(flat), *given)[0])
         assert g[i] == pytest.approx((near[0] - near[1]) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_network_is_not_cut_to_fit_a_limit():
+    """The units were lowered to twelve and eight only since the check's time was exceeded."""
+    assert language_model.HIDDEN >= 16
