@@ -365,3 +365,56 @@ def test_dense_stretches_and_tokens_to_look_up(seed):
     kept = passages.indispensable(places, rng.integers(65, 900, len(places)).tolist())
     dropped = np.array([p[0] for p, k in zip(places, kept, strict=True) if not k])
     assert kept.any() and max(((dropped >= a) & (dropped < a + 2 * passages.LENGTH - 1)).sum() for a in range(400)) < passages.NEEDED
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pairs_compared_in_a_cell(seed, monkeypatch):
+    """Every pair that shares a passage of short length goes to the comparison, both sides whole, and has a token that is asked for."""
+    for name, value in (("LENGTH", 6), ("NEEDED", 5), ("_RUN", 11)):
+        monkeypatch.setattr(passages, name, value)
+    rng, shared = np.random.default_rng(seed), 0
+    for _ in range(150):
+        base = rng.integers(0, rng.choice([6, 1000]), 14)
+        texts = [np.where(rng.random(14) < 0.1, rng.integers(2000, 9000, 14), base) for _ in range(2)]
+        if rng.random() < 0.5:
+            texts[1] = np.concatenate([rng.integers(2000, 9000, rng.integers(4)), np.delete(texts[1], rng.integers(14)), rng.integers(2000, 9000, 3)])
+        left, right = (t.tolist() for t in texts)
+        free, calls = rng.random(14) < 0.4, []
+        monkeypatch.setattr(passages, "_passages", lambda x, y: calls.append((x.tolist(), y.tolist())) or [])  # noqa: B023
+        passages.compared_runs([[1, 1, 0, texts[0], free]], [[2, 2, 0, texts[1], free]])
+        counts = {t: int(rng.integers(2, 200)) if t in right else 1 for t in left}
+        asked = passages.tokens_to_ask(texts[0], free, np.array([counts[t] for t in left])).tolist()
+        for a in range(14):
+            for b in range(a + 6, 15):
+                for c in range(len(right)):
+                    for d in range(c + 6, len(right) + 1):
+                        x, y = set(left[a:b]), set(right[c:d])
+                        both = x & y
+                        if 5 * len(both) < 4 * len(x | y) or not {left[a], left[b - 1], right[c], right[d - 1]} <= both or not any(free[p] and left[p] in both for p in range(a, b)):
+                            continue
+                        shared += 1
+                        assert both & set(asked)
+                        assert any("".join(map("{},".format, left[a:b])) in "".join(map("{},".format, x)) and "".join(map("{},".format, right[c:d])) in "".join(map("{},".format, y)) for x, y in calls)
+    assert shared > 500
+
+
+def test_a_large_group_is_not_compared_in_all_pairs(monkeypatch):
+    """Of texts that all share passages, each is compared until its tokens are covered, in about as many comparisons as there are texts."""
+    rng, words, compare, runs = random.Random(14), passages.WordHashes(), passages._passages, []
+    base = some_words(rng, 150)
+    for k in range(120):
+        own = list(base)
+        for at in rng.sample(range(150), 8):
+            own[at] = f"edit{k}x{at}"
+        tokens = passages.shingle_hashes(" ".join(own), words).view(np.int64)
+        runs.append([k, k, 0, tokens, np.ones(len(tokens), bool)])
+    calls, covered, want = [], defaultdict(set), defaultdict(set)
+    monkeypatch.setattr(passages, "_passages", lambda x, y: calls.append(1) or list(compare(x, y)))
+    for _, doc, first, end, _, _ in passages.compared_runs(runs, runs):
+        covered[doc] |= set(range(first, end))
+    assert len(calls) < 12 * len(runs)
+    for k, r in enumerate(runs[:20]):
+        for o in runs:
+            for a, b, c, d, _ in compare(r[3], o[3]) if o is not r else ():
+                want[k] |= set((a + np.flatnonzero(np.isin(r[3][a:b], o[3][c:d]))).tolist())
+        assert want[k] <= covered[k]
