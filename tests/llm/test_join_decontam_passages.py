@@ -418,3 +418,72 @@ def test_a_large_group_is_not_compared_in_all_pairs(monkeypatch):
             for a, b, c, d, _ in compare(r[3], o[3]) if o is not r else ():
                 want[k] |= set((a + np.flatnonzero(np.isin(r[3][a:b], o[3][c:d]))).tolist())
         assert want[k] <= covered[k]
+
+
+def _near_copies(rng, count, edits):
+    base = some_words(rng, 150)
+    return [(k, " ".join(f"edit{k}x{i}" if i in at else w for i, w in enumerate(base))) for k in range(count) for at in [set(rng.sample(range(150), edits))]]
+
+
+def test_shuffles_go_with_their_step(spark, docs_of):
+    """What one step shuffled isn't on the disk any more when the next step has run."""
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folder.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    found = passages.repeated_passages(docs_of(_near_copies(random.Random(15), 20, 3)))
+    time.sleep(1)
+    assert not files() - before
+    assert {r.doc_id for r in found.collect()} == set(range(20))
+
+
+def test_cells_in_rounds_find_the_same(docs_of, monkeypatch):
+    """Cells that are shuffled a few at a time, as the disk allows, give what all of them give."""
+    docs = docs_of(_near_copies(random.Random(16), 30, 9))
+    monkeypatch.setattr(passages, "_CELL_ROWS", 1000)
+    monkeypatch.setattr(passages, "_CELL_COLUMNS", 2000)
+    seen, compared = [], passages._compared
+    monkeypatch.setattr(passages, "_compared", lambda cells: seen[-1].append(1) or compared(cells))
+    for copies in (10**6, 2):
+        monkeypatch.setattr(passages, "_COPIES", copies)
+        seen.append([])
+        seen[-1].append(sorted(tuple(r) for r in passages.repeated_passages(docs).collect()))
+    assert len(seen[0]) == 2 and len(seen[1]) > 3 and seen[0][-1] == seen[1][-1]
+
+
+def test_tokens_are_those_of_the_words():
+    """Words as the regular expression finds them, and equal tokens for equal words alone; a text cut at its words keeps its tokens."""
+    rng, texts = random.Random(17), []
+    for _ in range(300):
+        texts.append("".join(rng.choice("ab_1Ä ßΣς٣½²é‍漢\U0001d7d8\U0001f600\n-.,'") for _ in range(rng.randrange(200))).lower())
+    texts += ["x" * 64 + " " + "x" * 65 + " " + "y" * 5000, ""]
+    seen = {}
+    for text in texts:
+        starts, ends, hashes = passages.words_of(text)
+        found = [text[a:b] for a, b in zip(starts, ends, strict=True)]
+        assert found == passages.WORD.findall(text)
+        assert all(seen.setdefault(w, int(h)) == int(h) for w, h in zip(found, hashes, strict=True))
+        tokens = passages.tokens_of(text)
+        if len(found) >= 15:
+            assert np.array_equal(passages.tokens_of(passages._cut(text, starts, ends, 3, 9)), tokens[3:9])
+            assert np.array_equal(passages.tokens_of(passages._cut(text, starts, ends, 3, len(tokens))), tokens[3:])
+    assert len(set(seen.values())) == len(seen) > 1000
+
+
+def test_each_comparison_covers_what_lies_in_a_passage(monkeypatch):
+    """A stretch that is cut apart at its widest gap is covered all the same where it is a passage, so further pairs aren't compared for it."""
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 2**62, 160)
+    calls, compare, runs = [], passages._passages, []
+    monkeypatch.setattr(passages, "_passages", lambda x, y: calls.append(1) or list(compare(x, y)))
+    # Three stretches, of which the first two and the last two make a passage, but not all three.
+    for k in range(40):
+        own = base.copy()
+        own[50:58], own[108:118] = rng.integers(0, 2**62, 8), rng.integers(0, 2**62, 10)
+        runs.append([k, k, 0, own, np.arange(160) >= 118])
+    out = passages.compared_runs(runs, runs)
+    assert len(calls) <= 3 * len(runs)
+    covered = defaultdict(set)
+    for _, doc, first, end, _, similarity in out:
+        assert similarity >= 0.8 - 1e-9
+        covered[doc] |= set(range(first, end))
+    assert all(set(range(118, 160)) <= covered[k] for k in range(40))
