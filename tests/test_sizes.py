@@ -69,3 +69,15 @@ def test_shapes_on_rows_that_refer_to_a_table(spark):
     for own, c in (({}, {"some_value": high}), (named, {"node": high}), ({}, {"has_value": one, "min_count": 1}), ({}, {"in": (one, "<http://ex.org/bill/1>")}), ({"subset_of": seq(path, P("person"))}, {"node": first})):
         shape = Shape("<s>", (("class", "<http://ex.org/person>"),), own, (Property(path, c),))
         assert sorted(r.node for r in sh.conforming(graph, shape).collect()) == sorted(r.node for r in sh.conforming(graph.triples(), shape).collect()), (c, own)
+
+
+def test_pairs_of_many_with_many_take_little_space(spark, tmp_path):
+    """Rows of such a join stand in blocks, so a file of it holds runs and short repeats."""
+    s = spark.range(4000).select(F.col("id").alias("s_suppkey"), (F.col("id") % 2).alias("s_nationkey"))
+    c = spark.range(4000).select((F.col("id") * 7).alias("c_custkey"), (F.col("id") % 2).alias("c_nationkey"))
+    graph = union(table_triples(s, "supplier", ["s_suppkey"], [], {"s_nationkey": "nation"}, unique=True), table_triples(c, "customer", ["c_custkey"], [], {"c_nationkey": "nation"}, unique=True))
+    found = distinct_bindings(graph, [("?s", seq(P("s_nationkey"), inv(P("c_nationkey"))), "?c")])
+    found.df.select(found.id("s").alias("s"), found.id("c").alias("c")).write.parquet(f"{tmp_path}/pairs")
+    made = spark.read.parquet(f"{tmp_path}/pairs")
+    assert made.count() == made.distinct().count() == made.where("s % 2 = c div 7 % 2").count() == 8_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 8_000_000 * 0.3
